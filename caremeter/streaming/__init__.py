@@ -1,0 +1,4 @@
+"""Empty on purpose: the work is a full reload of one published snapshot, so there is no stream.
+
+Loads live in ``caremeter.plans``; see README, "Not built".
+"""
