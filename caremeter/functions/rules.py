@@ -8,7 +8,7 @@ from operator import add, and_, or_
 from pyspark.sql import Column, functions as F
 
 from caremeter.functions import values as V
-from caremeter.functions.text import as_col, has_code, is_missing, to_int
+from caremeter.functions.text import as_col, has_code, is_missing
 
 
 # ---- recodes ---------------------------------------------------------------------------
@@ -96,10 +96,9 @@ def group_flags(group: str, codes: Column | str, check_data_issue: bool = True)
 
 
 def group_status(group: str, codes: Column | str, check_data_issue: bool = True) -> Column:
-    """Reporting status: footnote codes outrank the counts; equal counts outrank a positive count."""
+    """Reporting status from the typed counts: footnote codes outrank the counts, equal counts a positive count."""
     code = V.GROUP_FLAG_CODES
-    reported = to_int(f"facility_{group}_measure_count")
-    possible = to_int(f"{group}_group_measure_count")
+    reported, possible = F.col(f"facility_{group}_measures_count"), F.col(f"{group}_group_measures_count")
     ladder = [
         (has_code(codes, [code["dod_hospital"]]), V.STATUS_FEDERAL),
         (has_code(codes, [code["not_participating"]]), V.STATUS_NOT_PARTICIPATING),
@@ -112,7 +111,7 @@ def group_status(group: str, codes: Column | str, check_data_issue: bool = True)
     for test, label in ladder:
         if test is not None:
             out = out.when(test, F.lit(label))
-    return out.otherwise(F.lit(V.STATUS_NONE)).alias(f"{group}_reporting_status")
+    return out.otherwise(F.lit(V.STATUS_NONE))
 
 
 def completeness_pct(groups=tuple(V.MEASURE_GROUPS), digits: int = 1) -> Column:

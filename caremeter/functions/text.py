@@ -21,12 +21,15 @@ def as_col(c: Column | str) -> Column:
 
 def parse_codes(footnote: Column | str) -> Column:
     """``'3, 13'`` -> ``['3', '13']``; NULL stays NULL."""
-    return F.transform(F.split(as_col(footnote), ","), F.trim)
+    return F.transform(F.split(as_col(footnote), ","), lambda code: F.trim(code))
 
 
 def has_code(codes: Column | str, wanted) -> Column:
     """True if the parsed code array holds any wanted code. NULL array -> False."""
-    return F.coalesce(F.arrays_overlap(as_col(codes), F.array(*[F.lit(w) for w in wanted])), F.lit(False))
+    wanted_array = "array(" + ", ".join(f"'{w}'" for w in wanted) + ")"
+    if isinstance(codes, str):
+        return F.expr(f"coalesce(arrays_overlap({codes}, {wanted_array}), false)")
+    return F.coalesce(F.arrays_overlap(codes, F.expr(wanted_array)), F.lit(False))
 
 
 def is_missing(text: Column | str, tokens=V.MISSING_TOKENS) -> Column:

@@ -125,16 +125,16 @@ def spot_check(bronze: DataFrame, silver: DataFrame, keys, key: str, ids,
                bronze_cols: dict[str, str], silver_cols: dict[str, str]) -> DataFrame:
     """Raw and typed values side by side for the given entities.
 
-    ``ids`` filters both scans before the join. Equal rows of one side are folded first, and
+    The column dicts map source columns to output names. ``ids`` filters both scans before the join. Equal rows of one side are folded first, and
     ``n_rows`` says how many joined rows a line stands for (1 when keys are unique).
     """
     def side(df, cols, name):
-        picked = df.select(*[F.trim(k).alias(k) for k in keys], *[F.col(c).alias(a) for a, c in cols.items()])
+        picked = df.select(*[F.trim(k).alias(k) for k in keys], *[F.col(c).alias(a) for c, a in cols.items()])
         picked = picked.where(F.col(key).isin(*ids))
         return picked.groupBy(*picked.columns).agg(F.count("*").alias(name))
 
     both = side(bronze, bronze_cols, "__b").join(side(silver, silver_cols, "__s"), list(keys))
-    return both.select(*keys, *bronze_cols, *silver_cols, (F.col("__b") * F.col("__s")).alias("n_rows"))
+    return both.select(*keys, *bronze_cols.values(), *silver_cols.values(), (F.col("__b") * F.col("__s")).alias("n_rows"))
 
 
 def never_true(df: DataFrame, key: str, flag: str) -> DataFrame:

@@ -22,21 +22,21 @@ def check_duplicates(df: DataFrame, table: str, keys) -> DataFrame:
 def list_duplicates(df: DataFrame, keys, order: str, rank: str = "ranking", chunk: int = CHUNK) -> DataFrame:
     """All rows but the first of each key, numbered in ``order`` (NULL last) from 2 up.
 
-    Same rows as ``ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order, <row hash>) > 1``. Only
+    Same rows as ``ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order, <row digest>) > 1``. Only
     keys that repeat go on (normally none). Identical rows travel as one row with a count; a key
     is numbered by running totals, first over its distinct ``order`` values, then over 256 slices
-    of the row hash, so no task sorts all rows of a hot key. Copies are unfolded in chunks that
+    of the row digest, so no task sorts all rows of a hot key. Copies are unfolded in chunks that
     are spread over the cluster.
     """
     keys, columns = list(keys), df.columns
     repeated = duplicate_keys(df, keys).select(*keys)
     rows = null_safe_join(df, repeated, keys, "left_semi")
 
-    row_hash = F.xxhash64(*columns)
+    digest = F.md5(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in columns]))
     folded = (
         rows.groupBy(*columns).agg(F.count("*").alias("__copies"))
-        .withColumn("__hash", row_hash)
-        .withColumn("__slice", F.shiftright("__hash", 56)))
+        .withColumn("__digest", digest)
+        .withColumn("__slice", F.substring("__digest", 1, 2)))
 
     per_slice = folded.groupBy(*keys, *([order] if order not in keys else []), "__slice").agg(
         F.sum("__copies").alias("__size"))
@@ -52,7 +52,7 @@ def list_duplicates(df: DataFrame, keys, order: str, rank: str = "ranking", chun
         *level, "__slice", F.coalesce(F.sum("__size").over(lower), F.lit(0)).alias("__before_slice"))
     offsets = null_safe_join(slice_offsets, order_offsets, level)
 
-    inside = Window.partitionBy(*level, "__slice").orderBy("__hash", *columns).rowsBetween(
+    inside = Window.partitionBy(*level, "__slice").orderBy("__digest").rowsBetween(
         Window.unboundedPreceding, -1)
     numbered = null_safe_join(folded, offsets, [*level, "__slice"]).withColumn(
         "__first", F.col("__before_order") + F.col("__before_slice")
@@ -66,4 +66,5 @@ def list_duplicates(df: DataFrame, keys, order: str, rank: str = "ranking", chun
         .withColumn("__from", F.explode(F.sequence("__start", "__last", F.lit(chunk)))))
     chunks = spread.repartition(*[F.col(k) for k in keys], "__from")
     to = F.least(F.col("__from") + chunk - 1, "__last")
-    return chunks.select(*columns, F.explode(F.sequence("__from", to)).cast("int").alias(rank))
+    unfolded = chunks.select(*columns, F.explode(F.sequence("__from", to)).alias(rank))
+    return unfolded.withColumn(rank, F.col(rank).cast("int"))

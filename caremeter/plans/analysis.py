@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caremeter.functions import values as V
@@ -13,7 +15,7 @@ from caremeter.operators.peers import gap_to_best, vs_benchmark
 from caremeter.plans.gold import imaging_vs_ed_wait, ownership_stats
 from caremeter.sources.schemas import FACTS
 
-Tables = dict[str, DataFrame]
+Tables = Mapping[str, DataFrame]
 
 STARS = "hospital_overall_rating"
 PEER_KEYS = ("state", "hospital_ownership", "hospital_type")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, functions as F
 
 from caremeter.functions import values as V
@@ -10,7 +12,7 @@ from caremeter.operators.common import tagged, union_all
 from caremeter.operators.duplicates import duplicate_keys, list_duplicates
 from caremeter.sources.schemas import FACTS
 
-Tables = dict[str, DataFrame]
+Tables = Mapping[str, DataFrame]
 
 # columns profiled for missing scores, per fact
 SCORE_COLUMNS = {

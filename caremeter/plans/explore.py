@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, functions as F
 
 from caremeter.functions import values as V
@@ -13,7 +15,7 @@ from caremeter.operators.ordered import percentiles, top_k
 from caremeter.plans.gold import ed_scores, imaging_scores
 from caremeter.sources.schemas import FACTS
 
-Tables = dict[str, DataFrame]
+Tables = Mapping[str, DataFrame]
 
 QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 

@@ -6,6 +6,8 @@ planner broadcasts the facility table only while its measured size allows it.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, functions as F
 
 from caremeter.functions import values as V
@@ -71,19 +73,24 @@ def complications_vs_process_care(hospital: DataFrame, complications: DataFrame,
         "comp_period_start", "comp_period_end", "process_period_start", "process_period_end")
 
 
-def gold_views(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    h = t["hospital_general"]
-    return {
-        "dim_hospital": dim_hospital(h),
-        "vw_imaging_vs_ed_wait": imaging_vs_ed_wait(h, t["outpatient_imaging"], t["timely_care"]),
-        "vw_ownership_imaging_ed_stats": ownership_imaging_ed_stats(h, t["outpatient_imaging"], t["timely_care"]),
-        "vw_complications_vs_process_care": complications_vs_process_care(h, t["complications"], t["timely_care"]),
-    }
+# view name -> (builder, silver tables it reads)
+GOLD_VIEWS = {
+    "dim_hospital": (dim_hospital, ("hospital_general",)),
+    "vw_imaging_vs_ed_wait": (imaging_vs_ed_wait, ("hospital_general", "outpatient_imaging", "timely_care")),
+    "vw_ownership_imaging_ed_stats": (
+        ownership_imaging_ed_stats, ("hospital_general", "outpatient_imaging", "timely_care")),
+    "vw_complications_vs_process_care": (
+        complications_vs_process_care, ("hospital_general", "complications", "timely_care")),
+}
+
+
+def gold_view(name: str, silver: Mapping[str, DataFrame]) -> DataFrame:
+    build, tables = GOLD_VIEWS[name]
+    return build(*[silver[t] for t in tables])
 
 
-def register_gold(store: LayerStore, tables=None) -> None:
+def register_gold(store: LayerStore) -> None:
     """Temp views over the store's current silver data; they stay lazy."""
-    silver = tables or {t: store.read("silver", t) for t in
-                        ("hospital_general", "timely_care", "complications", "outpatient_imaging")}
-    for name, df in gold_views(silver).items():
-        df.createOrReplaceTempView(name)
+    silver = {t: store.read("silver", t) for t in ("hospital_general", "timely_care", "complications", "outpatient_imaging")}
+    for name in GOLD_VIEWS:
+        gold_view(name, silver).createOrReplaceTempView(name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, functions as F
 
 from caremeter.functions import values as V
@@ -9,7 +11,7 @@ from caremeter.functions.rules import pct
 from caremeter.operators import checks as C, profiles as P
 from caremeter.operators.ordered import top_k
 
-Tables = dict[str, DataFrame]
+Tables = Mapping[str, DataFrame]
 
 
 def view_counts(g: Tables) -> DataFrame:

@@ -40,7 +40,8 @@ def _period() -> list[Column]:
 
 
 def _hospital_general(raw: DataFrame) -> DataFrame:
-    coded = raw.withColumns({f"{CODES}_{g}": parse_codes(f"{g}_group_footnote") for g in V.MEASURE_GROUPS})
+    codes = {g: f"{CODES}_{g}" for g in V.MEASURE_GROUPS}
+    coded = raw.withColumns({codes[g]: parse_codes(f"{g}_group_footnote") for g in codes})
     columns = [
         *_place(), *_trimmed("hospital_type"),
         ownership_group("hospital_ownership").alias("hospital_ownership"),
@@ -51,14 +52,14 @@ def _hospital_general(raw: DataFrame) -> DataFrame:
         *_trimmed("hospital_overall_rating_footnote"),
     ]
     for g, (with_outcomes, check_data_issue) in V.MEASURE_GROUPS.items():
-        codes = f"{CODES}_{g}"
         columns += [to_int(f"{g}_group_measure_count").alias(f"{g}_group_measures_count"),
                     to_int(f"facility_{g}_measure_count").alias(f"facility_{g}_measures_count")]
         if with_outcomes:
             columns += [to_int(f"{g}_measures_{o}").alias(f"{g}_measures_{o}") for o in ("better", "no_different", "worse")]
-        columns += [*_trimmed(f"{g}_group_footnote"), *group_flags(g, codes, check_data_issue),
-                    group_status(g, codes, check_data_issue)]
-    return coded.select(*columns)
+        columns += [*_trimmed(f"{g}_group_footnote"), *group_flags(g, codes[g], check_data_issue), codes[g]]
+    return coded.select(*columns).withColumns({
+        f"{g}_reporting_status": group_status(g, codes[g], check_data_issue)
+        for g, (_, check_data_issue) in V.MEASURE_GROUPS.items()})
 
 
 def _timely_care(raw: DataFrame) -> DataFrame:

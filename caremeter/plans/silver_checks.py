@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, functions as F
 
 from caremeter.functions import values as V
@@ -11,7 +13,7 @@ from caremeter.operators.common import tagged, union_all
 from caremeter.operators.duplicates import check_duplicates
 from caremeter.sources.schemas import FACTS, LENGTH_LIMITS, TABLES
 
-Tables = dict[str, DataFrame]
+Tables = Mapping[str, DataFrame]
 
 TYPED_SCORES = {
     "timely_care": ("score_numeric", "score_text"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 from caremeter.functions.text import SCORE_PRECISION
 from caremeter.functions.values import MEASURE_GROUPS
@@ -122,5 +122,9 @@ LENGTH_LIMITS = {
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select the schema's columns by name, in order, with its types."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    """Select the schema's columns by name, in order; a type that differs is a programming error."""
+    out = df.select(*schema.fieldNames())
+    wrong = [f.name for f, g in zip(schema.fields, out.schema.fields) if f.dataType != g.dataType]
+    if wrong:
+        raise TypeError(f"columns with a type other than declared: {wrong}")
+    return out

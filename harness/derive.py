@@ -178,9 +178,9 @@ RAW = {
 }
 
 
-def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{sf_dir}/{source}.parquet").selectExpr(*[f"{e} AS {n}" for n, e in cols])
-            for t, (source, cols) in RAW.items()}
+def raw_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    source, cols = RAW[table]
+    return spark.read.parquet(f"{sf_dir}/{source}.parquet").selectExpr(*[f"{e} AS {n}" for n, e in cols])
 
 
 def raw_sql(table: str) -> str:
