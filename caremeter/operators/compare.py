@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caremeter.functions.rules import exact_avg, pct, r_squared, safe_corr, sd
+from caremeter.operators.ordered import column_distributions, pick
 
 
 def entity_mean(fact: DataFrame, score: str, where: Column, name: str, used: str, period: str | None = None,
@@ -65,11 +66,13 @@ def group_stats(df: DataFrame, by, *aggs: Column) -> DataFrame:
 
 def quadrants(df: DataFrame, x: str, y: str) -> DataFrame:
     """Counts and means per quadrant of a median split on two measures (at the median counts as low)."""
-    from caremeter.operators.ordered import percentiles
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    split = both.select(
-        F.when(F.col(x) > percentiles(both, [], x, {"m": 0.5}).scalar(), "high").otherwise("low").alias(f"{x}_half"),
-        F.when(F.col(y) > percentiles(both, [], y, {"m": 0.5}).scalar(), "high").otherwise("low").alias(f"{y}_half"),
-        x, y)
+    medians = column_distributions(both, [x, y], {"median": 0.5}, digits=6).agg(
+        F.struct(pick("median", x).alias("x"), pick("median", y).alias("y"))).scalar()
+
+    def half(c: str, median: Column) -> Column:
+        return F.when(F.col(c) > median, "high").otherwise("low").alias(f"{c}_half")
+
+    split = both.select(half(x, medians["x"]), half(y, medians["y"]), x, y)
     return split.groupBy(f"{x}_half", f"{y}_half").agg(
         F.count("*").alias("n"), exact_avg(x, 2).alias(f"avg_{x}"), exact_avg(y, 2).alias(f"avg_{y}"))

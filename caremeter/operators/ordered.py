@@ -13,6 +13,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from caremeter.functions.rules import mean_of
 from caremeter.operators.common import null_safe_join
 
 VALUE_TYPE = "decimal(18,6)"
@@ -52,10 +53,11 @@ def ranked_values(df: DataFrame, by, value: str) -> DataFrame:
         (F.col("__offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("n_below"), "n_group")
 
 
-def percentiles(df: DataFrame, by, value: str, ps: dict[str, float], digits: int | None = None) -> DataFrame:
-    """Interpolated percentiles (PERCENTILE_CONT) per group, exact, in decimal arithmetic.
+def distribution(df: DataFrame, by, value: str, ps: dict[str, float], digits: int = 2) -> DataFrame:
+    """Count, mean, minimum, maximum and interpolated percentiles (PERCENTILE_CONT) per group, all exact.
 
-    ``ps`` maps an output column to its fraction, e.g. ``{"median": 0.5}``.
+    ``ps`` maps an output column to its fraction, e.g. ``{"median": 0.5}``. Everything is read off the
+    value counts, in decimal arithmetic, so the rows are scanned and shuffled once.
     """
     by = list(by)
     ranked = ranked_values(df.select(*by, F.col(value).alias("__v")), by, "__v")
@@ -66,21 +68,43 @@ def percentiles(df: DataFrame, by, value: str, ps: dict[str, float], digits: int
     def holds(index: Column) -> Column:
         return (F.col("n_below") <= index) & (index < F.col("n_below") + F.col("n"))
 
-    aggs = [F.max("n_group").alias("n_group")]
+    aggs = [F.max("n_group").alias("n_group"), F.min("__v").alias("min_val"), F.max("__v").alias("max_val"),
+            F.sum(F.col("__v") * F.col("n").cast("decimal(12,0)")).alias("__sum")]
     for i, p in enumerate(ps.values()):
         at = F.floor(position(p))
         aggs += [F.max(F.when(holds(at), F.col("__v"))).alias(f"__lo{i}"),
                  F.max(F.when(holds(at + 1), F.col("__v"))).alias(f"__hi{i}")]
     ends = ranked.groupBy(*by).agg(*aggs)
 
-    def result(i: int, name: str, p: float) -> Column:
+    def at_fraction(i: int, p: float) -> Column:
         low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
         frac = (position(p) - F.floor(position(p))).cast("decimal(9,8)")
-        out = F.coalesce(low + (high - low) * frac, low)
-        out = out if digits is None else F.round(out, digits).cast(f"decimal(18,{digits})")
-        return out.alias(name)
+        return F.coalesce(low + (high - low) * frac, low)
 
-    return ends.select(*by, *[result(i, name, p) for i, (name, p) in enumerate(ps.items())])
+    def rounded(c: Column, name: str) -> Column:
+        return F.round(c, digits).cast(f"decimal(18,{digits})").alias(name)
+
+    return ends.select(
+        *by, F.coalesce("n_group", F.lit(0)).alias("n"),
+        mean_of(F.col("__sum"), F.col("n_group"), digits).alias("avg_val"),
+        rounded(F.col("min_val"), "min_val"), rounded(F.col("max_val"), "max_val"),
+        *[rounded(at_fraction(i, p), name) for i, (name, p) in enumerate(ps.items())])
+
+
+def percentiles(df: DataFrame, by, value: str, ps: dict[str, float], digits: int = 2) -> DataFrame:
+    """Only the percentiles of ``distribution``."""
+    return distribution(df, by, value, ps, digits).select(*by, *ps)
+
+
+def column_distributions(df: DataFrame, cols, ps: dict[str, float], digits: int = 2) -> DataFrame:
+    """``distribution`` of several columns at once, one row per ``column_name``: the input is read once."""
+    long = df.select(*[F.col(c).cast(VALUE_TYPE).alias(c) for c in cols]).unpivot([], list(cols), "column_name", "value")
+    return distribution(long, ["column_name"], "value", ps, digits)
+
+
+def pick(name: str, column: str) -> Column:
+    """Aggregate that takes ``name`` from the row of one ``column_name``."""
+    return F.max(F.when(F.col("column_name") == column, F.col(name)))
 
 
 def peer_rank(df: DataFrame, order: str, within=(), rank: str = "rank", total: str = "total_peers") -> DataFrame:

@@ -10,7 +10,7 @@ from caremeter.functions import values as V
 from caremeter.functions.rules import completeness_pct, exact_avg, pct, r_squared, reporting_profile, safe_corr, sd
 from caremeter.operators import checks as C, profiles as P
 from caremeter.operators.compare import compare_means, entity_mean, outcome_mix, quadrants
-from caremeter.operators.ordered import peer_rank, percentiles
+from caremeter.operators.ordered import column_distributions, peer_rank, pick
 from caremeter.operators.peers import gap_to_best, vs_benchmark
 from caremeter.plans.gold import imaging_vs_ed_wait, ownership_stats
 from caremeter.sources.schemas import FACTS
@@ -81,17 +81,15 @@ def infections_vs_complications(s: Tables) -> DataFrame:
 
 def process_outcome_distribution(g4: DataFrame) -> DataFrame:
     process, worse, mort = "avg_process_care_score", "complication_pct_worse", "mort_pct_worse"
-
-    def median(c):
-        return percentiles(g4, [], c, {"m": 0.5}, 2).scalar()
-
-    return g4.agg(
-        F.count("*").alias("n_hospitals"), exact_avg(process, 2).alias("avg_process_compliance"),
-        exact_avg(worse, 2).alias("avg_complication_pct_worse"), exact_avg(mort, 2).alias("avg_mort_pct_worse"),
-        F.min(process).alias("min_process_compliance"), F.max(process).alias("max_process_compliance"),
-        F.min(worse).alias("min_complication_pct_worse"), F.max(worse).alias("max_complication_pct_worse"),
-    ).withColumns({"median_process_compliance": median(process), "median_complication_pct_worse": median(worse),
-                   "median_mort_pct_worse": median(mort)})
+    stats = column_distributions(g4, [process, worse, mort], {"median": 0.5})
+    return stats.agg(
+        F.coalesce(pick("n", process), F.lit(0)).alias("n_hospitals"),
+        pick("avg_val", process).alias("avg_process_compliance"),
+        pick("avg_val", worse).alias("avg_complication_pct_worse"), pick("avg_val", mort).alias("avg_mort_pct_worse"),
+        pick("median", process).alias("median_process_compliance"),
+        pick("median", worse).alias("median_complication_pct_worse"), pick("median", mort).alias("median_mort_pct_worse"),
+        pick("min_val", process).alias("min_process_compliance"), pick("max_val", process).alias("max_process_compliance"),
+        pick("min_val", worse).alias("min_complication_pct_worse"), pick("max_val", worse).alias("max_complication_pct_worse"))
 
 
 def process_outcome_correlations(g4: DataFrame) -> DataFrame:

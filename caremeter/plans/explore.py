@@ -7,11 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from caremeter.functions import values as V
-from caremeter.functions.rules import exact_avg, mean_of, outcome_category, pct, region, known_states
+from caremeter.functions.rules import known_states, mean_of, outcome_category, pct, region
 from caremeter.operators import checks as C, profiles as P
 from caremeter.operators.compare import compare_means
-from caremeter.operators.common import null_safe_join
-from caremeter.operators.ordered import percentiles, top_k
+from caremeter.operators.ordered import distribution, top_k
 from caremeter.plans.gold import ed_scores, imaging_scores
 from caremeter.sources.schemas import FACTS
 
@@ -102,18 +101,14 @@ def complication_sample(s: Tables, min_rated: int = V.MIN_RATED) -> DataFrame:
 
 # ---- distributions ---------------------------------------------------------------------
 
-def _distribution(df: DataFrame, by, score: str) -> DataFrame:
-    ends = df.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.min(score), 2).alias("min_val"),
-                               F.round(F.max(score), 2).alias("max_val"))
-    return null_safe_join(ends, percentiles(df, by, score, QUARTILES, 2), by)
-
-
 def ed_percentiles(s: Tables) -> DataFrame:
-    return _distribution(_usable(s["timely_care"].where(_is_ed()), "score_numeric"), ["measure_id"], "score_numeric")
+    return distribution(_usable(s["timely_care"].where(_is_ed()), "score_numeric"), ["measure_id"], "score_numeric",
+                        QUARTILES).drop("avg_val")
 
 
 def imaging_percentiles(s: Tables) -> DataFrame:
-    return _distribution(_usable(s["outpatient_imaging"], "score"), ["measure_id", "measure_name"], "score")
+    return distribution(_usable(s["outpatient_imaging"], "score"), ["measure_id", "measure_name"], "score",
+                        QUARTILES).drop("avg_val")
 
 
 def imaging_outliers(s: Tables, measure: str = V.IMAGING_OUTLIER, k: int = 50) -> DataFrame:
