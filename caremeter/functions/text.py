@@ -21,7 +21,7 @@ def as_col(c: Column | str) -> Column:
 
 def parse_codes(footnote: Column | str) -> Column:
     """``'3, 13'`` -> ``['3', '13']``; NULL stays NULL."""
-    return F.transform(F.split(as_col(footnote), ","), lambda code: F.trim(code))
+    return F.split(F.trim(as_col(footnote)), " *, *")
 
 
 def has_code(codes: Column | str, wanted) -> Column:
@@ -54,7 +54,8 @@ def to_decimal(text: Column | str) -> Column:
 def to_date_mdy(text: Column | str) -> Column:
     """``MM/DD/YYYY`` prefix to a date; trailing text is ignored, impossible dates are NULL."""
     c = as_col(text)
-    return F.when(c.rlike(V.DATE_PREFIX_PATTERN), F.try_to_date(F.substring(c, 1, 10), "MM/dd/yyyy"))
+    iso = F.concat_ws("-", F.substring(c, 7, 4), F.substring(c, 1, 2), F.substring(c, 4, 2))
+    return F.when(c.rlike(V.DATE_PREFIX_PATTERN), iso.try_cast("date"))
 
 
 def last_token(text: Column | str) -> Column:

@@ -12,9 +12,10 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner")
     """Equi-join where NULL keys match, keeping one copy of each key. For results of GROUP BY."""
     if not keys:
         raise ValueError("null_safe_join needs at least one key")
-    r = right.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in right.columns])
-    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
-    return left.join(r, on, how).drop(*[f"__r_{k}" for k in keys])
+    def keyed(df):   # structs with equal fields are equal, NULL fields included
+        return df.withColumn("__key", F.struct(*keys))
+
+    return keyed(left).join(keyed(right).drop(*keys), "__key", how).drop("__key")
 
 
 def union_all(frames) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from caremeter.operators.common import null_safe_join
 
-CHUNK = 10_000
+HOT = 100_000      # a key with more rows than this is cut before it is ordered
+CHUNK = 10_000     # rows that one folded row unfolds to at a time
 
 
 def duplicate_keys(df: DataFrame, keys) -> DataFrame:
@@ -19,44 +20,45 @@ def check_duplicates(df: DataFrame, table: str, keys) -> DataFrame:
         F.lit(table).alias("table_name"), "duplicate_keys")
 
 
-def list_duplicates(df: DataFrame, keys, order: str, rank: str = "ranking", chunk: int = CHUNK) -> DataFrame:
+def list_duplicates(df: DataFrame, keys, order: str, rank: str = "ranking", hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
     """All rows but the first of each key, numbered in ``order`` (NULL last) from 2 up.
 
     Same rows as ``ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order, <row digest>) > 1``. Only
-    keys that repeat go on (normally none). Identical rows travel as one row with a count; a key
-    is numbered by running totals, first over its distinct ``order`` values, then over 256 slices
-    of the row digest, so no task sorts all rows of a hot key. Copies are unfolded in chunks that
-    are spread over the cluster.
+    keys that repeat go on (normally none). Identical rows travel as one row with a count. A hot key
+    is cut by ``order`` value and 256 slices of the row digest, which are numbered by running totals,
+    so no task sorts all its rows. Copies are unfolded in chunks that are spread over the cluster.
     """
     keys, columns = list(keys), df.columns
-    repeated = duplicate_keys(df, keys).select(*keys)
-    rows = null_safe_join(df, repeated, keys, "left_semi")
+    repeated = duplicate_keys(df, keys).select(*keys, (F.col("n") > hot).alias("__hot"))
+    rows = null_safe_join(df, repeated, keys)
 
     digest = F.md5(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in columns]))
+    key = F.struct(*keys).alias("k")
     folded = (
-        rows.groupBy(*columns).agg(F.count("*").alias("__copies"))
+        rows.groupBy(*columns, "__hot").agg(F.count("*").alias("__copies"))
         .withColumn("__digest", digest)
-        .withColumn("__slice", F.substring("__digest", 1, 2)))
-
-    per_slice = folded.groupBy(*keys, *([order] if order not in keys else []), "__slice").agg(
-        F.sum("__copies").alias("__size"))
-    level = [*keys] + ([order] if order not in keys else [])
-    per_order = per_slice.groupBy(*level).agg(F.sum("__size").alias("__size"))
-
-    earlier = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last()).rowsBetween(
+        # one struct key for window and join: NULL keys match, and both share one shuffle
+        .withColumn("__slice", F.struct(
+            key, F.when(F.col("__hot"), F.col(order)).alias("o"),
+            F.when(F.col("__hot"), F.substring("__digest", 1, 2)).alias("s"))))
+
+    sizes = folded.groupBy("__slice").agg(F.sum("__copies").alias("__size"))
+    per_order = sizes.groupBy(F.struct("__slice.k", "__slice.o").alias("__level")).agg(F.sum("__size").alias("__size"))
+    earlier = Window.partitionBy("__level.k").orderBy(F.col("__level.o").asc_nulls_last()).rowsBetween(
         Window.unboundedPreceding, -1)
-    order_offsets = per_order.select(
-        *level, F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before_order"))
-    lower = Window.partitionBy(*level).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    slice_offsets = per_slice.select(
-        *level, "__slice", F.coalesce(F.sum("__size").over(lower), F.lit(0)).alias("__before_slice"))
-    offsets = null_safe_join(slice_offsets, order_offsets, level)
-
-    inside = Window.partitionBy(*level, "__slice").orderBy("__digest").rowsBetween(
+    order_offsets = per_order.select("__level", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before_order"))
+    lower = Window.partitionBy("__level").orderBy("__slice.s").rowsBetween(Window.unboundedPreceding, -1)
+    slice_offsets = sizes.withColumn("__level", F.struct("__slice.k", "__slice.o")).select(
+        "__level", "__slice", F.coalesce(F.sum("__size").over(lower), F.lit(0)).alias("__before_slice"))
+    offsets = slice_offsets.join(order_offsets, "__level").select(
+        "__slice", (F.col("__before_order") + F.col("__before_slice")).alias("__offset"))
+
+    inside = Window.partitionBy("__slice").orderBy(F.col(order).asc_nulls_last(), "__digest").rowsBetween(
         Window.unboundedPreceding, -1)
-    numbered = null_safe_join(folded, offsets, [*level, "__slice"]).withColumn(
-        "__first", F.col("__before_order") + F.col("__before_slice")
-        + F.coalesce(F.sum("__copies").over(inside), F.lit(0)) + 1)
+    first = F.col("__offset") + F.col("__inside") + 1
+    numbered = (
+        folded.withColumn("__inside", F.coalesce(F.sum("__copies").over(inside), F.lit(0)))
+        .join(offsets, "__slice").withColumn("__first", first))
 
     last = F.col("__first") + F.col("__copies") - 1
     start = F.greatest("__first", F.lit(2))
@@ -66,5 +68,4 @@ def list_duplicates(df: DataFrame, keys, order: str, rank: str = "ranking", chun
         .withColumn("__from", F.explode(F.sequence("__start", "__last", F.lit(chunk)))))
     chunks = spread.repartition(*[F.col(k) for k in keys], "__from")
     to = F.least(F.col("__from") + chunk - 1, "__last")
-    unfolded = chunks.select(*columns, F.explode(F.sequence("__from", to)).alias(rank))
-    return unfolded.withColumn(rank, F.col(rank).cast("int"))
+    return chunks.select(*columns, F.explode(F.sequence("__from", to)).alias(rank))

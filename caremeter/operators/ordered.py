@@ -39,18 +39,20 @@ def ranked_values(df: DataFrame, by, value: str) -> DataFrame:
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).cast(VALUE_TYPE).alias(value)).agg(F.count("*").alias("n"))
-        .withColumn("__slice", value_slice(F.col(value))))
+        # one struct key for window and join: NULL groups match, and both share one shuffle
+        .withColumn("__slice", F.struct(*by, value_slice(F.col(value)).alias("__s"))))
 
-    sizes = counts.groupBy(*by, "__slice").agg(F.sum("n").alias("__size"))
-    lower = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    group = [F.col(f"__slice.{c}") for c in by]
+    sizes = counts.groupBy("__slice").agg(F.sum("n").alias("__size"))
+    lower = Window.partitionBy(*group).orderBy("__slice.__s").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *by, "__slice", F.coalesce(F.sum("__size").over(lower), F.lit(0)).alias("__offset"),
-        F.sum("__size").over(Window.partitionBy(*by)).alias("n_group"))
+        "__slice", F.coalesce(F.sum("__size").over(lower), F.lit(0)).alias("__offset"),
+        F.sum("__size").over(Window.partitionBy(*group)).alias("n_group"))
 
-    inside = Window.partitionBy(*by, "__slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return null_safe_join(counts, offsets, [*by, "__slice"]).select(
-        *by, value, "n",
-        (F.col("__offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("n_below"), "n_group")
+    inside = Window.partitionBy("__slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = counts.withColumn("__inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return numbered.join(offsets, "__slice").select(
+        *by, value, "n", (F.col("__offset") + F.col("__inside")).alias("n_below"), "n_group")
 
 
 def distribution(df: DataFrame, by, value: str, ps: dict[str, float], digits: int = 2) -> DataFrame:

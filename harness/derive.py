@@ -16,13 +16,10 @@ def _mix(x: str, y: str, seed: int, m: int) -> str:
     return f"(({x} * {31337 + 101 * seed} + {y} * {7907 + 307 * seed}) % 1000003) % {m}"
 
 
-def _text(value: str | None) -> str:
-    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
-
-
 def _pick(index: str, values) -> str:
-    arms = " ".join(f"WHEN {i} THEN {_text(v)}" for i, v in enumerate(values))
-    return f"CASE {index} {arms} END"
+    """Text number ``index`` of a list; '~' stands for NULL. Short, unlike a CASE that repeats the index per arm."""
+    listed = ";".join("~" if v is None else v for v in values)
+    return f"nullif(split_part('{listed}', ';', CAST({index} + 1 AS INT)), '~')"
 
 
 def _id(key: str) -> str:
@@ -64,7 +61,7 @@ COMPARED = ("No Different Than the National Rate", "Better Than the National Rat
             "Worse than National Benchmark", "Not Available", None, "no different than national benchmark",
             "Number of Cases Too Small", "Worse Than the National Rate")
 ODD_SCORES = (None, "", "N/A", "Not Available", "very high", "low", " 12", "-3", "1,234", "12.", "007", "Not Available")
-ODD_DATES = {3: "''", 5: "NULL", 7: "'2025-01-31'", 11: "'02/31/2025'", 13: "'01/31/2025 x'"}
+ODD_DATES = ("", None, "2025-01-31", "02/31/2025", "01/31/2025 x")
 
 TIMELY_MEASURES = (
     [("Emergency Department", f"OP_18{x}", f"ED wait {x}") for x in "abcdabcd"]
@@ -82,8 +79,8 @@ SUFFIXES = ("SIR", "CILOWER", "CIUPPER", "NUMERATOR", "ELIGCASES", "DOPC", "SIR"
 
 def _dates(day: str, x: str, y: str, seed: int) -> list[tuple[str, str]]:
     def col(years: str, s: int) -> str:
-        odd = " ".join(f"WHEN {i} THEN {v}" for i, v in ODD_DATES.items())
-        return f"CASE {_mix(x, y, s, 47)} {odd} ELSE {years} END"
+        index = _mix(x, y, s, 47)
+        return f"CASE WHEN {index} < {len(ODD_DATES)} THEN {_pick(index, ODD_DATES)} ELSE {years} END"
     end = f"CASE WHEN {_mix(x, y, seed + 2, 29)} = 1 THEN {_mdy(day, -1)} ELSE {_mdy(day, 1)} END"
     return [("start_date", col(_mdy(day), seed)), ("end_date", col(end, seed + 1))]
 

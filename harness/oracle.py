@@ -282,7 +282,7 @@ def _row_key(cols) -> str:
 
 
 def duplicates(table: str, cols, keys: str, order: str, key_cols=None) -> str:
-    return (f"SELECT {', '.join(cols)}, CAST(r AS INTEGER) AS ranking FROM (SELECT *, row_number() OVER (PARTITION BY {keys} "
+    return (f"SELECT {', '.join(cols)}, r AS ranking FROM (SELECT *, row_number() OVER (PARTITION BY {keys} "
             f"ORDER BY {order} ASC NULLS LAST, {_row_key(key_cols or cols)}) AS r FROM {table}) WHERE r > 1")
 
 

@@ -87,7 +87,13 @@ def test_list_duplicates(spark):
     rows += [(f"k{i}", rng.choice("mn"), "d1", str(i)) for i in range(200)]
     rows += [(None, "m", "d1", "1"), (None, "m", "d2", "2")]
     df = spark.createDataFrame(rows, "k string, m string, d string, x string")
-    got = list_duplicates(df, ["k", "m"], "d", chunk=40).collect()
+    for hot in (0, 100, 10 ** 6):   # every key cut, the large ones, none
+        check_listed(rows, list_duplicates(df, ["k", "m"], "d", hot=hot, chunk=40).collect())
+    repeated = {k for k, n in Counter((k, m) for k, m, *_ in rows).items() if n > 1}
+    assert check_duplicates(df, "t", ["k", "m"]).first().duplicate_keys == len(repeated)
+
+
+def check_listed(rows, got):
     sizes = Counter((k, m) for k, m, *_ in rows)
     by_key = {}
     for r in got:
@@ -101,8 +107,6 @@ def test_list_duplicates(spark):
         everything = Counter((d, x) for k, m, d, x in rows if (k, m) == key)
         rest = everything - Counter((r.d, r.x) for r in listed)
         assert sum(rest.values()) == 1   # exactly the first row of the key is left out
-    counted = check_duplicates(df, "t", ["k", "m"]).first()
-    assert counted.duplicate_keys == len(by_key)
 
 
 def test_join_counts_without_pairs(spark):
