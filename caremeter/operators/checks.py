@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from caremeter.functions import values as V
 from caremeter.functions.text import has_code, is_missing, parse_codes
-from caremeter.operators.common import null_safe_join, tagged, union_all
+from caremeter.operators.common import tagged, union_all
 
 
 def row_counts(tables: dict[str, DataFrame], label: str = "table_name", count: str = "row_count") -> DataFrame:
@@ -142,7 +142,7 @@ def never_true(df: DataFrame, key: str, flag: str) -> DataFrame:
     return df.groupBy(key).agg(F.bool_or(F.coalesce(flag, F.lit(False))).alias("__any")).where(~F.col("__any")).select(key)
 
 
-def stack(tables: dict[str, DataFrame], cols, label: str = "table_name") -> DataFrame:
+def stack_facts(tables: dict[str, DataFrame], cols, label: str = "table_name") -> DataFrame:
     """UNION ALL of the same projection over several tables, with a source label."""
     return union_all([df.select(F.lit(t).alias(label), *cols) for t, df in tables.items()])
 
@@ -162,5 +162,3 @@ def compare_sets(tables: dict[str, DataFrame], col: str) -> DataFrame:
 def unmatched_values(bronze: DataFrame, raw: str, label: Column) -> DataFrame:
     """Raw values that a recode leaves without a label, with their counts."""
     return (bronze.where(~is_missing(raw) & label.isNull()).groupBy(raw).agg(F.count("*").alias("n")))
-
-

@@ -61,7 +61,8 @@ def compare_means(x: str, y: str, names: dict[str, str], digits=(2, 2)) -> list[
 
 
 def group_stats(df: DataFrame, by, *aggs: Column) -> DataFrame:
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    """Statistics per group, or over all rows when ``by`` is empty."""
+    return df.groupBy(*by).agg(*aggs)
 
 
 def quadrants(df: DataFrame, x: str, y: str) -> DataFrame:

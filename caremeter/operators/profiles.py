@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from caremeter.functions.rules import pct
+from caremeter.functions.rules import exact_avg, pct
 from caremeter.functions.text import looks_decimal
 from caremeter.operators.common import union_all
 
@@ -88,7 +88,6 @@ def inventory(fact: DataFrame, by, score: str, where: Column | None = None, avg_
     ``keep_empty=False`` drops measures without a usable row; ``whole_pct`` truncates the percent
     to whole numbers as integer division does.
     """
-    from caremeter.functions.rules import exact_avg
     df = fact if where is None else fact.where(where)
     df = df.where("is_score_usable") if usable_rows_only else df
     usable = F.count_if(F.col("is_score_usable"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from caremeter.functions import values as V
 from caremeter.functions.rules import completeness_pct, exact_avg, pct, r_squared, reporting_profile, safe_corr, sd
 from caremeter.operators import checks as C, profiles as P
-from caremeter.operators.compare import compare_means, entity_mean, outcome_mix, quadrants
+from caremeter.operators.compare import compare_means, entity_mean, group_stats, outcome_mix, quadrants
 from caremeter.operators.ordered import column_distributions, peer_rank, pick
 from caremeter.operators.peers import gap_to_best, vs_benchmark
 from caremeter.plans.gold import imaging_vs_ed_wait, ownership_stats
@@ -75,8 +75,8 @@ def infections_vs_complications(s: Tables) -> DataFrame:
     outcomes = outcome_mix(s["complications"], {}, V.MIN_RATED).select("facility_id", "complication_pct_worse")
     names = dict(n="sample_size", mean_x="avg_sir", sd_x="sd_sir", mean_y="avg_complication_pct_worse",
                  sd_y="sd_complication_pct_worse", r="pearson_r", r2="r_squared")
-    return ratios.join(outcomes, "facility_id").agg(
-        *compare_means("avg_sir", "complication_pct_worse", names, digits=(3, 2)))
+    return group_stats(
+        ratios.join(outcomes, "facility_id"), [], *compare_means("avg_sir", "complication_pct_worse", names, digits=(3, 2)))
 
 
 def process_outcome_distribution(g4: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def process_outcome_quadrants(g4: DataFrame) -> DataFrame:
 
 
 def unusable_by_state(s: Tables) -> DataFrame:
-    rows = C.stack({t: s[t] for t in FACTS}, ["state", "is_score_usable"])
+    rows = C.stack_facts({t: s[t] for t in FACTS}, ["state", "is_score_usable"])
     unusable = F.count_if(~F.col("is_score_usable"))
     return rows.groupBy("state").agg(F.count("*").alias("total_rows"), unusable.alias("unusable_rows"),
                                      pct(unusable, F.count("*"), 1).alias("pct_unusable"))
@@ -173,5 +173,5 @@ def unrated_by_type(s: Tables) -> DataFrame:
 
 def ownership_stats_with_r(s: Tables) -> DataFrame:
     view = imaging_vs_ed_wait(s["hospital_general"], s["outpatient_imaging"], s["timely_care"])
-    return view.where(F.col("hospital_ownership") != V.TRIBAL_VALUE).groupBy("hospital_ownership").agg(
-        *ownership_stats("pearson_r"))
+    return group_stats(view.where(F.col("hospital_ownership") != V.TRIBAL_VALUE), ["hospital_ownership"],
+                       *ownership_stats("pearson_r"))

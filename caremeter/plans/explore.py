@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from caremeter.functions import values as V
 from caremeter.functions.rules import known_states, mean_of, outcome_category, pct, region
 from caremeter.operators import checks as C, profiles as P
-from caremeter.operators.compare import compare_means
+from caremeter.operators.compare import compare_means, group_stats
 from caremeter.operators.ordered import distribution, top_k
 from caremeter.plans.gold import ed_scores, imaging_scores
 from caremeter.sources.schemas import FACTS
@@ -173,14 +173,14 @@ def _imaging_and_ed(s: Tables) -> DataFrame:
 
 
 def imaging_ed_correlation(s: Tables) -> DataFrame:
-    return _imaging_and_ed(s).agg(*compare_means(
+    return group_stats(_imaging_and_ed(s), [], *compare_means(
         "avg_imaging_score", "avg_ed_wait_minutes", dict(PAIR_NAMES, n="sample_size", r2="r_squared")))
 
 
 def imaging_ed_by_ownership(s: Tables) -> DataFrame:
     owners = s["hospital_general"].select("facility_id", "hospital_ownership").where(
         F.col("hospital_ownership") != V.TRIBAL_VALUE)
-    return _imaging_and_ed(s).join(owners, "facility_id").groupBy("hospital_ownership").agg(
-        *compare_means("avg_imaging_score", "avg_ed_wait_minutes", dict(PAIR_NAMES, n="n_hospitals")))
+    return group_stats(_imaging_and_ed(s).join(owners, "facility_id"), ["hospital_ownership"], *compare_means(
+        "avg_imaging_score", "avg_ed_wait_minutes", dict(PAIR_NAMES, n="n_hospitals")))
 
 

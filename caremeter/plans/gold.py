@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from caremeter.functions import values as V
 from caremeter.functions.rules import exact_avg, region
-from caremeter.operators.compare import compare_means, entity_mean, outcome_mix
+from caremeter.operators.compare import compare_means, entity_mean, group_stats, outcome_mix
 from caremeter.sources.store import LayerStore
 
 DIM_COLUMNS = ("facility_id", "facility_name", "hospital_ownership", "hospital_type", "state", "region",
@@ -51,10 +51,11 @@ def imaging_vs_ed_wait(hospital: DataFrame, imaging: DataFrame, timely: DataFram
 def ownership_imaging_ed_stats(hospital: DataFrame, imaging: DataFrame, timely: DataFrame) -> DataFrame:
     """Group statistics by ownership (Tribal left out); order is up to the consumer."""
     view = imaging_vs_ed_wait(hospital, imaging, timely).where(F.col("hospital_ownership") != V.TRIBAL_VALUE)
-    return view.groupBy("hospital_ownership").agg(*ownership_stats())
+    return group_stats(view, ["hospital_ownership"], *ownership_stats())
 
 
-def ownership_stats(r: str | None = None):
+def ownership_stats(r: str | None = None) -> list[Column]:
+    """Aggregates of the ownership view; ``r`` names an extra correlation column."""
     names = dict(n="n_hospitals", mean_x="avg_imaging_score", sd_x="stddev_imaging_score",
                  mean_y="avg_ed_wait_minutes", sd_y="stddev_ed_wait_minutes")
     if r:

@@ -85,7 +85,7 @@ def unmatched_comparisons(b: Tables, s: Tables) -> DataFrame:
 
 def multi_code_tiers(b: Tables, s: Tables) -> DataFrame:
     """Reasons given to unusable rows that carry several codes."""
-    rows = C.stack({t: s[t].where(F.col("footnote").contains(",") & ~F.col("is_score_usable")) for t in FACTS},
+    rows = C.stack_facts({t: s[t].where(F.col("footnote").contains(",") & ~F.col("is_score_usable")) for t in FACTS},
                    ["footnote", "score_exclusion_reason"])
     return P.profile_values(rows, ["table_name", "footnote", "score_exclusion_reason"])
 
@@ -148,7 +148,7 @@ def spot_infections(b: Tables, s: Tables, ids) -> DataFrame:
 
 
 def _no_usable_score(s: Tables) -> DataFrame:
-    return C.never_true(C.stack({t: s[t] for t in FACTS}, ["facility_id", "is_score_usable"]), "facility_id", "is_score_usable")
+    return C.never_true(C.stack_facts({t: s[t] for t in FACTS}, ["facility_id", "is_score_usable"]), "facility_id", "is_score_usable")
 
 
 def unusable_facilities(b: Tables, s: Tables) -> DataFrame:

@@ -6,6 +6,16 @@ import os
 
 from pyspark.sql import SparkSession
 
+# Starting point for a large cluster. Initial shuffle partitions are many and small tasks are merged
+# at run time; a partition of a skewed join is split from 256 MB up.
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+    "spark.sql.sources.fileCompressionFactor": "4.0",   # size estimates for broadcasts count unpacked bytes
+}
+
 # Joins are left to the planner: it broadcasts a side only when its measured size is under
 # autoBroadcastJoinThreshold, and skew-splits a sort-merge join otherwise.
 CONF = {

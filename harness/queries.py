@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caremeter.functions.values import MEASURE_GROUPS
 from caremeter.plans import analysis as N, bronze_checks as B, explore as E, gold_checks as G, silver_checks as S
 from caremeter.sources.schemas import FACTS, RAW_COLUMNS, SILVER_SCHEMAS
 from harness.direct import DIRECT

