@@ -123,6 +123,11 @@ def peer_rank(df: DataFrame, order: str, within=(), rank: str = "rank", total: s
     return null_safe_join(rows, places, [*within, "__value"]).drop("__value")
 
 
+def sort_rows(df: DataFrame, *keys: str) -> DataFrame:
+    """Report order: ``"x"`` ascending with NULL last, ``"-x"`` descending with NULL first."""
+    return df.orderBy(*[F.desc_nulls_first(k[1:]) if k.startswith("-") else F.asc_nulls_last(k) for k in keys])
+
+
 def top_k(df: DataFrame, order, k: int, tiebreak=()) -> DataFrame:
     """First ``k`` rows in a total order: per-task heaps, then one merge of ``k`` rows per task."""
     return df.orderBy(*order, *tiebreak).limit(k)

@@ -10,7 +10,7 @@ from caremeter.functions import values as V
 from caremeter.functions.rules import completeness_pct, exact_avg, pct, r_squared, reporting_profile, safe_corr, sd
 from caremeter.operators import checks as C, profiles as P
 from caremeter.operators.compare import compare_means, entity_mean, group_stats, outcome_mix, quadrants
-from caremeter.operators.ordered import column_distributions, peer_rank, pick
+from caremeter.operators.ordered import column_distributions, peer_rank, pick, sort_rows
 from caremeter.operators.peers import gap_to_best, vs_benchmark
 from caremeter.plans.gold import imaging_vs_ed_wait, ownership_stats
 from caremeter.sources.schemas import FACTS
@@ -111,10 +111,10 @@ def entity_profile(s: Tables, name_pattern: str) -> DataFrame:
 
 
 def entity_outcomes(s: Tables, facility: str) -> DataFrame:
-    """Every complication row of one facility; rated rows first when shown."""
-    return s["complications"].where(F.col("facility_id") == facility).select(
-        "measure_id", "measure_name", "score", "compared_to_national", "is_score_usable", "score_exclusion_reason",
-    ).orderBy(F.asc_nulls_last("compared_to_national"), F.asc_nulls_last("measure_id"))
+    """Every complication row of one facility, rated rows first."""
+    rows = s["complications"].where(F.col("facility_id") == facility).select(
+        "measure_id", "measure_name", "score", "compared_to_national", "is_score_usable", "score_exclusion_reason")
+    return sort_rows(rows, "compared_to_national", "measure_id")
 
 
 def ed_waits_vs_state(s: Tables, facility: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from decimal import Decimal
 import pytest
 
 from caremeter.plans.bronze import load_bronze
+from caremeter.plans.pipeline import refresh
 from caremeter.plans.gold import GOLD_VIEWS, gold_view, register_gold
 from caremeter.plans.silver import load_silver
 from caremeter.sources.csvfiles import read_csv
@@ -126,6 +127,13 @@ def test_failed_table_keeps_its_rows(loaded, spark):
     assert len(store.batches("bronze", "timely_care")) == 1
 
 
+def test_refresh_runs_everything(loaded, spark, tmp_path):
+    src, _, _ = loaded
+    log = refresh(spark, str(src), LayerStore(spark, str(tmp_path))).collect()
+    assert [(r.layer, r.status) for r in log] == [("bronze", "ok")] * 5 + [("silver", "ok")] * 5
+    assert spark.sql("SELECT count(*) FROM vw_complications_vs_process_care").first()[0] == 1
+
+
 def test_wrong_field_count_fails(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_text(csv_text("infections", ROWS["infections"]) + "too,few\n")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from caremeter.operators import checks as C, profiles as P
 from caremeter.operators.compare import quadrants
 from caremeter.operators.duplicates import check_duplicates, list_duplicates
-from caremeter.operators.ordered import distribution, peer_rank, percentiles, ranked_values, top_k
+from caremeter.operators.ordered import distribution, peer_rank, percentiles, ranked_values, sort_rows, top_k
 from caremeter.operators.peers import gap_to_best, vs_benchmark
 
 
@@ -169,6 +169,11 @@ def test_inventory_variants(spark):
     assert set(get(keep_empty=False)) == {"m"}
 
 
+def test_sort_rows_places_nulls(spark):
+    df = spark.createDataFrame([("b", 1), (None, 2), ("a", None), ("a", 3)], "k string, v int")
+    assert [tuple(r) for r in sort_rows(df, "k", "-v").collect()] == [("a", None), ("a", 3), ("b", 1), (None, 2)]
+
+
 def test_top_k_with_ties(spark):
     df = spark.createDataFrame([(i, i % 2) for i in range(10)], "id int, v int")
     assert [r.id for r in top_k(df, [F.desc("v")], 3, ["id"]).collect()] == [1, 3, 5]

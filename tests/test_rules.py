@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import date
 from decimal import Decimal
 
@@ -9,6 +10,7 @@ import pytest
 
 from caremeter.functions.rules import region, safe_corr
 from caremeter.functions.text import has_code, last_token, parse_codes, split_score, to_date_mdy, to_decimal, to_int
+from caremeter.functions import values as V
 from caremeter.functions.values import MEASURE_GROUPS
 from caremeter.plans.silver import build_silver
 from caremeter.sources.schemas import RAW_COLUMNS, SILVER_SCHEMAS, TABLES, bronze_schema
@@ -70,6 +72,30 @@ def test_usability_and_reason(spark):
             assert (row.is_score_usable, row.score_exclusion_reason) == (usable, reason), (score, note, table)
 
 
+def test_rules_hold_on_random_rows(spark):
+    """Code order never matters, and the invariants of the check suite hold for any mix of text."""
+    rng = random.Random(11)
+    all_codes = "1 2 3 4 5 7 8 11 12 13 16 19 22 23 28 29".split()
+    scores = [None, "", "N/A", "Not Available", "very high", "3", "12.5", "-1", " 7", "0"]
+    cases = []
+    for _ in range(400):
+        codes = rng.sample(all_codes, rng.randint(0, 4))
+        cases.append((rng.choice(scores), codes, rng.choice([", ", ",", " , "]).join(codes) if codes else rng.choice([None, ""])))
+    tiers = [({"1", "4", "5"}, "No Score"), ({"7", "12", "13"}, "Not Applicable"), ({"2", "3", "11", "23", "28", "29"}, "Use With Caution")]
+    for table in ("timely_care", "infections"):
+        rows = silver(spark, table, *[{"score": s, "footnote": f} for s, _, f in cases])
+        assert len(rows) == len(cases)
+        for (score, codes, note), row in zip(cases, rows):
+            missing = score in (None, "", "N/A", "Not Available")
+            ladder = ([({"8"}, "No Score - Zero Infections")] if table == "infections" else []) + tiers
+            reason = next((label for wanted, label in ladder if wanted & set(codes)), "No Score" if missing else None)
+            usable = not missing and not set(codes) & set(V.BLOCKED_CODES)
+            assert (row.score_available, row.is_score_usable, row.score_exclusion_reason) == (not missing, usable, reason), (score, note)
+            if table == "timely_care":
+                assert row.score_numeric is None or row.score_text is None
+                assert (row.score_numeric is None and row.score_text is None) == missing
+
+
 def test_score_split(spark):
     texts = ["very high", "12.", "007", " 12", "-3", "1,234", "12\n", None, "", "N/A", "Not Available", "85.5", "1.2.3"]
     numeric, text, available = (values(spark, c, texts) for c in split_score("v"))
