@@ -85,7 +85,7 @@ DIRECT = {
     "c33_name_lengths": lambda k: P.profile_length(
         {"customer": k.table("customer").select(F.col("c_name").alias("name")), "supplier": k.table("supplier").select(F.col("s_name").alias("name"))}, "name"),
     "a17_never_returned": lambda k: C.never_true(
-        k.table("lineitem").select("l_partkey", (F.col("l_returnflag") == "R").alias("returned")), "l_partkey", "returned"),
+        k.table("lineitem").select("l_orderkey", (F.col("l_returnflag") == "R").alias("returned")), "l_orderkey", "returned"),
     "c24_driver_row_counts": lambda k: C.row_counts({t: k.table(t) for t in (
         "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "pages",
         "benchmark", "conversations", "embeddings")}),
@@ -142,7 +142,7 @@ DIRECT_SQL = {
     "c30_odd_order_counts": "SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY o_custkey HAVING count(*) <> 10",
     "c33_name_lengths": "SELECT 'customer' AS table_name, CAST(length(c_name) AS INTEGER) AS id_length, count(*) AS n FROM customer GROUP BY ALL UNION ALL "
                         "SELECT 'supplier', CAST(length(s_name) AS INTEGER), count(*) FROM supplier GROUP BY ALL",
-    "a17_never_returned": "SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count_if(l_returnflag = 'R') = 0",
+    "a17_never_returned": "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count_if(l_returnflag = 'R') = 0",
     "c24_driver_row_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in (
         "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "pages",
         "benchmark", "conversations", "embeddings")),
