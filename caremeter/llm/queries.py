@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from caremeter.llm import language_id as L
 from caremeter.llm.exact_dedup import mark_copies
 from caremeter.llm.line_dedup import drop_shared_lines
+from caremeter.llm.mixing import mix
+from caremeter.llm.packing import pack
 from caremeter.llm.token_counts import count_tokens
 
 
@@ -20,11 +23,34 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mix(docs).select("doc_id", "source", "mix_slot", "mix_position", "mix_block", "mix_epoch")
+
+
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset", "bucket")
+
+
+def held_out() -> Column:
+    """The quarter of the documents that is never learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = L.fit(docs, where=~held_out())
+    return L.detect(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_shared_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -36,7 +62,10 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": mixing,
     "op2_token_counts": token_counts,
+    "op4_packing": packing,
+    "op5_language_id": language_id,
     "op8_line_dedup": line_dedup,
     "op10_exact_dedup": exact_dedup,
 }
