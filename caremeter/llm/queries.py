@@ -10,6 +10,7 @@ from caremeter.llm import language_id as L
 from caremeter.llm.exact_dedup import mark_copies
 from caremeter.llm.line_dedup import drop_shared_lines
 from caremeter.llm.mixing import mix
+from caremeter.llm.order_minhash import near_duplicates
 from caremeter.llm.packing import pack
 from caremeter.llm.token_counts import count_tokens
 
@@ -33,6 +34,10 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
@@ -64,6 +69,7 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing,
     "op2_token_counts": token_counts,
+    "op3_order_minhash": near_dedup,
     "op4_packing": packing,
     "op5_language_id": language_id,
     "op8_line_dedup": line_dedup,
