@@ -8,16 +8,16 @@ back from training, and the refusal threshold is the confidence that nearly all
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from caremeter.llm.common import without
+from caremeter.llm.common import fresh, without
 
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 16
@@ -233,14 +233,9 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
     return train(list(sample["t"]), list(sample["y"]))
 
 
-def detect(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Every row of ``df`` with ``lang_pred``, ``score`` (0 to 1) and ``rejected``.
-
-    Whole texts are read. NULL texts and texts without a letter are ``und`` with score 0 and rejected. Input columns
-    named like an added one are replaced.
-    """
-    df = without(df, "lang_pred", "score", "rejected")
-    shared = df.sparkSession.sparkContext.broadcast(model)    # buckets x dim numbers: does not grow with the data
+def languages(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A function from a text column to a struct of ``lang_pred``, ``score`` and ``rejected``."""
+    shared = spark.sparkContext.broadcast(model)    # buckets x dim numbers: does not grow with the data
 
     @pandas_udf(RESULT)
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -253,6 +248,16 @@ def detect(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     out.append(scorer.predict(texts[begin:i + 1]))
                     begin, chars = i + 1, 0
             yield pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["lang_pred", "score", "rejected"])
+    return predicted
+
 
+def detect(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Every row of ``df`` with ``lang_pred``, ``score`` (0 to 1) and ``rejected``.
+
+    Whole texts are read. NULL texts and texts without a letter are ``und`` with score 0 and rejected. Input columns
+    named like an added one are replaced.
+    """
+    df = without(df, "lang_pred", "score", "rejected")
+    found = fresh(df, "found")
     named = [f"`{c}`" for c in df.columns]
-    return df.withColumn("__found", predicted(F.col(text_col))).select(*named, "__found.*")
+    return df.withColumn(found, languages(df.sparkSession, model)(F.col(text_col))).select(*named, f"{found}.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from caremeter.llm import language_id as L
+from caremeter.llm import ann_graph as A, language_id as L
 from caremeter.llm.chat_format import digest_chats, format_chats
 from caremeter.llm.common import new_dir
 from caremeter.llm.exact_dedup import mark_copies
@@ -59,6 +59,11 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def ann_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return A.search(A.build_index(vectors), vectors.where(F.col("vec_id") % 50 == 0))
+
+
 FORGED = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_order_minhash": near_dedup,
     "op4_packing": packing,
     "op5_language_id": language_id,
+    "op6_ann_graph": ann_graph,
     "op7_chat_format": chat_format,
     "op8_line_dedup": line_dedup,
     "op9_warc_members": warc_members,
