@@ -23,9 +23,11 @@ PRE_TOKEN = re.compile(" +[^ ]*")
 BLANK = "▁"         # how the vocabulary writes a blank; a text's own sign of this kind is one too
 BLOCK_CHARS = 8_000_000  # text of one block; bounds a Python worker's memory
 BLOCK_DOCS = 20_000
+HELD_SUMS = 4_000_000    # documents whose sums a task gathers before it sends them on
 
 SENT = "bucket int, block long, tokens binary, holders binary, docs binary, freqs binary, ids binary, sizes binary"
-COUNTED = "block long, doc int, i long, missing boolean, copies long, bytes long, n long"
+COUNTED = "block long, sums binary, ids binary, sizes binary"
+OUT = "i long, missing boolean, n_bytes long, n_tokens long"
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -120,21 +122,37 @@ def _blocks(buckets: int):
     return run
 
 
-def _documents(r) -> dict:
-    ids = _unpack(r.ids, np.int64).reshape(-1, 2)
-    return {"block": r.block, "doc": np.arange(len(ids)), "i": ids[:, 0], "missing": ids[:, 1] > 0,
-            "copies": 1, "bytes": _unpack(r.sizes, np.int64), "n": 0}
+class _Sums:
+    """Pieces of the documents of some blocks, as far as one task has counted them."""
+
+    def __init__(self):
+        self.of_block: dict[int, np.ndarray] = {}
+        self.held = 0
+
+    def add(self, block: int, docs: np.ndarray, pieces: np.ndarray) -> None:
+        new = np.bincount(docs, pieces).astype(np.int64)
+        old = self.of_block.get(block)
+        if old is None or len(old) < len(new):
+            old, new = new, old
+            self.of_block[block] = old
+            self.held += len(old) - (0 if new is None else len(new))
+        if new is not None:
+            old[:len(new)] += new
+
+    def rows(self) -> pd.DataFrame:
+        out = [(block, _pack(sums, np.int64), b"", b"") for block, sums in self.of_block.items()]
+        self.of_block, self.held = {}, 0
+        return pd.DataFrame(out, columns=["block", "sums", "ids", "sizes"])
 
 
 def _count(model: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter, bucket, known = PieceCounter(model), None, {}
+        counter, bucket, known, sums = PieceCounter(model), None, {}, _Sums()
         for batch in batches:
-            docs, pieces, blocks, sizes = [], [], [], []
-            for r in batch.itertuples(index=False):
-                if r.bucket < 0:
-                    yield pd.DataFrame(_documents(r))
-                    continue
+            listed = batch["bucket"] < 0
+            if listed.any():
+                yield batch.loc[listed, ["block", "ids", "sizes"]].assign(sums=b"")[["block", "sums", "ids", "sizes"]]
+            for r in batch[~listed].itertuples(index=False):
                 if r.bucket != bucket:       # rows come sorted by bucket: one bucket's pre-tokens are held at a time
                     bucket, known = r.bucket, {}
                 tokens = zlib.decompress(r.tokens).decode("utf-8", "surrogatepass").split(BLANK)
@@ -142,18 +160,43 @@ def _count(model: str):
                 if new:
                     known.update(zip(new, counter.many(new)))
                 each = np.repeat(np.array([known[t] for t in tokens], np.int64), _unpack(r.holders, np.uint32))
-                sums = np.bincount(_unpack(r.docs, np.uint16), each * _unpack(r.freqs, np.uint32))
-                held = np.flatnonzero(sums)
-                docs.append(held)
-                pieces.append(sums[held].astype(np.int64))
-                blocks.append(r.block)
-                sizes.append(len(held))
-            if docs:
-                yield pd.DataFrame({"block": np.repeat(np.array(blocks, np.int64), sizes), "doc": np.concatenate(docs),
-                                    "i": 0, "missing": False, "copies": 0, "bytes": 0, "n": np.concatenate(pieces)})
+                sums.add(r.block, _unpack(r.docs, np.uint16), each * _unpack(r.freqs, np.uint32))
+                if sums.held >= HELD_SUMS:
+                    yield sums.rows()
+        yield sums.rows()
     return run
 
 
+def _sum(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by block: sums its parts and lists its documents."""
+    block, copies, ids, sizes, parts = None, 0, b"", b"", []
+
+    def listed() -> pd.DataFrame:
+        own, bytes_ = _unpack(ids, np.int64).reshape(-1, 2), _unpack(sizes, np.int64)
+        total = np.zeros(len(own), np.int64)
+        for p in parts:
+            total[:len(p)] += p
+        out = pd.DataFrame({"i": own[:, 0], "missing": own[:, 1] > 0, "n_bytes": bytes_, "n_tokens": total // copies})
+        return pd.concat([out] * copies, ignore_index=True)     # blocks of equal documents were summed together
+
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            if r.block != block:
+                if block is not None:
+                    yield listed()
+                block, copies, parts = r.block, 0, []
+            if r.ids:
+                copies, ids, sizes = copies + 1, r.ids, r.sizes
+            else:
+                part = _unpack(r.sums, np.int64)
+                if parts and len(parts[0]) >= len(part):
+                    parts[0][:len(part)] += part
+                else:
+                    parts.insert(0, part.copy())
+    if block is not None:
+        yield listed()
+
+
 def count_tokens(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text",
                  buckets: int | None = None) -> DataFrame:
     """One row per row of ``df``: id, ``n_bytes`` (UTF-8) and ``n_tokens`` of its whole text.
@@ -171,11 +214,5 @@ def count_tokens(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
     # document rows stay spread; a bucket's rows meet in one task and follow each other
     home = F.when(F.col("bucket") < 0, F.xxhash64("block")).otherwise(F.col("bucket"))
     counted = sent.repartition(home).sortWithinPartitions("bucket").mapInPandas(_count(model), COUNTED)
-    sums = counted.groupBy("block", "doc").agg(
-        F.max("i").alias("hi"), F.min("i").alias("lo"), F.max("missing").alias("missing"), F.sum("copies").alias("c"),
-        F.max("bytes").alias("b"), F.sum("n").alias("n"))
-    # rows of pieces carry id 0, so the id is whichever end is not 0
-    found = F.when(~F.col("missing"), F.when(F.col("hi") != 0, F.col("hi")).otherwise(F.col("lo")))
-    return sums.select(
-        found.alias(id_col), F.col("b").alias("n_bytes"), F.expr("n div c").alias("n_tokens"),
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("copy")).drop("copy")
+    documents = counted.repartition("block").sortWithinPartitions("block").mapInPandas(_sum, OUT)
+    return documents.select(F.when(~F.col("missing"), F.col("i")).alias(id_col), "n_bytes", "n_tokens")
