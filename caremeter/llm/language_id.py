@@ -134,11 +134,16 @@ def _snippets(text: str, rng: np.random.Generator) -> list[str]:
     return out
 
 
-def train(texts: list[str], labels: list[str], seed: int = 11, epochs: int = 5, rate: float = 8.0, batch: int = 64) -> Model:
-    """Stochastic gradient descent on mini-batches of snippets; a tenth of the texts calibrates and is not trained on."""
+def train(texts: list[str], labels: list[str], seed: int = 11, epochs: int = 5, least_steps: int = 400, rate: float = 8.0,
+          batch: int = 64) -> Model:
+    """Stochastic gradient descent on mini-batches of snippets; a tenth of the texts calibrates and is not trained on.
+
+    Small samples are gone through more often, until ``least_steps`` batches were seen.
+    """
     langs = sorted(set(labels))
     rng = np.random.default_rng(seed)
-    model = Model(langs, rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32), np.zeros((DIM, max(1, len(langs))), np.float32))
+    # embeddings start at zero, so n-grams never met say nothing, and a text of an unknown script is refused
+    model = Model(langs, np.zeros((BUCKETS, DIM), np.float32), rng.normal(0, 1, (DIM, max(1, len(langs)))).astype(np.float32))
     if len(langs) < 2:
         model.langs = langs or [NONE]
         return model
@@ -155,7 +160,9 @@ def train(texts: list[str], labels: list[str], seed: int = 11, epochs: int = 5,
                 targets.append(index[labels[d]])
     targets = np.array(targets, np.int64)
     weight = len(targets) / (len(langs) * np.maximum(np.bincount(targets, minlength=len(langs)), 1))
-    steps, step = epochs * -(-len(bags) // batch), 0
+    per_epoch = max(1, -(-len(bags) // batch))
+    epochs = max(epochs, -(-least_steps // per_epoch))
+    steps, step = epochs * per_epoch, 0
     for _ in range(epochs):
         shuffled = rng.permutation(len(bags))
         for begin in range(0, len(bags), batch):

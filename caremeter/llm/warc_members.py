@@ -237,6 +237,8 @@ def normalise_archives(manifest: DataFrame, folder: str) -> DataFrame:
 
 def read_archives(spark: SparkSession, index: DataFrame, folder: str, id_type: str = "long") -> DataFrame:
     """Records of the normalised files listed in ``index``, each found by its place."""
+    if index.isEmpty():
+        return spark.createDataFrame([], RECORDS).withColumns({c: F.lit(None).cast(id_type) for c in ("page_id", "refers_to")})
     # the sidecar files themselves say what is read; the manifest says which of the folder's files count
     listed = spark.read.schema("name string, offset long, length long").json(f"{folder}/*.idx")
     counted = listed.join(index.select(F.regexp_replace("index", r"\.idx$", "").alias("name")), "name", "left_semi")
