@@ -8,7 +8,7 @@ from operator import add, and_, or_
 from pyspark.sql import Column, functions as F
 
 from caremeter.functions import values as V
-from caremeter.functions.text import as_col, has_code, is_missing
+from caremeter.functions.text import SCORE_TYPE, as_col, has_code, is_missing
 
 
 # ---- recodes ---------------------------------------------------------------------------
@@ -143,12 +143,12 @@ def pct(part: Column, whole: Column, digits: int) -> Column:
 
 def exact_avg(value: Column | str, digits: int) -> Column:
     """AVG in decimal arithmetic, rounded half up: no drift from the order of partial sums."""
-    return F.round(F.avg(as_col(value).cast("decimal(18,6)")), digits).cast(f"decimal(18,{digits})")
+    return F.round(F.avg(as_col(value).cast(SCORE_TYPE)), digits).cast(f"decimal(38,{digits})")
 
 
 def mean_of(total: Column, n: Column, digits: int) -> Column:
     """Average from a pre-aggregated sum and count (same result as ``exact_avg`` on the rows)."""
-    return F.round(total.cast("decimal(28,6)") / F.nullif(n, F.lit(0)).cast("decimal(15,0)"), digits).cast(f"decimal(18,{digits})")
+    return F.round(total.cast(SCORE_TYPE) / F.nullif(n, F.lit(0)).cast("decimal(19,0)"), digits).cast(f"decimal(38,{digits})")
 
 
 def sd(value: Column | str, digits: int) -> Column:

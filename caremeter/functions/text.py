@@ -11,8 +11,8 @@ from pyspark.sql import Column, functions as F
 
 from caremeter.functions import values as V
 
-SCORE_PRECISION = (18, 6)
-SCORE_TYPE = "decimal(18,6)"
+SCORE_PRECISION = (38, 12)     # 26 digits before the point, 12 after it; what is beyond is counted by lost_values
+SCORE_TYPE = "decimal(38,12)"
 
 
 def as_col(c: Column | str) -> Column:
@@ -26,10 +26,7 @@ def parse_codes(footnote: Column | str) -> Column:
 
 def has_code(codes: Column | str, wanted) -> Column:
     """True if the parsed code array holds any wanted code. NULL array -> False."""
-    wanted_array = "array(" + ", ".join(f"'{w}'" for w in wanted) + ")"
-    if isinstance(codes, str):
-        return F.expr(f"coalesce(arrays_overlap({codes}, {wanted_array}), false)")
-    return F.coalesce(F.arrays_overlap(codes, F.expr(wanted_array)), F.lit(False))
+    return F.coalesce(F.arrays_overlap(as_col(codes), F.array(*[F.lit(w) for w in wanted])), F.lit(False))
 
 
 def is_missing(text: Column | str, tokens=V.MISSING_TOKENS) -> Column:
@@ -39,7 +36,7 @@ def is_missing(text: Column | str, tokens=V.MISSING_TOKENS) -> Column:
 
 def to_int(text: Column | str) -> Column:
     c = as_col(text)
-    return F.when(c.rlike(V.INT_PATTERN), c.try_cast("int"))
+    return F.when(c.rlike(V.INT_PATTERN), c.try_cast("bigint"))
 
 
 def looks_decimal(text: Column | str) -> Column:

@@ -109,6 +109,22 @@ def check_lost_values(bronze: DataFrame, silver: DataFrame, table: str, keys, ra
     return pairs.agg(_pair_total("b", "s").alias("lost_scores")).select(F.lit(table).alias("table_name"), "lost_scores")
 
 
+def check_unread_values(bronze: DataFrame, table: str, typed: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """What typing loses, per raw column, in one scan.
+
+    ``typed`` maps a column to (its text has the form of the type, its typed value). ``real_values`` are neither empty
+    nor a word for missing; ``wrong_form`` of them do not have the form, ``beyond_type`` have it but do not fit.
+    """
+    def counts(c, form, value):
+        real = ~is_missing(c) & ~F.col(c).rlike(V.BLANK_PATTERN)
+        form = F.coalesce(form, F.lit(False))
+        return F.struct(F.count_if(real).alias("real_values"), F.count_if(real & ~form).alias("wrong_form"),
+                        F.count_if(form & value.isNull()).alias("beyond_type")).alias(c)
+
+    one = bronze.agg(*[counts(c, *pair) for c, pair in typed.items()])
+    return one.unpivot([], list(typed), "column_name", "p").select(F.lit(table).alias("table_name"), "column_name", "p.*")
+
+
 def join_size(left: DataFrame, right: DataFrame, key: str, label: str) -> DataFrame:
     """Row count of the inner join, from the counts per key."""
     a = left.groupBy(key).agg(F.count("*").alias("a"))

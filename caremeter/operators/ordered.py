@@ -1,10 +1,10 @@
 """Exact ranks and percentiles whose work splits inside a group.
 
 A window or ``percentile`` over a hot group sorts or holds that group in one task. Here rows are
-first collapsed to (group, value, count). The values of a group are then cut by magnitude and
-leading digits, slices get their offset from a running total over their sizes, and only the
-values of one slice are ordered together. The cut depends on the value alone, so a recomputed task
-always cuts the same way.
+first collapsed to (group, value, count), values in their own type. The values of a group are then cut
+by sign, exponent and six leading digits, slices get their offset from a running total over their sizes,
+and only the values of one slice are ordered together. The cut depends on the value alone, so a
+recomputed task always cuts the same way.
 """
 
 from __future__ import annotations
@@ -16,29 +16,33 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from caremeter.functions.rules import mean_of
 from caremeter.operators.common import null_safe_join
 
-VALUE_TYPE = "decimal(18,6)"
+VALUE_TYPE = "decimal(38,12)"      # for interpolation and averages only; ranks compare the values themselves
 
 
 def value_slice(value: Column) -> Column:
-    """Order-preserving slice number: digit count, then the first three digits, of the scaled value.
+    """Order-preserving slice number of any numeric value: its sign, exponent and six leading digits.
 
-    At most about 16,000 slices of either sign; a slice spans 1/100 to 1/1000 of its magnitude.
+    Rounding to a double and to six digits keeps the order, so a larger value never gets a smaller slice.
     """
-    scaled = (value.cast(VALUE_TYPE) * 1_000_000).cast("bigint")
-    digits = F.abs(scaled).cast("string")
-    index = F.length(digits) * 1000 + F.rpad(F.substring(digits, 1, 3), 3, "0").cast("int")
-    return F.when(scaled < 0, -index).otherwise(index)
+    number = value.cast("double")
+    text = F.format_string("%.5e", F.abs(number))            # d.ddddde+xx
+    digits = F.regexp_replace(F.substring_index(text, "e", 1), r"\D", "").cast("bigint")
+    exponent = F.substring_index(text, "e", -1).cast("bigint")
+    index = F.when(number == 0, F.lit(0)).otherwise((exponent + 400) * 1_000_000 + digits).cast("bigint")
+    last = F.lit(10 ** 15)
+    index = F.when(F.isnan(number), last + 1).when(F.abs(number) == float("inf"), last).otherwise(index)
+    return F.when(number < 0, -index).otherwise(index)
 
 
 def ranked_values(df: DataFrame, by, value: str) -> DataFrame:
     """One row per (group, value): ``n`` rows, ``n_below`` rows with a smaller value, ``n_group`` rows in all.
 
-    ``value`` comes back as decimal(18,6), which it must fit. Rows with a NULL value are left out.
+    ``value`` keeps its type. Rows with a NULL value are left out.
     """
     by = list(by)
     counts = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast(VALUE_TYPE).alias(value)).agg(F.count("*").alias("n"))
+        .groupBy(*by, value).agg(F.count("*").alias("n"))
         # one struct key for window and join: NULL groups match, and both share one shuffle
         .withColumn("__slice", F.struct(*by, value_slice(F.col(value)).alias("__s"))))
 
@@ -67,15 +71,17 @@ def distribution(df: DataFrame, by, value: str, ps: dict[str, float], digits: in
     def position(p: float) -> Column:
         return (F.col("n_group").cast("decimal(18,0)") - 1) * F.lit(Decimal(str(p))).cast("decimal(9,8)")
 
+    exact = F.col("__v").cast(VALUE_TYPE)
+
     def holds(index: Column) -> Column:
         return (F.col("n_below") <= index) & (index < F.col("n_below") + F.col("n"))
 
     aggs = [F.max("n_group").alias("n_group"), F.min("__v").alias("min_val"), F.max("__v").alias("max_val"),
-            F.sum(F.col("__v") * F.col("n").cast("decimal(12,0)")).alias("__sum")]
+            F.sum(exact * F.col("n").cast("decimal(19,0)")).alias("__sum")]
     for i, p in enumerate(ps.values()):
         at = F.floor(position(p))
-        aggs += [F.max(F.when(holds(at), F.col("__v"))).alias(f"__lo{i}"),
-                 F.max(F.when(holds(at + 1), F.col("__v"))).alias(f"__hi{i}")]
+        aggs += [F.max(F.when(holds(at), exact)).alias(f"__lo{i}"),
+                 F.max(F.when(holds(at + 1), exact)).alias(f"__hi{i}")]
     ends = ranked.groupBy(*by).agg(*aggs)
 
     def at_fraction(i: int, p: float) -> Column:
@@ -84,7 +90,7 @@ def distribution(df: DataFrame, by, value: str, ps: dict[str, float], digits: in
         return F.coalesce(low + (high - low) * frac, low)
 
     def rounded(c: Column, name: str) -> Column:
-        return F.round(c, digits).cast(f"decimal(18,{digits})").alias(name)
+        return F.round(c.cast(VALUE_TYPE), digits).cast(f"decimal(38,{digits})").alias(name)
 
     return ends.select(
         *by, F.coalesce("n_group", F.lit(0)).alias("n"),
@@ -119,7 +125,7 @@ def peer_rank(df: DataFrame, order: str, within=(), rank: str = "rank", total: s
     places = ranked_values(df, within, order).select(
         *within, F.col(order).alias("__value"),
         (F.col("n_group") - F.col("n_below") - F.col("n") + 1).alias(rank), F.col("n_group").alias(total))
-    rows = df.where(F.col(order).isNotNull()).withColumn("__value", F.col(order).cast(VALUE_TYPE))
+    rows = df.where(F.col(order).isNotNull()).withColumn("__value", F.col(order))
     return null_safe_join(rows, places, [*within, "__value"]).drop("__value")
 
 

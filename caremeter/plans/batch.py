@@ -9,18 +9,21 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from caremeter.sources.store import LayerStore
+from caremeter.sources.store import LayerStore, StaleBatch
 
 LOG_SCHEMA = ("layer string, table_name string, status string, row_count bigint, seconds double, error string, "
               "batch_id string, batch_start timestamp, batch_seconds double")
 
+KEPT = 2      # refreshes of a table that stay: the current one, and the one that running queries may still read
+
 
 def run_batch(spark: SparkSession, store: LayerStore, layer: str, builds: dict[str, Callable[[], DataFrame]],
               audit: str, batch_ts: datetime | None = None, workers: int = 5) -> DataFrame:
     """Refresh every table of a layer; a failing table is logged and keeps its previous rows.
 
     Tables do not depend on each other, so their jobs are submitted side by side. Row counts come
-    from an observation on the write itself, not from a second scan. Returns the run log.
+    from an observation on the write itself, not from a second scan. Returns the run log; its status is
+    ``ok``, ``failed`` (the previous rows stay) or ``stale`` (a newer batch is committed, nothing was written).
     """
     batch_ts = batch_ts or datetime.now(timezone.utc).replace(tzinfo=None)
     batch_id = batch_ts.strftime("%Y%m%dT%H%M%S%f")
@@ -33,8 +36,11 @@ def run_batch(spark: SparkSession, store: LayerStore, layer: str, builds: dict[s
             df = build().withColumn(audit, F.lit(batch_ts))
             store.write(layer, table, df.observe(seen, F.count(F.lit(1)).alias("n")), batch_id)
             status, rows, error = "ok", seen.get["n"], None
+            store.drop_old(layer, table, keep=KEPT)
+        except StaleBatch as exc:
+            status, rows, error = "stale", None, str(exc)
         except Exception as exc:  # one bad table must not stop the others
-            status, rows, error = "failed", None, str(exc).split("\n")[0][:500]
+            status, rows, error = "failed", None, str(exc)
         return layer, table, status, rows, time.monotonic() - start, error
 
     with ThreadPoolExecutor(max_workers=workers) as pool:

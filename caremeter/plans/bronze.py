@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +14,14 @@ from caremeter.sources.store import LayerStore
 
 
 def load_bronze(spark: SparkSession, source_dir: str, store: LayerStore, batch_ts: datetime | None = None,
-                files: dict[str, str] = CSV_FILES, multi_line: bool = True) -> DataFrame:
+                files: dict[str, str] = CSV_FILES, multi_line: Collection[str] = ()) -> DataFrame:
     """Full refresh of the bronze tables from ``source_dir``; returns the run log.
 
-    A value of ``files`` may be a file, a directory or a glob below ``source_dir``.
+    A value of ``files`` may be a file, a directory or a glob below ``source_dir``. ``multi_line`` names the tables
+    whose fields may hold newlines; only their files are read by one task each.
     """
     def reader(table, name):
-        return lambda: read_csv(spark, f"{source_dir.rstrip('/')}/{name}", bronze_schema(table), multi_line)
+        return lambda: read_csv(spark, f"{source_dir.rstrip('/')}/{name}", bronze_schema(table), table in multi_line)
 
     builds = {t: reader(t, name) for t, name in files.items()}
     return run_batch(spark, store, "bronze", builds, BRONZE_AUDIT, batch_ts)

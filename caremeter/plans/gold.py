@@ -90,8 +90,11 @@ def gold_view(name: str, silver: Mapping[str, DataFrame]) -> DataFrame:
     return build(*[silver[t] for t in tables])
 
 
-def register_gold(store: LayerStore) -> None:
-    """Temp views over the store's current silver data; they stay lazy."""
-    silver = {t: store.read("silver", t) for t in ("hospital_general", "timely_care", "complications", "outpatient_imaging")}
-    for name in GOLD_VIEWS:
+def register_gold(store: LayerStore) -> list[str]:
+    """Temp views over the store's current silver data; they stay lazy. Returns the views whose tables all have data."""
+    needed = {t for _, tables in GOLD_VIEWS.values() for t in tables}
+    silver = {t: store.read("silver", t) for t in sorted(needed) if store.has("silver", t)}
+    found = [name for name, (_, tables) in GOLD_VIEWS.items() if all(t in silver for t in tables)]
+    for name in found:
         gold_view(name, silver).createOrReplaceTempView(name)
+    return found

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from caremeter.functions import values as V
 from caremeter.functions.rules import comparison_label
+from caremeter.functions.text import looks_decimal, to_date_mdy, to_decimal, to_int
 from caremeter.operators import checks as C, profiles as P
 from caremeter.operators.common import tagged, union_all
 from caremeter.operators.duplicates import check_duplicates
-from caremeter.sources.schemas import FACTS, LENGTH_LIMITS, TABLES
+from caremeter.sources.schemas import FACTS, LENGTH_LIMITS, RAW_COLUMNS, TABLES
 
 Tables = Mapping[str, DataFrame]
 
@@ -21,6 +22,12 @@ TYPED_SCORES = {
     "outpatient_imaging": ("score",),
     "infections": ("score",),
 }
+WHOLE_NUMBERS = {
+    "hospital_general": ["hospital_overall_rating", *[
+        c for c in RAW_COLUMNS["hospital_general"] if c.endswith("_measure_count") or "_measures_" in c]],
+    "timely_care": ["sample"], "complications": ["denominator"], "outpatient_imaging": [], "infections": [],
+}
+DECIMALS = {t: ["score"] for t in FACTS} | {"complications": ["score", "lower_estimate", "higher_estimate"], "hospital_general": []}
 FACT_KEYS = ("facility_id", "measure_id")
 COMPARED = ("complications", "infections")
 
@@ -102,6 +109,18 @@ def lost_scores(b: Tables, s: Tables) -> DataFrame:
     return union_all([C.check_lost_values(b[t], s[t], t, FACT_KEYS, "score", TYPED_SCORES[t]) for t in FACTS])
 
 
+def typed_columns(table: str) -> dict:
+    """Raw column -> (has the form, typed value) for every column that the load types."""
+    whole = {c: (F.col(c).rlike(V.INT_PATTERN), to_int(c)) for c in WHOLE_NUMBERS[table]}
+    decimal = {c: (looks_decimal(c), to_decimal(c)) for c in DECIMALS[table]}
+    date = {c: (F.col(c).rlike(V.DATE_PREFIX_PATTERN), to_date_mdy(c)) for c in ("start_date", "end_date") if table in FACTS}
+    return whole | decimal | date
+
+
+def unread_values(b: Tables, s: Tables) -> DataFrame:
+    return union_all([C.check_unread_values(b[t], t, typed_columns(t)) for t in TABLES])
+
+
 def date_ranges(b: Tables, s: Tables) -> DataFrame:
     return union_all([C.check_range(s[t], t, "start_date", "end_date", ("earliest", "latest")) for t in FACTS])
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
     """Read headed UTF-8 CSV; columns bind by position, ``""`` is an empty string, a bare empty field is NULL.
 
-    A row with the wrong number of fields fails the read, as a bulk load would.
-    ``multi_line`` allows quoted newlines but makes each *file* one task: ship large inputs as
-    many files, or pass ``False`` when no field holds a newline, so that Spark splits files.
+    A row with the wrong number of fields fails the read, as a bulk load would. Files are split over tasks; a field
+    with a quoted newline then breaks its row in two and fails the read. ``multi_line`` allows such fields, but makes
+    each *file* one task.
     """
     return (
         spark.read.schema(schema)

@@ -61,7 +61,7 @@ def bronze_schema(table: str) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS[table]])
 
 
-_TYPES = {"": T.StringType(), "int": T.IntegerType(), "dec": T.DecimalType(*SCORE_PRECISION),
+_TYPES = {"": T.StringType(), "int": T.LongType(), "dec": T.DecimalType(*SCORE_PRECISION),
           "bool": T.BooleanType(), "date": T.DateType()}
 
 

@@ -1,15 +1,23 @@
 """Layered Parquet tables with full-refresh writes.
 
-``<root>/<layer>/<table>/batch=<id>/``: each refresh writes a new directory, and readers take
-the newest one that carries Spark's ``_SUCCESS`` marker. A write that fails half-way (lost
-executors, bad input) never becomes visible, so the previous rows stay current.
+``<root>/<layer>/<table>/data/<batch>-<attempt>/`` holds one attempt to write a refresh, and
+``<root>/<layer>/<table>/commits/<number>`` names the attempts that ended well, in the order of their
+commits; readers take the newest. A write that fails half-way is never named, so the previous rows stay
+current and the same batch can be tried again at once.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
+class StaleBatch(RuntimeError):
+    """A newer batch of the table is committed already."""
+
+
 class LayerStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -21,17 +29,35 @@ class LayerStore:
         hpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return hpath.getFileSystem(self.spark._jsc.hadoopConfiguration()), hpath
 
+    def _names(self, path: str) -> list[str]:
+        fs, hpath = self._fs(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(hpath)) if fs.exists(hpath) else []
+
+    def _commits(self, layer: str, table: str) -> list[str]:
+        """Attempts that were committed, oldest first. A commit is the name of a file, so it is whole or absent."""
+        names = self._names(f"{self._table_dir(layer, table)}/commits")
+        return [n.split("=", 1)[1] for n in names if "=" in n]
+
     def batches(self, layer: str, table: str) -> list[str]:
-        """Paths of the committed refreshes, oldest first."""
-        fs, path = self._fs(self._table_dir(layer, table))
-        if not fs.exists(path):
-            return []
-        found = [s.getPath().toString() for s in fs.listStatus(path) if s.isDirectory()]
-        return sorted(p for p in found if fs.exists(self._fs(f"{p}/_SUCCESS")[1]))
+        """Paths of the committed refreshes that still exist, oldest first."""
+        there = set(self._names(f"{self._table_dir(layer, table)}/data"))
+        return [f"{self._table_dir(layer, table)}/data/{a}" for a in self._commits(layer, table) if a in there]
+
+    def _check_order(self, layer: str, table: str, batch_id: str) -> None:
+        newest = max((a.split("-")[0] for a in self._commits(layer, table)), default="")
+        if batch_id < newest:
+            raise StaleBatch(f"{layer}.{table}: batch {newest} is committed, {batch_id} is older")
 
     def write(self, layer: str, table: str, df: DataFrame, batch_id: str) -> str:
-        path = f"{self._table_dir(layer, table)}/batch={batch_id}"
-        df.write.mode("errorifexists").parquet(path)
+        """Write and commit one refresh. An older batch than the newest commit is refused, the same batch replaces it."""
+        self._check_order(layer, table, batch_id)
+        attempt = f"{batch_id}-{uuid.uuid4().hex[:12]}"
+        path = f"{self._table_dir(layer, table)}/data/{attempt}"
+        df.write.parquet(path)
+        self._check_order(layer, table, batch_id)       # another job may have committed meanwhile
+        number = len(self._names(f"{self._table_dir(layer, table)}/commits")) + 1
+        fs, commit = self._fs(f"{self._table_dir(layer, table)}/commits/{number:012d}={attempt}")
+        fs.create(commit, False).close()
         return path
 
     def read(self, layer: str, table: str) -> DataFrame:
@@ -40,11 +66,23 @@ class LayerStore:
             raise FileNotFoundError(f"no committed data for {layer}.{table} under {self.root}")
         return self.spark.read.parquet(done[-1])
 
-    def drop_old(self, layer: str, table: str, keep: int = 1) -> None:
-        """Delete all but the newest ``keep`` committed refreshes (run when no reader needs them)."""
-        for path in self.batches(layer, table)[:-keep]:
-            fs, hpath = self._fs(path)
-            fs.delete(hpath, True)
+    def has(self, layer: str, table: str) -> bool:
+        return bool(self.batches(layer, table))
+
+    def drop_old(self, layer: str, table: str, keep: int = 1, grace_seconds: float = 86_400) -> None:
+        """Delete the data of all but the newest ``keep`` commits, and of attempts that were never committed.
+
+        The latter only after ``grace_seconds`` without a change, as a job may still be writing them.
+        """
+        if keep < 1:
+            raise ValueError("at least the current data must be kept")
+        data, done = f"{self._table_dir(layer, table)}/data", self.batches(layer, table)
+        committed, kept = {p.rsplit("/", 1)[1] for p in done}, {p.rsplit("/", 1)[1] for p in done[-keep:]}
+        for name in self._names(data):
+            fs, hpath = self._fs(f"{data}/{name}")
+            idle = time.time() - fs.getFileStatus(hpath).getModificationTime() / 1000
+            if name not in kept and (name in committed or idle > grace_seconds):
+                fs.delete(hpath, True)
 
     def register(self, layer: str, tables) -> None:
         """Temp views ``<layer>_<table>`` over the current data, for SQL users."""
@@ -52,8 +90,18 @@ class LayerStore:
             self.read(layer, t).createOrReplaceTempView(f"{layer}_{t}")
 
     def publish(self, layer: str, tables) -> None:
-        """One catalog namespace per layer, with an external table over each current directory."""
+        """One catalog namespace per layer, with an external table over each current directory.
+
+        A table that exists is pointed at the new directory in one step, so there is no moment without it. Its columns
+        are declared, so a table whose columns changed is created anew.
+        """
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}")
         for t in tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {layer}.{t}")
-            self.spark.catalog.createTable(f"{layer}.{t}", path=self.batches(layer, t)[-1], source="parquet")
+            name, path, data = f"{layer}.{t}", self.batches(layer, t)[-1], self.read(layer, t)
+            if self.spark.catalog.tableExists(name):
+                if self.spark.table(name).dtypes == data.dtypes:
+                    self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
+                    self.spark.catalog.refreshTable(name)
+                    continue
+                self.spark.sql(f"DROP TABLE {name}")
+            self.spark.catalog.createTable(name, path=path, source="parquet")

@@ -31,7 +31,7 @@ def missing(col: str) -> str:
 
 
 def as_int(col: str) -> str:
-    return f"CASE WHEN regexp_full_match({col}, '\\d+') THEN TRY_CAST({col} AS INTEGER) END"
+    return f"CASE WHEN regexp_full_match({col}, '\\d+') THEN TRY_CAST({col} AS BIGINT) END"
 
 
 def is_num(col: str) -> str:
@@ -39,7 +39,7 @@ def is_num(col: str) -> str:
 
 
 def as_dec(col: str) -> str:
-    return f"CASE WHEN {is_num(col)} THEN TRY_CAST({col} AS DECIMAL(18,6)) END"
+    return f"CASE WHEN {is_num(col)} THEN TRY_CAST({col} AS DECIMAL(38,12)) END"
 
 
 def as_date(col: str) -> str:
@@ -56,7 +56,7 @@ def mean(col: str, digits: int, where: str = "") -> str:
     """Half-up rounded average of a non-negative decimal column."""
     f = f" FILTER (WHERE {where})" if where else ""
     n, s = f"count({col}){f}", 10 ** digits
-    total = f"CAST(sum(CAST(({col}) * 1000000 AS BIGINT)){f} AS HUGEINT)"
+    total = f"CAST(sum(CAST(CAST(({col}) AS DECIMAL(38,6)) * 1000000 AS HUGEINT)){f} AS HUGEINT)"
     return f"(({total} * {2 * s} + {n} * 1000000) // nullif(2 * {n} * 1000000, 0)) / {s}::DOUBLE"
 
 
@@ -386,6 +386,28 @@ def _versus(table: str, score: str, where: str, digits: int, own: str, peer: str
             f"GROUP BY ALL) b ON b.state = h.state AND b.measure_id = f.measure_id WHERE f.is_score_usable")
 
 
+TYPED = [("hospital_general", c, "int") for c in (
+    "hospital_overall_rating",
+    "mort_group_measure_count", "facility_mort_measure_count", "mort_measures_better", "mort_measures_no_different", "mort_measures_worse",
+    "safety_group_measure_count", "facility_safety_measure_count", "safety_measures_better", "safety_measures_no_different",
+    "safety_measures_worse", "readm_group_measure_count", "facility_readm_measure_count", "readm_measures_better",
+    "readm_measures_no_different", "readm_measures_worse", "pt_exp_group_measure_count", "facility_pt_exp_measure_count",
+    "te_group_measure_count", "facility_te_measure_count")]
+TYPED += [("timely_care", "sample", "int"), ("complications", "denominator", "int"), ("complications", "lower_estimate", "decimal"),
+          ("complications", "higher_estimate", "decimal")]
+TYPED += [(t, "score", "decimal") for t in FACTS] + [(t, c, "date") for t in FACTS for c in ("start_date", "end_date")]
+
+
+def _unread(table: str, col: str, kind: str) -> str:
+    form = {"int": f"coalesce(regexp_full_match({col}, '\\d+'), false)", "decimal": is_num(col),
+            "date": f"coalesce(regexp_matches({col}, '^\\d\\d/\\d\\d/\\d{{4}}'), false)"}[kind]
+    value = {"int": as_int, "decimal": as_dec, "date": as_date}[kind](col)
+    real = f"NOT {missing(col)} AND NOT regexp_full_match({col}, '\\s*')"
+    return (f"SELECT '{table}' AS table_name, '{col}' AS column_name, count(*) FILTER (WHERE {real}) AS real_values, "
+            f"count(*) FILTER (WHERE {real} AND NOT {form}) AS wrong_form, "
+            f"count(*) FILTER (WHERE {form} AND ({value}) IS NULL) AS beyond_type FROM raw_{table}")
+
+
 GAP = {"complications": "'PSI_03', 'PSI_90'", "outpatient_imaging": "'OP-10'", "infections": "'HAI_1_SIR'"}
 
 
@@ -394,7 +416,7 @@ def _gap() -> str:
     keys = "state, hospital_ownership, hospital_type"
     best = " UNION ALL ".join(
         f"SELECT h.state, h.hospital_ownership, h.hospital_type, measure_id, {mean('score', 2)} AS a FROM {t} JOIN hospital_general h "
-        f"USING (facility_id) WHERE measure_id IN ({m}) AND is_score_usable AND score IS NOT NULL AND {STARS} = 5 GROUP BY ALL" for t, m in GAP.items())
+        f"USING (facility_id) WHERE measure_id IN ({m}) AND is_score_usable AND {STARS} = 5 GROUP BY ALL" for t, m in GAP.items())
     return (f"SELECT o.facility_id, {keys}, measure_id, CAST(round(o.score, 2) AS DOUBLE) AS own_score, b.a AS best_peer_avg, "
             f"CAST(round(o.score - {_d2('b.a')}, 2) AS DOUBLE) AS gap_to_close FROM ({own}) o JOIN hospital_general USING (facility_id) "
             f"JOIN ({best}) b USING ({keys}, measure_id)")
@@ -493,6 +515,7 @@ SQL = {
         f"SELECT '{t}' AS table_name, {num(f'min({c})', 'min_score')}, {num(f'max({c})', 'max_score')} FROM {t}"
         for t, c in ((t, "score_numeric" if t == "timely_care" else "score") for t in FACTS)),
     "c16_lost_scores": " UNION ALL ".join(_lost(t) for t in FACTS),
+    "c16_unread_values": " UNION ALL ".join(_unread(t, c, kind) for t, c, kind in TYPED),
     "c18_spot_hospital": _spot("hospital_general", ["facility_id"], SPOT_IDS,
                                {"facility_name": "bronze_name", "hospital_ownership": "bronze_ownership",
                                 STARS: "bronze_rating", "emergency_services": "bronze_emergency"},

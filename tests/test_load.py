@@ -6,7 +6,9 @@ from datetime import datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
+from caremeter.plans.batch import run_batch
 from caremeter.plans.bronze import load_bronze
 from caremeter.plans.pipeline import refresh
 from caremeter.plans.gold import GOLD_VIEWS, gold_view, register_gold
@@ -15,6 +17,7 @@ from caremeter.sources.csvfiles import read_csv
 from caremeter.sources.schemas import CSV_FILES, FACTS, RAW_COLUMNS, TABLES, bronze_schema
 from caremeter.sources.store import LayerStore
 
+NEWLINES = ("hospital_general",)
 T1, T2, T3 = (datetime(2026, 1, d, 12) for d in (1, 2, 3))
 
 
@@ -62,7 +65,7 @@ def loaded(spark, tmp_path_factory):
     for table, rows in ROWS.items():
         (src / CSV_FILES[table]).write_text(csv_text(table, rows), encoding="utf-8", newline="")
     store = LayerStore(spark, str(tmp_path_factory.mktemp("store")))
-    logs = [load_bronze(spark, str(src), store, T1), load_silver(spark, store, T1)]
+    logs = [load_bronze(spark, str(src), store, T1, multi_line=NEWLINES), load_silver(spark, store, T1)]
     return src, store, [{r.table_name: r for r in log.collect()} for log in logs]
 
 
@@ -113,7 +116,7 @@ def test_failed_table_keeps_its_rows(loaded, spark):
     good = (src / CSV_FILES["infections"]).read_text()
     try:
         (src / CSV_FILES["infections"]).write_text("a,b\n1,2\n")
-        log = {r.table_name: r for r in load_bronze(spark, str(src), store, T2).collect()}
+        log = {r.table_name: r for r in load_bronze(spark, str(src), store, T2, multi_line=NEWLINES).collect()}
     finally:
         (src / CSV_FILES["infections"]).write_text(good)
     assert log["infections"].status == "failed" and log["infections"].error and log["infections"].row_count is None
@@ -129,7 +132,7 @@ def test_failed_table_keeps_its_rows(loaded, spark):
 
 def test_refresh_runs_everything(loaded, spark, tmp_path):
     src, _, _ = loaded
-    log = refresh(spark, str(src), LayerStore(spark, str(tmp_path))).collect()
+    log = refresh(spark, str(src), LayerStore(spark, str(tmp_path)), multi_line=NEWLINES).collect()
     assert [(r.layer, r.status) for r in log] == [("bronze", "ok")] * 5 + [("silver", "ok")] * 5
     assert spark.sql("SELECT count(*) FROM vw_complications_vs_process_care").first()[0] == 1
 
@@ -146,3 +149,80 @@ def test_refresh_replaces_rows(loaded, spark):
     load_bronze(spark, str(src), store, datetime(2026, 2, 1), {"infections": CSV_FILES["infections"]}).collect()
     assert store.read("bronze", "infections").count() == 3
     assert len(store.batches("bronze", "infections")) == 2
+
+
+def small(spark, n):
+    return spark.range(n).select(F.col("id").cast("string").alias("facility_id"))
+
+
+def test_batch_can_be_tried_again_after_a_crash(spark, tmp_path):
+    store = LayerStore(spark, str(tmp_path))
+    with pytest.raises(Exception):
+        store.write("bronze", "t", small(spark, 3).select(F.raise_error(F.lit("lost"))), "20260101")
+    assert not store.has("bronze", "t")
+    store.write("bronze", "t", small(spark, 3), "20260101")
+    store.write("bronze", "t", small(spark, 4), "20260101")      # the same batch once more replaces it
+    assert store.read("bronze", "t").count() == 4
+
+
+def test_older_batch_is_refused_and_logged(spark, tmp_path):
+    store = LayerStore(spark, str(tmp_path))
+    builds = {"t": lambda: small(spark, 5)}
+    assert run_batch(spark, store, "bronze", builds, "at", T2).first().status == "ok"
+    late = run_batch(spark, store, "bronze", builds, "at", T1).first()
+    assert late.status == "stale" and "is older" in late.error and late.row_count is None
+    assert {r["at"] for r in store.read("bronze", "t").collect()} == {T2}
+
+
+def test_old_and_uncommitted_data_goes(spark, tmp_path):
+    store = LayerStore(spark, str(tmp_path))
+    for day in (1, 2, 3, 4):
+        run_batch(spark, store, "bronze", {"t": lambda: small(spark, day)}, "at", datetime(2026, 1, day)).collect()
+    assert [len(store.spark.read.parquet(p).collect()) for p in store.batches("bronze", "t")] == [3, 4]
+    small(spark, 1).write.parquet(f"{tmp_path}/bronze/t/data/20260105T000000-abandoned")
+    store.drop_old("bronze", "t")
+    assert len(list((tmp_path / "bronze/t/data").iterdir())) == 2          # it may still be written
+    store.drop_old("bronze", "t", grace_seconds=0)
+    assert len(list((tmp_path / "bronze/t/data").iterdir())) == 1 and store.read("bronze", "t").count() == 4
+    with pytest.raises(ValueError):
+        store.drop_old("bronze", "t", keep=0)
+
+
+def test_published_table_moves_without_a_gap(spark, tmp_path):
+    store = LayerStore(spark, str(tmp_path))
+    for day in (1, 2):
+        store.write("bronze", "moved", small(spark, day), f"2026010{day}")
+        store.publish("bronze", ["moved"])
+        assert spark.table("bronze.moved").count() == day
+    store.write("bronze", "moved", small(spark, 3).withColumn("more", F.lit(1)), "20260103")
+    store.publish("bronze", ["moved"])
+    assert spark.table("bronze.moved").columns == ["facility_id", "more"] and spark.table("bronze.moved").count() == 3
+
+
+def test_refresh_of_an_empty_folder_returns_the_log(spark, tmp_path):
+    log = refresh(spark, str(tmp_path / "none"), LayerStore(spark, str(tmp_path / "store"))).collect()
+    assert len(log) == 10 and {r.status for r in log} == {"failed"} and all(r.error for r in log)
+
+
+def test_error_text_is_whole(spark, tmp_path):
+    def fail():
+        raise RuntimeError("first line\n" + "x" * 2000)
+    row = run_batch(spark, LayerStore(spark, str(tmp_path)), "bronze", {"t": fail}, "at", T1).first()
+    assert row.error == "first line\n" + "x" * 2000
+
+
+def test_one_file_is_split_and_a_newline_fails_it(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text(csv_text("infections", [fact(i, "HAI_1_SIR", "0.5") for i in range(3000)]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+        df = read_csv(spark, str(path), bronze_schema("infections"))
+        assert df.rdd.getNumPartitions() > 4 and df.count() == 3000 == df.select("facility_id").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for field in ("facility_name", "end_date"):
+        path.write_text(csv_text("infections", [{**fact(1, "HAI_1_SIR", "0.5"), field: "two\nlines"}]))
+        with pytest.raises(Exception):
+            read_csv(spark, str(path), bronze_schema("infections")).collect()
+        assert read_csv(spark, str(path), bronze_schema("infections"), multi_line=True).count() == 1

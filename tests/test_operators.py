@@ -207,3 +207,21 @@ def test_gap_to_best(spark):
     assert [(float(r.own_score), float(r.best_peer_avg), float(r.gap_to_close)) for r in rows] == [(9.0, 4.5, 4.5)]
     everyone = gap_to_best({"t": fact}, dim, {"t": ("m",)}, F.col("hospital_overall_rating") == 5).collect()
     assert {r.facility_id for r in everyone} == {"a", "b", "c", "d"}   # own rows count, usable or not
+
+
+def test_gap_keeps_a_measure_whose_peers_have_no_number(spark):
+    dim, fact = peers_data(spark)
+    more = spark.createDataFrame([("a", "text", Decimal(5), True), ("b", "text", None, True)], fact.schema)
+    rows = gap_to_best({"t": fact.union(more)}, dim, {"t": ("text",)}, F.col("hospital_overall_rating") == 5, entity="a").collect()
+    assert [(float(r.own_score), r.best_peer_avg, r.gap_to_close) for r in rows] == [(5.0, None, None)]
+
+
+def test_ranks_compare_the_values_themselves(spark):
+    df = spark.createDataFrame([(0.1234561,), (0.1234562,), (0.1234563,), (1e15,), (1e300,), (-1e-9,), (-1e-10,), (0.0,)], "v double")
+    got = {r.v: r.rank for r in peer_rank(df, "v").collect()}
+    assert got == {v: 1 + sum(x > v for x in got) for v in got}
+    wide = spark.createDataFrame([(Decimal("12345678901234567890.5"),), (Decimal("12345678901234567890.25"),)], "v decimal(38,12)")
+    assert sorted((r.v, r.rank) for r in peer_rank(wide, "v").collect()) == [
+        (Decimal("12345678901234567890.25"), 2), (Decimal("12345678901234567890.5"), 1)]
+    longs = spark.createDataFrame([(2 ** 62 + i,) for i in range(5)], "v long")
+    assert {r.v - 2 ** 62: r.rank for r in peer_rank(longs, "v").collect()} == {i: 5 - i for i in range(5)}

@@ -102,14 +102,17 @@ def test_score_split(spark):
     assert numeric == [None, Decimal(12), Decimal(7), None, None, None, None, None, None, None, None, Decimal("85.5"), None]
     assert text == ["very high", None, None, " 12", "-3", "1,234", "12\n", None, None, None, None, None, "1.2.3"]
     assert available == [True] * 7 + [False] * 4 + [True] * 2
+    numeric, text, available = (values(spark, c, ["1234567890123", "0.1234567"]) for c in split_score("v"))
+    assert (numeric, text, available) == ([Decimal("1234567890123"), Decimal("0.1234567")], [None, None], [True, True])
     row = silver(spark, "outpatient_imaging", {"score": "very high"})[0]
     assert (row.score, row.score_available, row.is_score_usable) == (None, True, True)
 
 
 def test_casts(spark):
     assert values(spark, to_int("v"), ["7", "007", "99999999999", "", None, "-1", "1.0", "5\n"]) == [
-        7, 7, None, None, None, None, None, None]
-    assert values(spark, to_decimal("v"), ["1.25", "9" * 20, "abc"]) == [Decimal("1.25"), None, None]
+        7, 7, 99999999999, None, None, None, None, None]
+    assert values(spark, to_decimal("v"), ["1.25", "1234567890123", "0.1234567", "9" * 27, "abc"]) == [
+        Decimal("1.25"), Decimal("1234567890123"), Decimal("0.1234567"), None, None]
     assert values(spark, to_date_mdy("v"), ["01/31/2025", "", "2025-01-31", "02/31/2025", "01/31/2025 x", None, "1/3/2025"]) == [
         date(2025, 1, 31), None, None, None, date(2025, 1, 31), None, None]
     assert values(spark, last_token("v"), ["HAI_1_SIR", "X_", "plain"]) == ["SIR", None, "plain"]
@@ -141,7 +144,7 @@ STATUS = [
     ("7", "7", None, "Fully Rated"), ("3", "7", None, "Partially Rated"), ("0", "7", None, "Not Rated"),
     ("Not Available", "7", None, "Not Rated"), ("0", "0", None, "Fully Rated"), ("7", "7", "5, 23", "Data Quality Issue"),
     ("7", "7", "5, 19, 22, 23", "Federal (DoD, VA)"), ("7", "7", "23, 19", "Not Participating"),
-    ("7", "7", "5", "Insufficient Data"), ("99999999999", "7", "", "Not Rated"), ("3", None, "16", "Partially Rated"),
+    ("7", "7", "5", "Insufficient Data"), ("99999999999", "7", "", "Partially Rated"), ("3", None, "16", "Partially Rated"),
 ]
 
 
