@@ -9,7 +9,9 @@ recomputed task always cuts the same way.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -134,6 +136,16 @@ def sort_rows(df: DataFrame, *keys: str) -> DataFrame:
     return df.orderBy(*[F.desc_nulls_first(k[1:]) if k.startswith("-") else F.asc_nulls_last(k) for k in keys])
 
 
+def in_order(*keys: str):
+    """Decorator: the report comes in its documented order (keys as in ``sort_rows``, tie-breakers last)."""
+    def decorate(report: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(report)
+        def sorted_report(*args, **kwargs) -> DataFrame:
+            return sort_rows(report(*args, **kwargs), *keys)
+        return sorted_report
+    return decorate
+
+
 def top_k(df: DataFrame, order, k: int, tiebreak=()) -> DataFrame:
     """First ``k`` rows in a total order: per-task heaps, then one merge of ``k`` rows per task."""
     return df.orderBy(*order, *tiebreak).limit(k)

@@ -66,17 +66,15 @@ def share_within(df: DataFrame, keys, within=(), digits: int = 2, n: str = "n",
                  extra=()) -> DataFrame:
     """Count per key and its share of the enclosing group (or of all rows).
 
-    The total is taken over the counts, never over the rows; the overall total is a scalar
-    subquery, so no row set is moved to one task.
+    The total is taken over the counts, never over the rows, so the rows are counted once.
     """
     counts = df.groupBy(*keys).agg(F.count("*").alias(n), *extra)
     return counts.withColumn(pct_name, pct(F.col(n), share_total(counts, n, within), digits))
 
 
 def share_total(counts: DataFrame, n: str, within=()) -> Column:
-    if within:
-        return F.sum(n).over(Window.partitionBy(*within))
-    return counts.agg(F.sum(n)).scalar()
+    """Sum of ``n`` over the enclosing group, or over all of ``counts``, which holds one row per key and not the data."""
+    return F.sum(n).over(Window.partitionBy(*(within or [F.lit(0)])))
 
 
 def inventory(fact: DataFrame, by, score: str, where: Column | None = None, avg_usable_only: bool = False,

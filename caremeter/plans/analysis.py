@@ -10,8 +10,9 @@ from caremeter.functions import values as V
 from caremeter.functions.rules import completeness_pct, exact_avg, pct, r_squared, reporting_profile, safe_corr, sd
 from caremeter.operators import checks as C, profiles as P
 from caremeter.operators.compare import compare_means, entity_mean, group_stats, outcome_mix, quadrants
-from caremeter.operators.ordered import column_distributions, peer_rank, pick, sort_rows
+from caremeter.operators.ordered import column_distributions, in_order, peer_rank, pick, sort_rows
 from caremeter.operators.peers import gap_to_best, vs_benchmark
+from caremeter.plans.explore import stars_within_ownership
 from caremeter.plans.gold import imaging_vs_ed_wait, ownership_stats
 from caremeter.sources.schemas import FACTS
 
@@ -31,6 +32,7 @@ def _rated_shares(n: str) -> list[Column]:
 
 # ---- ownership and ratings -------------------------------------------------------------
 
+@in_order("-total_hospitals", "hospital_ownership")
 def ownership_overview(s: Tables) -> DataFrame:
     total, rated = F.count("*"), F.count(STARS)
     return s["hospital_general"].where(F.col("hospital_ownership") != V.TRIBAL_VALUE).groupBy("hospital_ownership").agg(
@@ -38,6 +40,12 @@ def ownership_overview(s: Tables) -> DataFrame:
         exact_avg(STARS, 2).alias("avg_star_rating"), sd(STARS, 2).alias("stddev_rating"), *_rated_shares("hospitals_rated"))
 
 
+@in_order("hospital_ownership", "stars")
+def star_distribution(s: Tables) -> DataFrame:
+    return stars_within_ownership(s, digits=1).withColumnRenamed(STARS, "stars")
+
+
+@in_order("ownership_group", "-total_hospitals", "ownership_subtype")
 def ownership_subtypes(s: Tables) -> DataFrame:
     out = s["hospital_general"].groupBy(
         F.col("hospital_ownership").alias("ownership_group"), F.col("hospital_ownership_details").alias("ownership_subtype"))
@@ -47,6 +55,7 @@ def ownership_subtypes(s: Tables) -> DataFrame:
 
 # ---- completeness and ratings ----------------------------------------------------------
 
+@in_order("stars")
 def completeness_by_stars(s: Tables) -> DataFrame:
     rows = s["hospital_general"].where(F.col(STARS).isNotNull()).select(
         F.col(STARS).alias("stars"), completeness_pct().alias("c"))
@@ -61,6 +70,7 @@ def completeness_correlation(s: Tables) -> DataFrame:
                     F.round(r_squared("c", STARS), 4).alias("r_squared"))
 
 
+@in_order("-n_hospitals", "reporting_profile")
 def reporting_profiles(s: Tables) -> DataFrame:
     rows = s["hospital_general"].select(reporting_profile().alias("reporting_profile"), STARS)
     return P.share_within(rows, ["reporting_profile"], digits=1, n="n_hospitals", pct_name="pct_of_total", extra=[
@@ -117,18 +127,21 @@ def entity_outcomes(s: Tables, facility: str) -> DataFrame:
     return sort_rows(rows, "compared_to_national", "measure_id")
 
 
+@in_order("measure_id", "facility_id")
 def ed_waits_vs_state(s: Tables, facility: str | None = None) -> DataFrame:
     """Waits beside the state average; the average has no 24-hour cap. No ``facility``: all of them."""
     return vs_benchmark(s["timely_care"], s["hospital_general"], "score_numeric", V.ED_WAIT_MEASURES,
                         ("wait_minutes", "state_avg_wait", "vs_state_diff"), entity=facility, digits=1)
 
 
+@in_order("measure_id", "facility_id", "measure_name")
 def imaging_vs_state(s: Tables, facility: str | None = None) -> DataFrame:
     return vs_benchmark(s["outpatient_imaging"], s["hospital_general"], "score", V.IMAGING_MEASURES,
                         ("own_score", "state_avg_score", "vs_state_diff"), entity=facility, digits=2,
                         extra=("measure_name",))
 
 
+@in_order("rank_by_stars", "facility_name", "facility_id")
 def peer_ranking(s: Tables, within=PEER_KEYS, peers: Column | None = None) -> DataFrame:
     """Rank by stars inside each peer group, or inside the one group that ``peers`` selects."""
     rows = s["hospital_general"] if peers is None else s["hospital_general"].where(peers)
@@ -137,6 +150,7 @@ def peer_ranking(s: Tables, within=PEER_KEYS, peers: Column | None = None) -> Da
     return ranked.withColumnRenamed(STARS, "stars")
 
 
+@in_order("-gap_to_close", "measure_id", "facility_id")
 def gap_to_five_stars(s: Tables, facility: str | None = None, measures=None) -> DataFrame:
     measures = measures or V.GAP_MEASURES
     return gap_to_best({t: s[t] for t in measures}, s["hospital_general"], measures, F.col(STARS) == 5,

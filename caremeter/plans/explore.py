@@ -10,7 +10,7 @@ from caremeter.functions import values as V
 from caremeter.functions.rules import known_states, mean_of, outcome_category, pct, region
 from caremeter.operators import checks as C, profiles as P
 from caremeter.operators.compare import compare_means, group_stats
-from caremeter.operators.ordered import distribution, top_k
+from caremeter.operators.ordered import distribution, in_order, top_k
 from caremeter.plans.gold import ed_scores, imaging_scores
 from caremeter.sources.schemas import FACTS
 
@@ -38,6 +38,7 @@ def imaging_inventory(s: Tables, usable_rows_only: bool = False) -> DataFrame:
     return P.inventory(s["outpatient_imaging"], ["measure_id", "measure_name"], "score", usable_rows_only=usable_rows_only)
 
 
+@in_order("condition", "measure_id", "measure_name")
 def process_inventory(s: Tables) -> DataFrame:
     out = P.inventory(s["timely_care"], ["condition", "measure_id", "measure_name"], "score_numeric",
                       F.col("condition") != V.ED_CONDITION, avg_usable_only=True, keep_empty=False)
@@ -48,11 +49,13 @@ def _rated(s: Tables) -> DataFrame:
     return s["complications"].where(F.col("is_score_usable") & F.col("compared_to_national").isNotNull())
 
 
+@in_order("category", "compared_to_national")
 def outcomes_by_category(s: Tables) -> DataFrame:
     rows = _rated(s).select(outcome_category("measure_id").alias("category"), "compared_to_national")
     return P.share_within(rows, ["category", "compared_to_national"], ["category"], pct_name="pct_within_category")
 
 
+@in_order("hospital_ownership", "compared_to_national")
 def outcomes_by_ownership(s: Tables) -> DataFrame:
     """Outcome shares per ownership; facts reach the join as counts per facility and outcome."""
     counts = _rated(s).groupBy("facility_id", "compared_to_national").agg(F.count("*").alias("__n"))
@@ -101,11 +104,13 @@ def complication_sample(s: Tables, min_rated: int = V.MIN_RATED) -> DataFrame:
 
 # ---- distributions ---------------------------------------------------------------------
 
+@in_order("measure_id")
 def ed_percentiles(s: Tables) -> DataFrame:
     return distribution(_usable(s["timely_care"].where(_is_ed()), "score_numeric"), ["measure_id"], "score_numeric",
                         QUARTILES).drop("avg_val")
 
 
+@in_order("measure_id", "measure_name")
 def imaging_percentiles(s: Tables) -> DataFrame:
     return distribution(_usable(s["outpatient_imaging"], "score"), ["measure_id", "measure_name"], "score",
                         QUARTILES).drop("avg_val")
@@ -119,6 +124,7 @@ def imaging_outliers(s: Tables, measure: str = V.IMAGING_OUTLIER, k: int = 50) -
     return top_k(rows.join(dim, "facility_id"), [F.desc_nulls_last("score")], k, [F.asc_nulls_last("facility_id")])
 
 
+@in_order("hospital_ownership", "hospital_overall_rating")
 def stars_within_ownership(s: Tables, digits: int = 2) -> DataFrame:
     return P.share_within(s["hospital_general"].where(F.col("hospital_overall_rating").isNotNull()),
                           ["hospital_ownership", "hospital_overall_rating"], ["hospital_ownership"], digits,
@@ -127,6 +133,7 @@ def stars_within_ownership(s: Tables, digits: int = 2) -> DataFrame:
 
 # ---- design checks ---------------------------------------------------------------------
 
+@in_order("region", "state")
 def state_regions(s: Tables) -> DataFrame:
     rows = s["hospital_general"].select("state", region("state", "UNMAPPED").alias("region"))
     return P.profile_values(rows, ["state", "region"], n="n_hospitals")
@@ -136,14 +143,17 @@ def unmapped_states(s: Tables) -> DataFrame:
     return P.profile_distinct(s["hospital_general"].where(~F.col("state").isin(*known_states())), ["state"])
 
 
+@in_order("measure_id")
 def shared_measures(s: Tables) -> DataFrame:
     return C.in_many({t: s[t] for t in FACTS}, "measure_id")
 
 
+@in_order("-n_measures", "source")
 def measure_counts(s: Tables) -> DataFrame:
     return P.distinct_per_table({t: s[t] for t in FACTS}, "measure_id")
 
 
+@in_order("-availability_usability_gap_pct", "measure_id")
 def availability_gap(s: Tables) -> DataFrame:
     return P.usability_gap(s["infections"], ["measure_id"])
 
@@ -177,6 +187,7 @@ def imaging_ed_correlation(s: Tables) -> DataFrame:
         "avg_imaging_score", "avg_ed_wait_minutes", dict(PAIR_NAMES, n="sample_size", r2="r_squared")))
 
 
+@in_order("-n_hospitals", "hospital_ownership")
 def imaging_ed_by_ownership(s: Tables) -> DataFrame:
     owners = s["hospital_general"].select("facility_id", "hospital_ownership").where(
         F.col("hospital_ownership") != V.TRIBAL_VALUE)

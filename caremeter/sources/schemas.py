@@ -20,7 +20,9 @@ CSV_FILES = {
 }
 
 # fixed values: column order of the published files
-PLACE = "facility_id facility_name address city state zip_code county".split()
+PLACE = [
+    "facility_id", "facility_name", "address", "city", "state", "zip_code", "county",
+]
 
 
 def _raw_group_columns() -> list[str]:
@@ -33,23 +35,25 @@ def _raw_group_columns() -> list[str]:
 
 
 RAW_COLUMNS = {
-    "hospital_general": PLACE + (
-        "telephone_number hospital_type hospital_ownership emergency_services birthing_friendly_designation "
-        "hospital_overall_rating hospital_overall_rating_footnote"
-    ).split() + _raw_group_columns(),
-    "timely_care": PLACE + (
-        "telephone_number condition measure_id measure_name score sample footnote start_date end_date"
-    ).split(),
-    "complications": PLACE + (
-        "telephone_number measure_id measure_name compared_to_national denominator score lower_estimate "
-        "higher_estimate footnote start_date end_date"
-    ).split(),
-    "outpatient_imaging": PLACE + (
-        "telephone_number measure_id measure_name score footnote start_date end_date"
-    ).split(),
-    "infections": PLACE + (
-        "telephone_number measure_id measure_name compared_to_national score footnote start_date end_date"
-    ).split(),
+    "hospital_general": PLACE + [
+        "telephone_number", "hospital_type", "hospital_ownership", "emergency_services",
+        "birthing_friendly_designation", "hospital_overall_rating", "hospital_overall_rating_footnote",
+    ] + _raw_group_columns(),
+    "timely_care": PLACE + [
+        "telephone_number", "condition", "measure_id", "measure_name", "score", "sample", "footnote", "start_date",
+        "end_date",
+    ],
+    "complications": PLACE + [
+        "telephone_number", "measure_id", "measure_name", "compared_to_national", "denominator", "score",
+        "lower_estimate", "higher_estimate", "footnote", "start_date", "end_date",
+    ],
+    "outpatient_imaging": PLACE + [
+        "telephone_number", "measure_id", "measure_name", "score", "footnote", "start_date", "end_date",
+    ],
+    "infections": PLACE + [
+        "telephone_number", "measure_id", "measure_name", "compared_to_national", "score", "footnote", "start_date",
+        "end_date",
+    ],
 }
 
 BRONZE_AUDIT = "dwh_load_date"
@@ -61,48 +65,48 @@ def bronze_schema(table: str) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS[table]])
 
 
-_TYPES = {"": T.StringType(), "int": T.LongType(), "dec": T.DecimalType(*SCORE_PRECISION),
-          "bool": T.BooleanType(), "date": T.DateType()}
+TEXT, WHOLE, DECIMAL, FLAG, DATE = (
+    T.StringType(), T.LongType(), T.DecimalType(*SCORE_PRECISION), T.BooleanType(), T.DateType())
 
 
-def _struct(spec: str) -> list[T.StructField]:
-    """``'a:int b c:date'`` -> fields; no type means string."""
-    fields = []
-    for item in spec.split():
-        name, _, kind = item.partition(":")
-        fields.append(T.StructField(name, _TYPES[kind], nullable=name != "facility_id"))
-    return fields
+def _fields(names, kind: T.DataType = TEXT) -> list[T.StructField]:
+    return [T.StructField(n, kind, nullable=n != "facility_id") for n in names]
 
 
-def _group_fields() -> str:
+def _group_fields() -> list[T.StructField]:
     out = []
     for g, (with_outcomes, _) in MEASURE_GROUPS.items():
-        out += [f"{g}_group_measures_count:int", f"facility_{g}_measures_count:int"]
-        out += [f"{g}_measures_{o}:int" for o in ("better", "no_different", "worse")] if with_outcomes else []
-        out += [f"{g}_group_footnote"]
-        out += [f"{g}_{f}:bool" for f in ("not_reported", "not_participating", "dod_hospital", "data_issue")]
-        out += [f"{g}_reporting_status"]
-    return " ".join(out)
+        out += _fields([f"{g}_group_measures_count", f"facility_{g}_measures_count"], WHOLE)
+        out += _fields([f"{g}_measures_{o}" for o in ("better", "no_different", "worse")], WHOLE) if with_outcomes else []
+        out += _fields([f"{g}_group_footnote"])
+        out += _fields([f"{g}_{f}" for f in ("not_reported", "not_participating", "dod_hospital", "data_issue")], FLAG)
+        out += _fields([f"{g}_reporting_status"])
+    return out
 
 
-_PLACE = " ".join(PLACE)
-_USABILITY = "score_available:bool is_score_usable:bool score_exclusion_reason"
-_PERIOD = "footnote start_date:date end_date:date"
+_USABILITY = [*_fields(["score_available", "is_score_usable"], FLAG), *_fields(["score_exclusion_reason"])]
+_PERIOD = [*_fields(["footnote"]), *_fields(["start_date", "end_date"], DATE)]
 
 SILVER_SCHEMAS = {
-    "hospital_general": T.StructType(_struct(
-        f"{_PLACE} hospital_type hospital_ownership hospital_ownership_details emergency_services:bool "
-        "birthing_friendly_designation:bool hospital_overall_rating:int hospital_overall_rating_footnote "
-        + _group_fields())),
-    "timely_care": T.StructType(_struct(
-        f"{_PLACE} condition measure_id measure_name score_numeric:dec score_text {_USABILITY} sample:int {_PERIOD}")),
-    "complications": T.StructType(_struct(
-        f"{_PLACE} measure_id measure_name compared_to_national denominator:int score:dec lower_estimate:dec "
-        f"higher_estimate:dec {_USABILITY} {_PERIOD}")),
-    "outpatient_imaging": T.StructType(_struct(
-        f"{_PLACE} measure_id measure_name score:dec {_USABILITY} {_PERIOD}")),
-    "infections": T.StructType(_struct(
-        f"{_PLACE} measure_id measure_suffix measure_name compared_to_national score:dec {_USABILITY} {_PERIOD}")),
+    "hospital_general": T.StructType([
+        *_fields([*PLACE, "hospital_type", "hospital_ownership", "hospital_ownership_details"]),
+        *_fields(["emergency_services", "birthing_friendly_designation"], FLAG),
+        *_fields(["hospital_overall_rating"], WHOLE),
+        *_fields(["hospital_overall_rating_footnote"]),
+        *_group_fields()]),
+    "timely_care": T.StructType([
+        *_fields([*PLACE, "condition", "measure_id", "measure_name"]),
+        *_fields(["score_numeric"], DECIMAL), *_fields(["score_text"]),
+        *_USABILITY, *_fields(["sample"], WHOLE), *_PERIOD]),
+    "complications": T.StructType([
+        *_fields([*PLACE, "measure_id", "measure_name", "compared_to_national"]),
+        *_fields(["denominator"], WHOLE), *_fields(["score", "lower_estimate", "higher_estimate"], DECIMAL),
+        *_USABILITY, *_PERIOD]),
+    "outpatient_imaging": T.StructType([
+        *_fields([*PLACE, "measure_id", "measure_name"]), *_fields(["score"], DECIMAL), *_USABILITY, *_PERIOD]),
+    "infections": T.StructType([
+        *_fields([*PLACE, "measure_id", "measure_suffix", "measure_name", "compared_to_national"]),
+        *_fields(["score"], DECIMAL), *_USABILITY, *_PERIOD]),
 }
 
 # fixed values: declared text lengths, kept as warn-level checks instead of storage limits

@@ -137,7 +137,7 @@ DIRECT_SQL = {
     "t1_part_name_codes": "SELECT p_partkey, list_has_any(string_split(p_name, ' '), ['red', 'gear']) AS wanted FROM part",
     "t8_priority_recode": "SELECT o_orderkey, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Now' WHEN '2' THEN 'Now' WHEN '3' THEN 'Soon' WHEN '4' THEN NULL "
                           "ELSE 'Later' END AS bucket FROM orders",
-    "f8_f10_casts": "SELECT o_orderkey, CAST(left(o_orderpriority, 1) AS BIGINT) AS level, CAST(NULL AS INTEGER) AS not_a_number, "
+    "f8_f10_casts": "SELECT o_orderkey, CAST(left(o_orderpriority, 1) AS BIGINT) AS level, CAST(NULL AS BIGINT) AS not_a_number, "
                     "CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders",
     "c30_odd_order_counts": "SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY o_custkey HAVING count(*) <> 10",
     "c33_name_lengths": "SELECT 'customer' AS table_name, CAST(length(c_name) AS INTEGER) AS id_length, count(*) AS n FROM customer GROUP BY ALL UNION ALL "

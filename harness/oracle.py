@@ -13,7 +13,8 @@ from harness.derive import RAW, raw_sql
 
 FACTS = ("timely_care", "complications", "outpatient_imaging", "infections")
 GROUPS = ("mort", "safety", "readm", "pt_exp", "te")
-BLOCKED = "1 2 3 4 5 7 8 12 13 23 28 29"
+# fixed values: footnote codes
+BLOCKED = ("1", "2", "3", "4", "5", "7", "8", "12", "13", "23", "28", "29")
 
 
 # ---- fragments -------------------------------------------------------------------------
@@ -22,8 +23,8 @@ def quoted(items) -> str:
     return ", ".join(f"'{i}'" for i in items)
 
 
-def has(col: str, codes: str) -> str:
-    return f"coalesce(list_has_any(list_transform(string_split({col}, ','), lambda z: trim(z)), [{quoted(codes.split())}]), false)"
+def has(col: str, codes) -> str:
+    return f"coalesce(list_has_any(list_transform(string_split({col}, ','), lambda z: trim(z)), [{quoted(codes)}]), false)"
 
 
 def missing(col: str) -> str:
@@ -105,8 +106,8 @@ def _usability(lead: str = "") -> list[str]:
     return [
         f"NOT {missing('score')} AS score_available",
         f"NOT {missing('score')} AND NOT {has('footnote', BLOCKED)} AS is_score_usable",
-        f"CASE {lead} WHEN {has('footnote', '1 4 5')} THEN 'No Score' WHEN {has('footnote', '7 12 13')} THEN 'Not Applicable' "
-        f"WHEN {has('footnote', '2 3 11 23 28 29')} THEN 'Use With Caution' WHEN {missing('score')} THEN 'No Score' "
+        f"CASE {lead} WHEN {has('footnote', ('1', '4', '5'))} THEN 'No Score' WHEN {has('footnote', ('7', '12', '13'))} THEN 'Not Applicable' "
+        f"WHEN {has('footnote', ('2', '3', '11', '23', '28', '29'))} THEN 'Use With Caution' WHEN {missing('score')} THEN 'No Score' "
         "END AS score_exclusion_reason",
     ]
 
@@ -134,14 +135,14 @@ def _hospital_sql() -> str:
         "trim(hospital_overall_rating_footnote) AS hospital_overall_rating_footnote"]
     for g in GROUPS:
         note, own, all_ = f"{g}_group_footnote", as_int(f"facility_{g}_measure_count"), as_int(f"{g}_group_measure_count")
-        issue = has(note, "23") if g in ("mort", "safety", "readm") else "false"
+        issue = has(note, ('23',)) if g in ("mort", "safety", "readm") else "false"
         cols += [f"{all_} AS {g}_group_measures_count", f"{own} AS facility_{g}_measures_count"]
         if g in ("mort", "safety", "readm"):
             cols += [f"{as_int(f'{g}_measures_{o}')} AS {g}_measures_{o}" for o in ("better", "no_different", "worse")]
-        cols += [f"trim({note}) AS {note}", f"{has(note, '5')} AS {g}_not_reported", f"{has(note, '19')} AS {g}_not_participating",
-                 f"{has(note, '22')} AS {g}_dod_hospital", f"{issue} AS {g}_data_issue",
-                 f"CASE WHEN {has(note, '22')} THEN 'Federal (DoD, VA)' WHEN {has(note, '19')} THEN 'Not Participating' "
-                 f"WHEN {issue} THEN 'Data Quality Issue' WHEN {has(note, '5')} THEN 'Insufficient Data' "
+        cols += [f"trim({note}) AS {note}", f"{has(note, ('5',))} AS {g}_not_reported", f"{has(note, ('19',))} AS {g}_not_participating",
+                 f"{has(note, ('22',))} AS {g}_dod_hospital", f"{issue} AS {g}_data_issue",
+                 f"CASE WHEN {has(note, ('22',))} THEN 'Federal (DoD, VA)' WHEN {has(note, ('19',))} THEN 'Not Participating' "
+                 f"WHEN {issue} THEN 'Data Quality Issue' WHEN {has(note, ('5',))} THEN 'Insufficient Data' "
                  f"WHEN ({own}) = ({all_}) THEN 'Fully Rated' WHEN ({own}) > 0 THEN 'Partially Rated' ELSE 'Not Rated' END "
                  f"AS {g}_reporting_status"]
     return f"SELECT {', '.join(cols)} FROM raw_hospital_general"
@@ -166,17 +167,25 @@ CTES |= {
     "outpatient_imaging": _fact_sql("outpatient_imaging", [*_ID, f"{as_dec('score')} AS score"]),
     "infections": _fact_sql("infections", [
         *_ID, "nullif(trim(regexp_extract(measure_id, '[^_]+$')), '') AS measure_suffix", COMPARED,
-        f"{as_dec('score')} AS score"], lead=f"WHEN {has('footnote', '8')} THEN 'No Score - Zero Infections'"),
+        f"{as_dec('score')} AS score"], lead=f"WHEN {has('footnote', ('8',))} THEN 'No Score - Zero Infections'"),
 }
 
 # ---- views -----------------------------------------------------------------------------
 
-REGION = (
-    "CASE WHEN list_contains(string_split('CT ME MA NH RI VT NJ NY PA', ' '), state) THEN 'Northeast' "
-    "WHEN list_contains(string_split('IL IN MI OH WI IA KS MN MO NE ND SD', ' '), state) THEN 'Midwest' "
-    "WHEN list_contains(string_split('DE FL GA MD NC SC VA DC WV AL KY MS TN AR LA OK TX', ' '), state) THEN 'South' "
-    "WHEN list_contains(string_split('AZ CO ID MT NV NM UT WY AK CA HI OR WA', ' '), state) THEN 'West' "
-    "WHEN list_contains(string_split('PR GU VI AS MP', ' '), state) THEN 'Territory' ELSE '@else' END")
+# fixed values: states of each region
+REGION_STATES = {
+    "Northeast": (
+        "CT", "ME", "MA", "NH", "RI", "VT", "NJ", "NY", "PA"),
+    "Midwest": (
+        "IL", "IN", "MI", "OH", "WI", "IA", "KS", "MN", "MO", "NE", "ND", "SD"),
+    "South": (
+        "DE", "FL", "GA", "MD", "NC", "SC", "VA", "DC", "WV", "AL", "KY", "MS", "TN", "AR", "LA", "OK", "TX"),
+    "West": (
+        "AZ", "CO", "ID", "MT", "NV", "NM", "UT", "WY", "AK", "CA", "HI", "OR", "WA"),
+    "Territory": (
+        "PR", "GU", "VI", "AS", "MP"),
+}
+REGION = "CASE " + " ".join(f"WHEN state IN ({quoted(states)}) THEN '{name}'" for name, states in REGION_STATES.items()) + " ELSE '@else' END"
 ED_WAITS = "regexp_full_match(measure_id, 'OP_18[abcd]')"
 IMG = "measure_id IN ('OP-10', 'OP-13', 'OP-39')"
 
@@ -613,7 +622,7 @@ SQL = {
                              f"{deviation(STARS)} AS stddev_rating, count({STARS}) AS hospitals_rated, count_if({STARS} >= 4) AS n_high_performers, "
                              f"count_if({STARS} <= 2) AS n_low_performers, {HIGH_LOW} FROM hospital_general WHERE hospital_ownership <> 'Tribal' "
                              "GROUP BY hospital_ownership",
-    "n1_star_distribution": _shared("starred", f"hospital_ownership, {STARS}", "hospital_ownership", "n_hospitals", "pct_within_ownership", 1),
+    "n1_star_distribution": f"SELECT * EXCLUDE ({STARS}), {STARS} AS stars FROM (" + _shared("starred", f"hospital_ownership, {STARS}", "hospital_ownership", "n_hospitals", "pct_within_ownership", 1) + ")",
     "n2_ownership_subtypes": "SELECT hospital_ownership AS ownership_group, hospital_ownership_details AS ownership_subtype, count(*) AS "
                              f"total_hospitals, {mean(STARS, 2)} AS avg_rating, count({STARS}) AS rated, {HIGH_LOW} FROM hospital_general GROUP BY ALL",
     "n3_completeness_by_stars": f"SELECT stars, count(*) AS n_hospitals, {mean('c', 1)} AS avg_completeness_pct, {num('min(c)', 'min_completeness_pct')}, "

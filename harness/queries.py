@@ -115,7 +115,7 @@ REPORTS: dict[str, Callable[[Lake], DataFrame]] = {
     "e19_imaging_ed_by_ownership": lambda k: E.imaging_ed_by_ownership(k.silver),
     # analyses
     "n1_ownership_overview": lambda k: N.ownership_overview(k.silver),
-    "n1_star_distribution": lambda k: E.stars_within_ownership(k.silver, digits=1),
+    "n1_star_distribution": lambda k: N.star_distribution(k.silver),
     "n2_ownership_subtypes": lambda k: N.ownership_subtypes(k.silver),
     "n3_completeness_by_stars": lambda k: N.completeness_by_stars(k.silver),
     "n4_completeness_correlation": lambda k: N.completeness_correlation(k.silver),

@@ -7,7 +7,7 @@ import re
 import pytest
 
 from caremeter.functions.values import IMAGING_MEASURES
-from caremeter.plans import explore, silver_checks
+from caremeter.plans import analysis, explore, gold_checks, silver_checks
 from caremeter.plans.gold import gold_view
 from caremeter.plans.silver import build_silver
 from caremeter.sources.schemas import TABLES
@@ -60,7 +60,33 @@ def test_checks_scan_each_fact_once(stored):
     assert text.count("ReadSchema") == 4
 
 
-def test_percentiles_scan_once(stored):
-    text = plan(explore.ed_percentiles(stored))
-    final = text.split("== Initial Plan ==")[0]
-    assert "percentile" not in final.lower()
+def scans(df) -> int:
+    """Scan nodes of the plan that ran; reused exchanges and stages count once."""
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text.split("== Initial Plan ==")[0].count("FileScan")
+
+
+def test_inputs_are_read_once(stored):
+    assert scans(explore.ed_percentiles(stored)) == 1
+    assert scans(analysis.reporting_profiles(stored)) == 1
+    views = {"vw_ownership_imaging_ed_stats": gold_view("vw_ownership_imaging_ed_stats", stored)}
+    assert scans(gold_checks.ownership_shares(views)) == 3
+
+
+def ordered_by(rows, *keys):
+    """Whether rows follow the keys: "-x" descending with NULL first, "x" ascending with NULL last."""
+    def place(r):
+        return [((r[k[1:]] is not None, -r[k[1:]] if r[k[1:]] is not None else 0) if k[0] == "-" else (r[k] is None, r[k] or 0)
+                 if not isinstance(r[k], str) else (False, r[k])) for k in keys]
+    return len(rows) > 1 and [place(r) for r in rows] == sorted(place(r) for r in rows)
+
+
+def test_reports_come_in_their_order(stored):
+    assert ordered_by(analysis.ownership_overview(stored).collect(), "-total_hospitals")
+    assert ordered_by(analysis.ownership_subtypes(stored).collect(), "ownership_group", "-total_hospitals")
+    assert ordered_by(analysis.star_distribution(stored).collect(), "hospital_ownership", "stars")
+    assert ordered_by(analysis.peer_ranking(stored).collect(), "rank_by_stars", "facility_name")
+    assert ordered_by(analysis.gap_to_five_stars(stored).collect(), "-gap_to_close")
+    assert ordered_by(explore.worst_complications(stored).collect(), "-worse_measure_count", "facility_id")
+    assert ordered_by(explore.measure_counts(stored).collect(), "-n_measures")
