@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from caremeter.operators.common import null_safe_join
 
-HOT = 100_000      # a key with more rows than this is cut before it is ordered
-CHUNK = 10_000     # rows that one folded row unfolds to at a time
+SLICE_ROWS = 10_000    # rows of a key that share a slice, about; every key is cut by the same rule
+CHUNK = 10_000         # rows that one folded row unfolds to at a time
 
 
 def duplicate_keys(df: DataFrame, keys) -> DataFrame:
@@ -20,27 +22,29 @@ def check_duplicates(df: DataFrame, table: str, keys) -> DataFrame:
         F.lit(table).alias("table_name"), "duplicate_keys")
 
 
-def list_duplicates(df: DataFrame, keys, order: str, rank: str = "ranking", hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
+def list_duplicates(df: DataFrame, keys, order: str, rank: str = "ranking", slice_rows: int = SLICE_ROWS,
+                    chunk: int = CHUNK) -> DataFrame:
     """All rows but the first of each key, numbered in ``order`` (NULL last) from 2 up.
 
     Same rows as ``ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order, <row digest>) > 1``. Only
-    keys that repeat go on (normally none). Identical rows travel as one row with a count. A hot key
-    is cut by ``order`` value and 256 slices of the row digest, which are numbered by running totals,
-    so no task sorts all its rows. Copies are unfolded in chunks that are spread over the cluster.
+    keys that repeat go on (normally none). Identical rows travel as one row with a count. A key is cut
+    by ``order`` value and by a prefix of the row digest that is the longer the more rows the key has;
+    slices are numbered by running totals, so no task sorts all rows of a key. Copies are unfolded in
+    chunks that are spread over the cluster.
     """
     keys, columns = list(keys), df.columns
-    repeated = duplicate_keys(df, keys).select(*keys, (F.col("n") > hot).alias("__hot"))
+    digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("n") / slice_rows) / math.log(16))).cast("int")
+    repeated = duplicate_keys(df, keys).select(*keys, digits.alias("__digits"))
     rows = null_safe_join(df, repeated, keys)
 
     digest = F.md5(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in columns]))
     key = F.struct(*keys).alias("k")
     folded = (
-        rows.groupBy(*columns, "__hot").agg(F.count("*").alias("__copies"))
+        rows.groupBy(*columns, "__digits").agg(F.count("*").alias("__copies"))
         .withColumn("__digest", digest)
         # one struct key for window and join: NULL keys match, and both share one shuffle
         .withColumn("__slice", F.struct(
-            key, F.when(F.col("__hot"), F.col(order)).alias("o"),
-            F.when(F.col("__hot"), F.substring("__digest", 1, 2)).alias("s"))))
+            key, F.col(order).alias("o"), F.expr("substring(__digest, 1, __digits)").alias("s"))))
 
     sizes = folded.groupBy("__slice").agg(F.sum("__copies").alias("__size"))
     per_order = sizes.groupBy(F.struct("__slice.k", "__slice.o").alias("__level")).agg(F.sum("__size").alias("__size"))

@@ -87,8 +87,8 @@ def test_list_duplicates(spark):
     rows += [(f"k{i}", rng.choice("mn"), "d1", str(i)) for i in range(200)]
     rows += [(None, "m", "d1", "1"), (None, "m", "d2", "2")]
     df = spark.createDataFrame(rows, "k string, m string, d string, x string")
-    for hot in (0, 100, 10 ** 6):   # every key cut, the large ones, none
-        check_listed(rows, list_duplicates(df, ["k", "m"], "d", hot=hot, chunk=40).collect())
+    for slice_rows in (1, 40, 10 ** 6):   # digest prefixes of several lengths, of one, none
+        check_listed(rows, list_duplicates(df, ["k", "m"], "d", slice_rows=slice_rows, chunk=40).collect())
     repeated = {k for k, n in Counter((k, m) for k, m, *_ in rows).items() if n > 1}
     assert check_duplicates(df, "t", ["k", "m"]).first().duplicate_keys == len(repeated)
 
