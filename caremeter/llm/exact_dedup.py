@@ -50,7 +50,8 @@ def mark_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     best = {"min": F.min, "max": F.max}[keep]
 
     digests = saved(df.select(ident.alias("i"), hash_of(text).alias("h"), F.sha2(text, 256).alias("s")), "digests")
-    groups = digests.groupBy("h").agg(best("i").alias("k"), F.count("*").alias("n"))
+    # a written table, so joins with it have plain shuffles on both sides and a hash of very many copies is split
+    groups = saved(digests.groupBy("h").agg(best("i").alias("k"), F.count("*").alias("n")), "groups")
     clash = saved(collided(df, groups.where("n > 1"), text, hash_of), "collisions")
 
     narrow = all(c in (id_col, text_col) for c in df.columns)
