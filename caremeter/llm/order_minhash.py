@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from caremeter.llm.common import saved
 
-K, ELL, SKETCHES = 5, 3, 16
+K, ELL, SKETCHES = 5, 3, 24
 SIMILARITY = 0.8
 WORDS = 400_000          # entries of a worker's memo of word hashes
 CELLS = 2_000_000        # hashes held at a time
@@ -223,7 +223,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     placed = base.select("i", "d").join(labels.select(F.col("node").alias("d"), "label"), "d", "left").select(
         "i", F.coalesce("label", "d").alias("c"))
-    classes = placed.groupBy("c").agg(F.min("i").alias("class_id"), F.count("*").alias("class_size"))
+    # a written table, so the join with it has plain shuffles on both sides and a very large class is split
+    classes = saved(placed.groupBy("c").agg(F.min("i").alias("class_id"), F.count("*").alias("class_size")), "classes")
     return placed.join(classes, "c").select(F.col("i").alias(id_col), "class_id", "class_size")
 
 
