@@ -35,7 +35,7 @@ def shares(weights: Mapping[str | None, float], period: int = PERIOD, longest: i
         return {}
     if not all(0 < w < math.inf for w in weights.values()):
         raise ValueError("weights must be positive")
-    total = sum(weights.values())
+    total = math.fsum(weights.values())
     while period < 4 * len(weights) or period < min(longest, 2 * total / min(weights.values())):
         period *= 2
     names = sorted(weights, key=lambda s: (s is not None, s))
@@ -97,7 +97,7 @@ def _numbered(df: DataFrame, source: str, id_col: str, total: int, slice_docs: i
 
 
 def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source",
-        power: float = 0.9, block_docs: int = 64, max_epochs: int | None = 4, slice_docs: int = 50_000) -> DataFrame:
+        power: float = 0.9, block_docs: int = 64, max_epochs: int | None = 4, slice_docs: int = 4_000) -> DataFrame:
     """Every row of ``df``, again in later epochs, with ``mix_slot``, ``mix_position``, ``mix_block`` and ``mix_epoch``.
 
     Reading in the order of (mix_slot, mix_position) gives the mix: slot by slot one block of ``block_docs`` documents

@@ -107,6 +107,38 @@ LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuv
 CONTROLS_SQL = r"len(regexp_extract_all({}, '<\\*\|'))"     # each gets one more character when escaped
 
 SQL: dict[str, str] = {
+    # the period is simulated slot by slot: of the released blocks the one with the earliest deadline, then source, goes
+    "op1_mixing": """
+        WITH RECURSIVE counts AS (SELECT source, count(*) AS n, pow(count(*), 0.9) AS weight FROM documents GROUP BY source),
+        size AS (SELECT count(*) AS sources, sum(n) AS total, sum(weight) AS weights,
+                        greatest(1024, pow(2, ceil(log2(4 * count(*)))), pow(2, ceil(log2(least(65536, 2 * sum(weight) / min(weight))))))::BIGINT
+                            AS period FROM counts),
+        share AS (SELECT source, n, (period - sources) * weight / weights AS exact FROM counts, size),
+        ranked AS (SELECT *, row_number() OVER (ORDER BY floor(exact) - exact, source NULLS FIRST) AS r,
+                          row_number() OVER (ORDER BY source NULLS FIRST) AS k FROM share),
+        plan AS (SELECT source, k, n, (n + 63) // 64 AS blocks,
+                        1 + floor(exact)::BIGINT + (r <= (SELECT period - sources FROM size) - (SELECT sum(floor(exact)) FROM share))::BIGINT AS w
+                 FROM ranked),
+        lists AS (SELECT list(w ORDER BY k) AS w, sum(w)::BIGINT AS period, count(*) AS sources FROM plan),
+        sched AS (
+            SELECT -1::BIGINT AS slot, list_transform(w, lambda x: 0::BIGINT) AS placed, 0::BIGINT AS pick, 0::BIGINT AS j FROM lists
+            UNION ALL
+            SELECT slot, list_transform(placed, lambda x, i: x + (i = pick)::BIGINT), pick, placed[pick]
+            FROM (SELECT slot + 1 AS slot, placed, list_min(list_transform(range(1, sources + 1), lambda i: CASE
+                             WHEN placed[i] < w[i] AND placed[i] * period // w[i] <= slot + 1
+                             THEN ((placed[i] + 1) * period + w[i] - 1) // w[i] * 1000000 + i END)) % 1000000 AS pick
+                  FROM sched, lists WHERE slot + 1 < period)),
+        placed_at AS (SELECT p.source, s.j, s.slot FROM sched s JOIN plan p ON s.pick = p.k WHERE s.slot >= 0),
+        horizon AS (SELECT max((blocks - 1) // w * period + slot + 1) AS h FROM plan p
+                    JOIN placed_at a ON a.source IS NOT DISTINCT FROM p.source AND a.j = (p.blocks - 1) % p.w, (SELECT period FROM lists)),
+        hashed AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS m FROM documents),
+        numbered AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY
+                         ('0x' || substr(m, 1, 8))::BIGINT % (((SELECT total FROM size) + 3999)::BIGINT // 4000), m) - 1 AS nr FROM hashed),
+        again AS (SELECT d.doc_id, d.source, d.nr, p.w, e.e * p.blocks + d.nr // 64 AS nth, e.e
+                  FROM numbered d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source, range(0, 4) e(e))
+        SELECT g.doc_id, g.source, nth // w * period + a.slot AS mix_slot, nr % 64 AS mix_position, nr // 64 AS mix_block, e AS mix_epoch
+        FROM again g JOIN placed_at a ON a.source IS NOT DISTINCT FROM g.source AND a.j = nth % w, (SELECT period FROM lists), horizon
+        WHERE nth // w * period + a.slot < h""",
     "op7_chat_format": f"""
         WITH forged AS (SELECT '{FORGED}' AS text),
         turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
