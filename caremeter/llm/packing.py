@@ -8,6 +8,7 @@ takes rows of one bucket and has no padding at all.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 SLICE_CHARS = 4_000_000      # text that a task tokenizes before it hands on the pieces
-WORDS, PARTS = 400_000, 200_000      # entries of a worker's memo of words and of parts of words
+WORDS, PARTS = 500_000, 400_000      # entries of a worker's memo of words and of parts of words
 ODD_SPACE = re.compile("[\x1c-\x1f]")      # str.split() takes these for white space, the tokenizer does not
 
 
@@ -38,22 +39,24 @@ class WordEncoder(dict):
         self.parts: dict[str, bytes] = {}
         self.as_byte = _byte_letters()
 
-    def _pack(self, ids) -> bytes:
-        return np.array(ids, np.uint16).tobytes()
-
     def _other(self, text: str) -> bytes:
-        return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
+        return array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _part(self, part: str) -> bytes:
         got = self.parts.get(part)
         if got is None:
             if len(self.parts) >= PARTS:
                 self.parts.clear()
-            got = self.parts[part] = self._pack([t.id for t in self.bpe(part.encode().decode("latin-1").translate(self.as_byte))])
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.as_byte)
+            got = self.parts[part] = array("H", [t.id for t in self.bpe(shown)]).tobytes()
         return got
 
     def __missing__(self, word: str) -> bytes:
-        if "<|" in word or not self.plain(word):
+        core = word.rstrip(".,;:!?")
+        if core.isascii() and core.isalpha():           # letters, then one run of signs: two parts without a pattern
+            tail = word[len(core):]
+            got = self._part(core.lower()) + (self._part(tail) if tail else b"")
+        elif "<|" in word or not self.plain(word):
             got = self._other(word)
         else:
             got = b"".join(map(self._part, self.cut(word.lower())))
