@@ -26,7 +26,8 @@ RUN = regex.compile(r"\p{L}+")
 FNV_START, FNV_PRIME = 1469598103934665603, 1099511628211
 FENCE = 0x20                # stands before and after every run
 WORDS = 300_000             # entries of a worker's memo of words
-SLICE_CHARS = 4_000_000     # text that a task scores at a time
+SLICE_CHARS = 1_000_000     # text that a task scores at a time
+NEW_WORDS = 20_000          # words whose n-grams are held at a time
 NONE = "und"
 RESULT = "lang_pred string, score double, rejected boolean"
 
@@ -104,7 +105,9 @@ class Scorer(dict):
         if len(self) > WORDS:
             self.clear()
         new = {w for own in words for w in own if w not in self}
-        self.learn(sorted(new))
+        fresh_words = sorted(new)
+        for a in range(0, len(fresh_words), NEW_WORDS):
+            self.learn(fresh_words[a:a + NEW_WORDS])
         sums = np.zeros((len(texts), self.sums.shape[1]))
         for i, own in enumerate(words):
             if own:
