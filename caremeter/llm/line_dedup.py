@@ -39,8 +39,9 @@ def drop_shared_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hashed = saved(keyed.select("i", "x", "p", content_hash(F.col("key")).alias("h")), "line-hashes")
 
     per_doc = hashed.select("h", "i").distinct()     # a document counts once, and a shared line is spread over its documents
-    shared = (per_doc.groupBy("h").agg(F.count(F.lit(1)).alias("docs"), F.max("i").alias("last"))
-              .where(F.col("docs") >= min_docs).select("h", "last"))
+    # a written table, so the join below has plain shuffles on both sides and a line of very many documents is split
+    shared = saved(per_doc.groupBy("h").agg(F.count(F.lit(1)).alias("docs"), F.max("i").alias("last"))
+                   .where(F.col("docs") >= min_docs).select("h", "last"), "shared-lines")
     drops = (hashed.join(shared, "h").where(F.col("i").isNull() | (F.col("i") < F.col("last")))
              .groupBy("i", "x").agg(F.collect_set("p").alias("drop")))
 
