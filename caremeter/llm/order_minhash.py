@@ -1,10 +1,10 @@
 """Near-duplicate classes by Order MinHash, verified by banded alignment.
 
-A text is its lower-cased words; every run of ``K`` words is a k-mer, labelled with how often it occurred before. One
+A text is its lower-cased words; every run of ``k`` words is a k-mer, labelled with how often it occurred before. One
 sketch takes the ``ELL`` labelled k-mers of smallest hash and keeps them in the order of the text, so texts share a
 sketch if they share k-mers in the same order, which follows edit similarity and not just common content. A text has
-``SKETCHES`` sketches; each is a key, and each with its successor a stricter key that long passages in common with
-other texts do not fill up.
+``SKETCHES`` sketches of ``NEAR`` words, and texts of up to ``SHORT`` words as many of two words, as few edits leave no
+longer run whole there; each is a key.
 
 Texts that share a key are candidates with the key's smallest text (not with each other, so a key of n texts makes
 n - 1 pairs); a candidate is linked if the word-level edit distance is at most a fifth of the longer text. Classes are
@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from caremeter.llm.common import saved
 
-K, ELL, SKETCHES = 5, 3, 24
+K, NEAR, ELL, SKETCHES = 5, 3, 2, 64
+SHORT = 50               # words
 SIMILARITY = 0.8
 WORDS = 400_000          # entries of a worker's memo of word hashes
 CELLS = 2_000_000        # hashes held at a time
@@ -50,11 +51,11 @@ class _WordHashes(dict):
         return found
 
 
-def labelled_kmers(hashes: np.ndarray) -> np.ndarray:
-    """Hashes of the k-mers, those that repeat labelled by occurrence; a text under ``K`` words is one k-mer."""
-    k = min(K, len(hashes))
+def labelled_kmers(hashes: np.ndarray, size: int = K) -> np.ndarray:
+    """Hashes of the k-mers, those that repeat labelled by occurrence; a text under ``size`` words is one k-mer."""
+    k = min(size, len(hashes))
     n = len(hashes) - k + 1
-    mers = np.full(n, len(hashes) if k < K else 0, np.uint64)
+    mers = np.full(n, len(hashes) if k < size else 0, np.uint64)
     for j in range(k):
         mers = mers * MULTIPLIER + hashes[j:j + n]
     mers = _spread(mers)
@@ -70,10 +71,16 @@ def labelled_kmers(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(hashes: np.ndarray) -> np.ndarray:
-    """``SKETCHES`` keys of ``ELL`` ordered k-mers, then as many of two sketches each; none for a text without words."""
+    """``SKETCHES`` keys of ``ELL`` ordered k-mers of ``NEAR`` words, for short texts as many of two words; none without words."""
     if not len(hashes):
         return np.zeros(0, np.int64)
-    mers = labelled_kmers(hashes)
+    keys = [_keys(labelled_kmers(hashes, NEAR))]
+    if len(hashes) <= SHORT:
+        keys.append(_spread(_keys(labelled_kmers(hashes, 2)) + MULTIPLIER))
+    return np.concatenate(keys).view(np.int64)
+
+
+def _keys(mers: np.ndarray) -> np.ndarray:
     n = len(mers)
     keys = np.zeros(SKETCHES, np.uint64)
     step = max(1, CELLS // n)
@@ -90,8 +97,7 @@ def sketches(hashes: np.ndarray) -> np.ndarray:
         for j in range(least.shape[1]):
             own = _spread(own * MULTIPLIER + mers[least[:, j]])
         keys[a:a + step] = own
-    pairs = _spread(keys * MULTIPLIER + np.roll(keys, -1))
-    return np.concatenate([keys, pairs]).view(np.int64)
+    return keys
 
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,7 +196,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of ``df``: id, ``class_id`` (smallest id of its class) and ``class_size``.
 
     Equal texts are one class from the start; NULL and empty texts are equal, and texts of blanks only stay apart from
-    others. Two texts whose labelled five-word k-mers overlap by 0.8 or more share a key with a probability of 0.9999.
+    others. Two texts at word edit similarity 0.8 with scattered replacements share a key with a probability above 0.999 (0.99 at
+    five words), the more similar the surer.
     A NULL id takes part, but is only the class id if the class has no other. Other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))

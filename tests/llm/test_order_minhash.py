@@ -109,3 +109,17 @@ def test_edges_and_clashes(docs):
     left = O.drop_near_duplicates(df)
     assert left.columns == df.columns and sorted([r.doc_id for r in left.collect()], key=str) == sorted([1, 3, 3, 3, None, 6, 7, 9], key=str)
     assert O.near_duplicates(docs([])).count() == 0
+
+
+def test_recall_per_band_of_edit_similarity():
+    rng = random.Random(9)
+    for n in (10, 20, 100, 400):
+        for similarity in (0.80, 0.85, 0.90, 0.95):
+            found = 0
+            for _ in range(100):
+                a = [rng.getrandbits(62) for _ in range(n)]
+                b = list(a)
+                for at in rng.sample(range(n), int((1 - similarity) * n + 1e-9)):
+                    b[at] = rng.getrandbits(62)
+                found += bool(set(O.sketches(np.array(a, np.uint64)).tolist()) & set(O.sketches(np.array(b, np.uint64)).tolist()))
+            assert found >= 98, (n, similarity, found)
