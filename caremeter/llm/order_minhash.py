@@ -6,13 +6,14 @@ sketch if they share k-mers in the same order, which follows edit similarity and
 ``SKETCHES`` sketches of ``NEAR`` words, and texts of up to ``SHORT`` words as many of two words, as few edits leave no
 longer run whole there; each is a key.
 
-Texts that share a key are candidates with the key's smallest text (not with each other, so a key of n texts makes
-n - 1 pairs); a candidate is linked if the word-level edit distance is at most a fifth of the longer text. Classes are
-the connected components of the links.
+Texts that share a key are candidates, and linked if the word-level edit distance is at most a fifth of the longer
+text. First each is aligned with the key's centre, the text that shares keys with most others; then all pairs of a key
+that are not connected yet and that lengths and word counts do not rule out. Classes are the connected components.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,11 +22,13 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from caremeter.llm.common import saved
+from caremeter.llm.common import fresh, saved
 
 K, NEAR, ELL, SKETCHES = 5, 3, 2, 64
 SHORT = 50               # words
 SIMILARITY = 0.8
+BAG = 128                # counts that the words of a text are summed to, to rule out pairs
+CHUNK = 500              # texts of a key that one task pairs with the others
 WORDS = 400_000          # entries of a worker's memo of word hashes
 CELLS = 2_000_000        # hashes held at a time
 MULTIPLIER, LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(2**64 - 1)
@@ -192,26 +195,98 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
+def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    memo = _WordHashes()
+    for batch in batches:
+        sizes, bags = [], []
+        for text in batch["t"]:
+            hashes = np.fromiter(map(memo.__getitem__, words_of(text)), np.uint64)
+            sizes.append(len(hashes))
+            bags.append(np.bincount((hashes % np.uint64(BAG)).astype(np.int64), minlength=BAG).astype("<u4").tobytes())
+            if len(memo) > WORDS:
+                memo.clear()
+        yield pd.DataFrame({"d": batch["d"], "words": sizes, "bag": bags})
+
+
+def _not_ruled_out(similarity: float):
+    """Pairs whose lengths and counts of words leave room for the similarity; it never rules out a similar pair."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x, y = (np.frombuffer(b"".join(batch[c]), "<u4").reshape(-1, BAG) for c in ("bag_a", "bag_b"))
+                longer = np.maximum(batch["words_a"], batch["words_b"]).to_numpy()
+                alike = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+                yield batch.loc[longer - alike <= ((1 - similarity) * longer + 1e-9).astype(np.int64), ["a", "b"]]
+    return run
+
+
+def open_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts that share a key, are in different components, may be similar and are not in ``tried``.
+
+    Members are (key, d). The texts of a key are paired within bands of length, a large key in chunks by many tasks.
+    """
+    own = members.join(labels.select(F.col("node").alias("d"), "label"), "d", "left").select(
+        "key", "d", F.coalesce("label", "d").alias("label"))
+    split = saved(own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
+                  .where("lo != hi").select("key", F.ceil(F.col("n") / CHUNK).cast("long").alias("chunks")), "split")
+    left = saved(own.join(split, "key"), "left")
+    profiles = saved(texts.join(left.select("d").distinct(), "d", "left_semi").select("d", "t")
+                     .mapInPandas(_profile, "d binary, words long, bag binary"), "profiles")
+    # a similar text is at most 1 / similarity times as long, so it lies in the same band of lengths or the next
+    width = math.log(1 / max(similarity, 1e-3)) + 1e-3
+    band = F.floor(F.log(F.col("words").cast("double")) / width).cast("long")
+    rows = saved(left.join(profiles, "d").withColumn("band", band), "rows")
+    short = rows.select("key", "band", F.pmod(F.xxhash64("d"), F.col("chunks")).alias("chunk"), F.col("d").alias("a"),
+                        F.col("label").alias("la"), F.col("words").alias("words_a"), F.col("bag").alias("bag_a"))
+    long = rows.select("key", F.explode(F.array("band", F.col("band") - 1)).alias("band"), "chunks", F.col("d").alias("b"),
+                       F.col("label").alias("lb"), F.col("words").alias("words_b"), F.col("bag").alias("bag_b"))
+    long = long.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")).drop("chunks")
+    met = short.join(long, ["key", "band", "chunk"]).where(
+        "la != lb and (words_a < words_b or (words_a = words_b and a < b))")
+    left_over = met.select("a", "b", "words_a", "words_b", "bag_a", "bag_b").mapInPandas(
+        _not_ruled_out(similarity), "a binary, b binary")
+    known = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return saved(left_over.distinct().join(known, ["a", "b"], "left_anti"), "open")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``df``: id, ``class_id`` (smallest id of its class) and ``class_size``.
 
     Equal texts are one class from the start; NULL and empty texts are equal, and texts of blanks only stay apart from
-    others. Two texts at word edit similarity 0.8 with scattered replacements share a key with a probability above 0.999 (0.99 at
-    five words), the more similar the surer.
-    A NULL id takes part, but is only the class id if the class has no other. Other columns are not read.
+    others. All texts that share a key are compared unless they are connected anyway. Keys are random: two texts at word
+    edit similarity 0.8 with scattered replacements share one with a probability above 0.999 (0.99 at five words), the
+    more similar the surer. A NULL id takes part, but is only the class id if the class has no other. Other columns are
+    not read.
     """
+    placed = _placed(df, id_col, text_col, similarity)
+    return placed.select(F.col("i").alias(id_col), "class_id", "class_size")
+
+
+def _digest(text_col: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def _placed(df: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(i, d, class_id, class_size): id and digest of the text of each row, and its class."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("i"), F.unhex(F.md5(text)).alias("d"), text.alias("t"))
+    rows = df.select(F.col(id_col).alias("i"), _digest(text_col).alias("d"), text.alias("t"))
     kind = rows.schema["i"].dataType.simpleString()
     base = saved(rows.select(F.col("i").cast("string"), "d", "t").mapInPandas(_sketch, "i string, d binary, keys array<long>")
                  .withColumn("i", F.col("i").cast(kind)), "sketches")
 
     keyed = base.select("d", F.explode("keys").alias("key"))
-    first = keyed.groupBy("key").agg(F.min("d").alias("b"), F.max("d").alias("z")).where("b < z").select("key", "b")
-    pairs = saved(keyed.join(first, "key").where("d != b").groupBy(F.col("d").alias("a"), "b").agg(F.count("*").alias("n")), "pairs")
-
-    wanted = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct()
-    one_row = base.select("i", "d").join(wanted, "d").groupBy("d").agg(F.min("i").alias("i"))
+    # written tables, so the joins have plain shuffles on both sides and a very large key is split
+    several = saved(keyed.groupBy("key").agg(F.min("d").alias("b"), F.max("d").alias("z")).where("b < z").select("key"), "several")
+    members = saved(saved(keyed.join(several, "key").select("key", "d"), "shared").distinct(), "members")
+
+    # the centre of a key shares keys with most others; of a family of copies it is the original
+    sizes = saved(members.groupBy("key").agg(F.count("*").alias("n")), "sizes")
+    weights = saved(members.join(sizes, "key").groupBy("d").agg(F.sum("n").alias("w")), "weights")
+    heaviest = members.join(weights, "d").groupBy("key").agg(F.max(F.struct("w", "d")).alias("m"))
+    centres = saved(heaviest.select("key", F.col("m.d").alias("b")), "centres")
+    pairs = saved(members.join(centres, "key").where("d != b").groupBy(F.col("d").alias("a"), "b").agg(F.count("*").alias("n")), "pairs")
+
+    one_row = base.select("i", "d").join(weights.select("d"), "d").groupBy("d").agg(F.min("i").alias("i"))
     same = rows["d"].eqNullSafe(one_row["d"]) & rows["i"].eqNullSafe(one_row["i"])
     texts = saved(rows.join(one_row, same, "left_semi").select("d", "t").dropDuplicates(["d"]), "texts")
 
@@ -226,13 +301,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_ = rest.where(~F.coalesce(F.col("la"), F.col("a")).eqNullSafe(F.coalesce(F.col("lb"), F.col("b")))).select("a", "b")
     late = saved(linked(open_, texts, similarity), "links")
     if not late.isEmpty():
-        labels = components(sure.unionByName(late))
+        sure = sure.unionByName(late)
+        labels = components(sure)
+    # then whatever pair of a key is still in two components
+    last = saved(linked(open_pairs(members, labels, texts, pairs, similarity), texts, similarity), "links")
+    if not last.isEmpty():
+        labels = components(sure.unionByName(last))
 
     placed = base.select("i", "d").join(labels.select(F.col("node").alias("d"), "label"), "d", "left").select(
-        "i", F.coalesce("label", "d").alias("c"))
+        "i", "d", F.coalesce("label", "d").alias("c"))
     # a written table, so the join with it has plain shuffles on both sides and a very large class is split
     classes = saved(placed.groupBy("c").agg(F.min("i").alias("class_id"), F.count("*").alias("class_size")), "classes")
-    return placed.join(classes, "c").select(F.col("i").alias(id_col), "class_id", "class_size")
+    return placed.join(classes, "c").select("i", "d", "class_id", "class_size")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -111,6 +111,31 @@ def test_edges_and_clashes(docs):
     assert O.near_duplicates(docs([])).count() == 0
 
 
+def replaced(rng, ws, n):
+    out = list(ws)
+    for at in rng.sample(range(len(ws)), n):
+        out[at] = f"n{rng.randint(0, 10**9)}"
+    return out
+
+
+def test_family_of_loose_copies_is_one_class(docs):
+    rng = random.Random(7)
+    original = words(rng, 200)
+    rows = [(i, " ".join(replaced(rng, original, 24) if i else original)) for i in range(100)]
+    assert {r.class_size for r in O.near_duplicates(docs(rows)).collect()} == {100}
+
+
+def test_pairs_away_from_the_centre_are_tried(docs):
+    rng = random.Random(8)
+    passage = words(rng, 80)                         # makes one text of many the centre of the keys they share
+    rows = []
+    for i in range(0, 60, 2):
+        own = words(rng, 40) + passage + words(rng, 40)
+        rows += [(i, " ".join(own)), (i + 1, " ".join(replaced(rng, own[:40], 14) + passage + replaced(rng, own[120:], 14)))]
+    out = {r.doc_id: r.class_id for r in O.near_duplicates(docs(rows)).collect()}
+    assert out == {i: i // 2 * 2 for i in range(60)}
+
+
 def test_recall_per_band_of_edit_similarity():
     rng = random.Random(9)
     for n in (10, 20, 100, 400):
