@@ -316,7 +316,11 @@ def _placed(df: DataFrame, id_col: str, text_col: str, similarity: float) -> Dat
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``df`` without those whose id is not their class's smallest. Rows with a NULL id stay."""
-    classes = near_duplicates(df, id_col, text_col, similarity)
-    gone = classes.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("gone"), "left_anti")
+    """The rows of ``df`` without those whose id is not the smallest of the class of their text.
+
+    Rows with a NULL id stay, and so does a text whose id another, dropped text has too.
+    """
+    ident, digest = fresh(df, "gone"), fresh(df, "gone_text")
+    gone = _placed(df, id_col, text_col, similarity).where(F.col("i") != F.col("class_id")).select(
+        F.col("i").alias(ident), F.col("d").alias(digest)).distinct()
+    return df.join(gone, (F.col(id_col) == F.col(ident)) & (_digest(text_col) == F.col(digest)), "left_anti")

@@ -148,3 +148,12 @@ def test_recall_per_band_of_edit_similarity():
                     b[at] = rng.getrandbits(62)
                 found += bool(set(O.sketches(np.array(a, np.uint64)).tolist()) & set(O.sketches(np.array(b, np.uint64)).tolist()))
             assert found >= 98, (n, similarity, found)
+
+
+def test_texts_that_share_an_id_are_dropped_one_by_one(docs):
+    rng = random.Random(10)
+    x, other, third = words(rng, 60), words(rng, 60), words(rng, 60)
+    rows = [(2, " ".join(x)), (5, " ".join(x[:30] + ["changed"] + x[31:])), (5, " ".join(other)), (7, " ".join(other[:-1])),
+            (1, " ".join(third)), (2, " ".join(third[:-1]))]
+    left = O.drop_near_duplicates(docs(rows).withColumn("gone", F.lit(1)).withColumn("gone_text", F.lit(1)))
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted([rows[0], rows[2], rows[4]])
