@@ -14,10 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, functions as F
 
 SLICE_CHARS = 4_000_000      # text that a task tokenizes before it hands on the pieces
 WORDS, PARTS = 500_000, 400_000      # entries of a worker's memo of words and of parts of words
+PIECE_BITS = 21      # of a sequence id, for the piece within the document: a text of 2 GB has at most 2**20 + 11
 ODD_SPACE = re.compile("[\x1c-\x1f]")      # str.split() takes these for white space, the tokenizer does not
 
 
@@ -121,29 +123,65 @@ def _pieces(path: str, longest: int, end_id: int):
                 data = np.concatenate(docs).astype("<u4")
                 cuts = np.concatenate([[0], ends * 4]).astype(np.int32)
                 ids = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+                taken, names = [part.column(0).take(pa.array(which))], ["d", "start", "length", "doc_tokens", "ids"]
+                if part.num_columns > 2:        # the place of the document comes with it
+                    first = np.cumsum([0, *map(len, lengths)])[:-1]
+                    nth = np.arange(len(length)) - first[which]
+                    place = part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)[which]
+                    taken, names = [*taken, pa.array((place << PIECE_BITS) + nth)], ["d", "sequence_id", *names[1:]]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(which)), pa.array(starts), pa.array(length), pa.array(sizes[which]), ids],
-                    ["d", "start", "length", "doc_tokens", "ids"])
+                    [*taken, pa.array(starts), pa.array(length), pa.array(sizes[which]), ids], names)
     return run
 
 
+def in_file_order(df: DataFrame) -> Column | None:
+    """Number of a row of a table just read from files: in the order of their part numbers, then by row; None for others.
+
+    Spark packs files into tasks by size, so the order of a written table is only in its names. The driver gets one row
+    per file.
+    """
+    try:
+        files = df.groupBy(F.col("_metadata.file_path").alias("f")).agg((F.max("_metadata.row_index") + 1).alias("n")).collect()
+    except AnalysisException:
+        return None
+    start, found = 0, []
+    for r in sorted(files, key=lambda r: _part_number(r["f"])):
+        found.append((r["f"], start))
+        start += r["n"]
+    if not found:
+        return None
+    starts = F.create_map(*[F.lit(x) for pair in found for x in pair])
+    return F.element_at(starts, F.col("_metadata.file_path")) + F.col("_metadata.row_index")
+
+
+def _part_number(path: str) -> tuple:
+    folder, _, name = path.rpartition("/")
+    return folder, [int(x) if x.isdigit() else x for x in re.findall(r"^part-(\d+)", name)], [
+        int(x) for x in re.findall(r"-c(\d+)\.", name)], name
+
+
 def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 2048,
-         end_id: int = 1) -> DataFrame:
+         end_id: int = 1, order: Column | None = None) -> DataFrame:
     """One row per piece: id, ``start``, ``length``, ``doc_tokens``, ``ids``, ``bucket``, ``sequence_id``, ``offset``.
 
     ``ids`` are little-endian unsigned 32-bit numbers; every document ends with ``end_id``, also a NULL or empty one,
     which is that id alone. ``bucket`` is the length that all its sequences share, ``offset`` is 0 as each piece is a
     sequence of its own. ``longest`` is a power of two. NULL ids stay NULL and equal rows are packed each for itself.
-    Other columns are not read. No shuffle: a task cuts the documents it reads.
+    ``sequence_id`` follows ``order``, a different number from 0 for each document, and within a document its pieces;
+    without it the order in which tasks read. Other columns are not read. No shuffle: a task cuts the documents it reads.
     """
     if longest & (longest - 1) or not 0 <= end_id < 1 << 16:
         raise ValueError("longest must be a power of two, end_id an id of 16 bits")
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
+    number = "" if order is None else "sequence_id long, "
+    if order is not None:
+        rows = df.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), order.cast("long").alias("o"))
     cut = rows.mapInArrow(_pieces(tokenizer, longest, end_id),
-                          f"d {kind}, start long, length long, doc_tokens long, ids binary")
+                          f"d {kind}, {number}start long, length long, doc_tokens long, ids binary")
+    sequence = F.monotonically_increasing_id() if order is None else F.col("sequence_id")
     return cut.select(F.col("d").alias(id_col), "start", "length", "doc_tokens", "ids",
-                      F.col("length").cast("int").alias("bucket"), F.monotonically_increasing_id().alias("sequence_id"),
+                      F.col("length").cast("int").alias("bucket"), sequence.alias("sequence_id"),
                       F.lit(0).cast("long").alias("offset"))
 
 

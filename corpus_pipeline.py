@@ -14,7 +14,7 @@ from caremeter.llm.common import new_dir
 from caremeter.llm.exact_dedup import drop_copies
 from caremeter.llm.mixing import in_mix_order, mix
 from caremeter.llm.order_minhash import drop_near_duplicates
-from caremeter.llm.packing import pack
+from caremeter.llm.packing import in_file_order, pack
 from caremeter.llm.queries import held_out, tokenizer
 
 
@@ -45,8 +45,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of a power of two of token ids each."""
-    return pack(docs, tokenizer("word_bpe_49k.json"))
+    """Sequences of a power of two of token ids each; ``sequence_id`` follows the order of the files, which is the mix."""
+    return pack(docs, tokenizer("word_bpe_49k.json"), order=in_file_order(docs))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -8,6 +8,7 @@ pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline as P
 from caremeter.llm import order_minhash as O
+from caremeter.llm.mixing import in_mix_order, mix
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,3 +62,15 @@ def test_stages_take_empty_tables(spark, docs):
         assert stage(spark, docs([]), SF).count() == 0, name
     for name, stage in P.STAGES:
         assert stage(spark, docs([(None, None), (1, "the same of and"), (1, "the same of and")]), SF).count() >= 0, name
+
+
+def test_sequences_follow_the_mix_after_a_reread(spark, docs, tmp_path):
+    rows = [(i, "the same of and " * (1 + i * 37 % 900), None, f"s{i % 3}") for i in range(200)]
+    mixed = in_mix_order(mix(docs(rows), block_docs=4))
+    want = [(r.doc_id) for r in mixed.collect()]
+    path = str(tmp_path / "mixed")
+    mixed.select(*docs(rows).columns).write.parquet(path)
+    assert len(list((tmp_path / "mixed").glob("part-*.parquet"))) > 2
+    got = P.packed_sequences(spark, spark.read.parquet(path), SF).orderBy("sequence_id").collect()
+    assert [r.doc_id for r in got if r.start == 0] == want
+    assert len({r.sequence_id for r in got}) == len(got)
