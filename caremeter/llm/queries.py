@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from caremeter.llm import ann_graph as A, language_id as L
 from caremeter.llm.chat_format import digest_chats, format_chats
 from caremeter.llm.common import new_dir
-from caremeter.llm.exact_dedup import mark_copies
+from caremeter.llm.exact_dedup import LOWER, UPPER, mark_copies
 from caremeter.llm.line_dedup import drop_shared_lines
+from caremeter.llm.merkle import build, digest, fold, proof, prove
 from caremeter.llm.mixing import mix
 from caremeter.llm.order_minhash import near_duplicates
 from caremeter.llm.packing import pack
@@ -89,6 +90,18 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(docs, keep="max").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = [F.translate("text", UPPER, LOWER) if c == "text" else F.col(c) for c in LEAF]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, digest(*lowered))
+    made = build(table(spark, sf_dir, "documents").select(*LEAF), LEAF, carry={"tampered": tampered})
+    folded = prove(spark, made).withColumn("folded_root", fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    return folded.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", proof(F.col("path")).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing,
     "op2_token_counts": token_counts,
@@ -100,13 +113,63 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": line_dedup,
     "op9_warc_members": warc_members,
     "op10_exact_dedup": exact_dedup,
+    "op13_merkle_manifest": merkle_manifest,
 }
 
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 CONTROLS_SQL = r"len(regexp_extract_all({}, '<\\*\|'))"     # each gets one more character when escaped
 
+FRAMED_SQL = "coalesce(octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR, '-')"
+
+# unsigned crc32 of a decimal number: eight shifts for each of its digits
+CRC32_SQL = """xor(list_reduce(list_concat([4294967295], list_transform(string_split({}::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda a, b:
+    list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Levels and runs over (g, idx, n, h)."""
+    return f"""
+        {name}(lev, g, idx, n, h) AS (
+            SELECT 0, g, idx, n, h FROM {leaves}
+            UNION ALL
+            SELECT lev + 1, g, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM {name}
+            WHERE n > 1 GROUP BY lev, g, idx // 8, n),
+        {name}_runs AS (SELECT lev, g, idx // 8 AS up, list(h ORDER BY idx) AS hs FROM {name} WHERE n > 1 GROUP BY ALL)"""
+
+
+def _walk_sql(name: str, tree: str, start: str) -> str:
+    """From (id, g, idx, own, proof) up the tree; the last step of a row has no run above."""
+    return f"""
+        {name}(lev, id, g, idx, own, proof) AS (
+            SELECT 0, id, g, idx, own, proof FROM ({start})
+            UNION ALL
+            SELECT w.lev + 1, id, w.g, idx // 8,
+                   sha256(array_to_string(hs[1:idx % 8], '') || own || array_to_string(hs[idx % 8 + 2:], '')),
+                   proof || array_to_string(hs[1:idx % 8], '') || array_to_string(hs[idx % 8 + 2:], '')
+            FROM {name} w JOIN {tree}_runs r ON w.lev = r.lev AND w.g = r.g AND w.idx // 8 = r.up),
+        {name}_end AS (SELECT * FROM {name} QUALIFY lev = max(lev) OVER (PARTITION BY id))"""
+
+
 SQL: dict[str, str] = {
+    "op13_merkle_manifest": f"""
+        WITH RECURSIVE rows AS (
+            SELECT doc_id, lang, coalesce('=' || lang, '-') AS g,
+                   sha256({" || ".join(FRAMED_SQL.format(c) for c in LEAF)}) AS h,
+                   CASE WHEN {CRC32_SQL.format("doc_id")} % 3 = 0 THEN sha256({" || ".join(FRAMED_SQL.format(
+                       LOWER_SQL.format(c) if c == "text" else c) for c in LEAF)}) END AS tampered FROM documents),
+        leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS idx,
+                          count(*) OVER (PARTITION BY g) AS n, row_number() OVER () AS id FROM rows),
+        {_tree_sql("tree", "leaves")},
+        subs AS (SELECT 1 AS g, t.g AS lang, t.h, row_number() OVER (ORDER BY encode(l.lang) NULLS FIRST) - 1 AS idx,
+                        count(*) OVER () AS n
+                 FROM tree t JOIN (SELECT DISTINCT g, lang FROM leaves) l USING (g) WHERE t.n = 1),
+        {_tree_sql("summit", "subs")},
+        {_walk_sql("up", "tree", "SELECT id, g, idx, coalesce(tampered, h) AS own, '' AS proof FROM leaves")},
+        {_walk_sql("top", "summit", "SELECT u.id, 1 AS g, s.idx, u.own, u.proof FROM up_end u JOIN subs s ON u.g = s.lang")}
+        SELECT l.doc_id, l.h AS leaf, s.h AS subroot, r.h AS root, sha256(t.proof) AS proof_sha256, t.own AS folded_root,
+               t.own = r.h AS verified
+        FROM leaves l JOIN subs s ON l.g = s.lang JOIN top_end t ON t.id = l.id JOIN (SELECT h FROM summit WHERE n = 1) r ON true""",
     # the period is simulated slot by slot: of the released blocks the one with the earliest deadline, then source, goes
     "op1_mixing": """
         WITH RECURSIVE counts AS (SELECT source, count(*) AS n, pow(count(*), 0.9) AS weight FROM documents GROUP BY source),
