@@ -74,8 +74,7 @@ def numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     # these windows run over one row for each group and partition
     before = F.sum("here").over(Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     whole = F.sum("here").over(Window.partitionBy("g"))
-    offsets = saved(parts.select("g", "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"),
-                                 whole.alias("n")), "merkle-offsets")
+    offsets = parts.select("g", "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"), whole.alias("n"))
     return (placed.join(offsets, ["g", "part"]).withColumn("idx", F.col("at") + F.col("shift"))
             .drop("at", "part", "shift"))
 
@@ -125,7 +124,7 @@ def build(df: DataFrame, columns: Sequence[str], group: str = "lang", order: str
     groups = grow(numbered(saved(rows, "merkle-rows"), ["key", "h"]))
     name = F.when(F.col("g") != "-", F.expr("substring(g, instr(g, ':') + 1)"))
     subroots = groups.tops().select(F.lit("").alias("g"), name.alias("key"), F.col("top").alias("h"))
-    summit = grow(numbered(saved(subroots, "merkle-subroots"), ["key"]))
+    summit = grow(numbered(subroots, ["key"]))
     top = summit.tops().first()
     return Manifest(groups, summit, top["top"] if top else None)
 

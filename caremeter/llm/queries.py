@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from caremeter.llm import ann_graph as A, language_id as L
 from caremeter.llm.chat_format import digest_chats, format_chats
+from caremeter.llm.collocations import mine
 from caremeter.llm.common import new_dir
 from caremeter.llm.exact_dedup import LOWER, UPPER, mark_copies
 from caremeter.llm.line_dedup import drop_shared_lines
@@ -90,6 +91,10 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(docs, keep="max").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 LEAF = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": line_dedup,
     "op9_warc_members": warc_members,
     "op10_exact_dedup": exact_dedup,
+    "op11_collocations": collocations,
     "op13_merkle_manifest": merkle_manifest,
 }
 
@@ -152,6 +158,27 @@ def _walk_sql(name: str, tree: str, start: str) -> str:
 
 
 SQL: dict[str, str] = {
+    "op11_collocations": f"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+                               unnest(regexp_split_to_array({LOWER_SQL.format("coalesce(text, '')")}, '[.,;:!?\\n-\\r]')) AS piece FROM documents),
+        split AS (SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS w FROM pieces),
+        sized AS (SELECT lang, w, unnest(range(1, 5)) AS size FROM split),
+        grams AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' ')))
+                  AS phrase FROM sized),
+        f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL),
+        total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+        cand AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 30),
+        cut AS (SELECT *, unnest(range(1, size)) AS k FROM cand),
+        parts AS (SELECT *, array_to_string(w[:k], ' ') AS u, array_to_string(w[k + 1:], ' ') AS v FROM cut),
+        cuts AS (SELECT p.lang, p.phrase, p.size, p.a, p.k, x.f AS l, y.f AS r, 2000000::HUGEINT * p.a // (x.f::HUGEINT + y.f) AS score
+                 FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = p.u JOIN f y ON y.lang = p.lang AND y.phrase = p.v),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inner_sizes AS (SELECT *, unnest(range(2, size)) AS s FROM cand),
+        inner_at AS (SELECT *, unnest(range(1, size - s + 2)) AS i FROM inner_sizes),
+        around AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS around FROM inner_at GROUP BY ALL),
+        free AS (SELECT b.* FROM best b LEFT JOIN around USING (lang, phrase) WHERE around IS NULL OR 100 * around < 80 * a),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM free)
+        SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
     "op13_merkle_manifest": f"""
         WITH RECURSIVE rows AS (
             SELECT doc_id, lang, coalesce('=' || lang, '-') AS g,
