@@ -16,6 +16,7 @@ from caremeter.llm.merkle import build, digest, fold, proof, prove
 from caremeter.llm.mixing import mix
 from caremeter.llm.order_minhash import near_duplicates
 from caremeter.llm.packing import pack
+from caremeter.llm.run_index import drop_repeats
 from caremeter.llm.token_counts import count_tokens
 from caremeter.llm.warc_members import normalise_archives, read_archives, write_archives
 
@@ -95,6 +96,12 @@ def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 LEAF = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -119,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_members": warc_members,
     "op10_exact_dedup": exact_dedup,
     "op11_collocations": collocations,
+    "op12_run_index": run_index,
     "op13_merkle_manifest": merkle_manifest,
 }
 
@@ -179,6 +187,23 @@ SQL: dict[str, str] = {
         free AS (SELECT b.* FROM best b LEFT JOIN around USING (lang, phrase) WHERE around IS NULL OR 100 * around < 80 * a),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM free)
         SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
+    "op12_run_index": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+        spots AS (SELECT doc_id, b, unnest(range(1, n - 48)) AS p FROM d),
+        win AS (SELECT doc_id, p, array_slice(b, p, p + 49) AS w FROM spots),
+        owner AS (SELECT w, min(doc_id) AS first FROM win GROUP BY w),
+        hit AS (SELECT doc_id, p FROM win JOIN owner USING (w) WHERE doc_id > first),
+        marked AS (SELECT *, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50, true) AS opens FROM hit),
+        numbered AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY p) AS nr FROM marked),
+        spans AS (SELECT doc_id, nr, min(p) AS s, max(p) + 50 AS e FROM numbered GROUP BY ALL),
+        gaps AS (SELECT doc_id, s, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 1) AS open FROM spans),
+        kept AS (SELECT doc_id, string_agg(hex(array_slice(b, open, s - 1)), '' ORDER BY s) AS h FROM gaps JOIN d USING (doc_id)
+                 WHERE s > open GROUP BY doc_id),
+        total AS (SELECT doc_id, sum(e - s)::BIGINT AS removed, count(*) AS n_spans, max(e) AS tail FROM spans GROUP BY doc_id)
+        SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               CASE WHEN removed IS NULL THEN sha256(b)
+                    ELSE sha256(unhex(coalesce(h, '') || CASE WHEN tail <= n THEN hex(array_slice(b, tail, n)) ELSE '' END)) END AS kept_sha256
+        FROM d LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op13_merkle_manifest": f"""
         WITH RECURSIVE rows AS (
             SELECT doc_id, lang, coalesce('=' || lang, '-') AS g,
