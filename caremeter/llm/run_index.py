@@ -1,10 +1,13 @@
 """Long repeats between documents, found with run-length compressed Burrows-Wheeler indexes.
 
+Texts are cut into folds where their bytes say so, and of equal folds only the one of the smallest id is looked into.
 Equal windows hold the same anchor, the window's smallest 24-byte fingerprint, at the same place. So a stretch of windows
 round an anchor that only one document has cannot repeat, and stretches round a shared anchor can be indexed together:
 every index is built over the distinct stretches of some anchors, wherever in the corpus they occur. It keeps the
 transform as runs, with samples at their ends, and streams each stretch through it byte by byte from the right; where
 the match is long enough, the sample says which document has it first.
+
+Blocks learn what is repeated from bitmaps of fixed size. A chance hit there sends more to be compared and never decides.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ INDEX = 1 << 20              # bytes of an index, unless one anchor has more
 CROWDED = 4096               # distinct stretches of an anchor from which its windows are compared one by one
 PACK = 7                     # symbols of nine bits in one integer
 NOBODY = -(1 << 63)          # stands for a NULL id, below all others
+FOLD = 512                   # windows in a fold, on average; a power of two
+FOLD_PLACE = "i long, x long, s long, e long, k1 long, k2 long, own long"
 PLACE = "i long, x long, at long, k1 long, k2 long, fp long, bytes binary, last long"
 PLACE_NAMES = [c.split()[0] for c in PLACE.split(", ")]
 ADDED = ("n_bytes", "n_removed", "spans", "kept_bytes")
@@ -33,31 +38,41 @@ SPANS = T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructFiel
 TABLES = [mixed(np.arange(256, dtype=np.uint64), np.uint64(salt)) for salt in (1, 2)]
 
 
-def stretches(text: bytes, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The stretches of windows that share an anchor, a chunk at a time.
-
-    Gives (place of the chunk, its bytes, first byte and end of every stretch in it, fingerprint of the anchor).
-    """
+def seeds(text: bytes, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Parts of a text by their windows: (place of the part, its bytes, fingerprints of all its seeds)."""
     size = min(SEED, least)
     for base in range(0, len(text) - least + 1, CHUNK):
         part = np.frombuffer(text, np.uint8, min(CHUNK + least - 1, len(text) - base), base)
         n = len(part) - size + 1
-        prints = mixed(polynomials(part.astype(np.uint64) + np.uint64(1), slice(0, n), slice(size, size + n)), np.uint64(size))
-        # the smallest of the upper halves, the leftmost of equal ones
-        lowest = (prints & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
-        reach, width = 1, least - size + 1
-        while reach < width:
-            more = min(reach, width - reach)
-            lowest = np.minimum(lowest[:len(lowest) - more], lowest[more:])
-            reach += more
-        anchor = (lowest & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        yield base, part, new, np.append(new[1:], len(anchor)) + least - 1, prints[anchor[new]]
+        yield base, part, mixed(polynomials(part.astype(np.uint64) + np.uint64(1), slice(0, n), slice(size, size + n)), np.uint64(size))
+
+
+def folds(part: np.ndarray, prints: np.ndarray, least: int, fold: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window (exclusive) of a part's folds: they begin where the seed says so, whatever is around."""
+    windows = len(part) - least + 1
+    first = np.flatnonzero((prints[1:windows] & np.uint64(fold - 1)) == 0) + 1
+    return np.concatenate([[0], first]), np.append(first, windows)
+
+
+def stretches(part: np.ndarray, prints: np.ndarray, wanted: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and anchor of the stretches of ``wanted`` windows that share an anchor."""
+    # the smallest of the upper halves, the leftmost of equal ones
+    lowest = (prints & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(prints), dtype=np.uint64)
+    reach, width = 1, least - min(SEED, least) + 1
+    while reach < width:
+        more = min(reach, width - reach)
+        lowest = np.minimum(lowest[:len(lowest) - more], lowest[more:])
+        reach += more
+    anchor = (lowest & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (wanted[1:] != wanted[:-1])]))
+    end = np.append(new[1:], len(anchor)) + least - 1
+    keep = wanted[new]
+    return new[keep], end[keep], prints[anchor[new[keep]]]
 
 
-def keys(part: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-    """Two independent 64-bit fingerprints of whole stretches."""
-    return [mixed(polynomials(table[part], start, end), (end - start).astype(np.uint64)).view(np.int64) for table in TABLES]
+def keys(part: np.ndarray, start: np.ndarray, end: np.ndarray, n: int = 2) -> list[np.ndarray]:
+    """The first ``n`` of two independent 64-bit fingerprints of byte ranges."""
+    return [mixed(polynomials(table[part], start, end), (end - start).astype(np.uint64)) for table in TABLES[:n]]
 
 
 class RunIndex:
@@ -127,8 +142,31 @@ class RunIndex:
         return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def _shared(least: int):
-    """Per block: the fingerprints of its anchors, with 2 where two documents of it have the anchor, else 1."""
+class Folded:
+    """Which windows go to the indexes: of folds that repeat only the smallest id's."""
+
+    def __init__(self, least: int, fold: int, repeated, owned):
+        self.least, self.fold, self.repeated, self.owned = least, fold, repeated, owned
+
+    def open(self) -> Folded:
+        return Folded(self.least, self.fold, *(np.frombuffer(b.value, np.uint8) for b in (self.repeated, self.owned)))
+
+    def parts(self, text: bytes, i: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per part: its place and bytes, and its stretches (first byte, end, anchor)."""
+        for base, part, prints in seeds(text, self.least):
+            first, last = folds(part, prints, self.least, self.fold)
+            k1, = keys(part, first, last + self.least - 1, 1)
+            mine = ~holds(self.repeated, k1) | holds(self.owned, owner_print(k1, i))
+            if mine.any():
+                yield base, part, *stretches(part, prints, np.repeat(mine, last - first), self.least)
+
+
+def owner_print(k1: np.ndarray, i: int) -> np.ndarray:
+    return mixed(k1, np.uint64(i & ((1 << 64) - 1)))
+
+
+def _counted(prints_of):
+    """Fingerprints of a block's texts with the number of texts (1 or 2, for more) that have them."""
     def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         found, c = np.unique(np.concatenate(held), return_counts=True)
         c = np.minimum(c, 2)
@@ -136,13 +174,15 @@ def _shared(least: int):
             yield pa.record_batch([found[at:at + 200_000].view(np.int64), c[at:at + 200_000]], names=["fp", "c"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        find, held, size = prints_of(), [], 0
         for batch in batches:
-            for text in batch.column(0):
-                parts = [prints for *_, prints in stretches(text.as_py(), least)]
-                held.append(np.unique(np.concatenate(parts)))
-                size += len(text.as_py())
-                if size >= BLOCK:
+            for text, i in zip(batch.column(0), batch.column(1)):
+                text = text.as_py()
+                parts = list(find(text, i.as_py()))
+                if parts:
+                    held.append(np.unique(np.concatenate(parts)))
+                size += len(text)
+                if held and size >= BLOCK:
                     yield from send(held)
                     held, size = [], 0
         if held:
@@ -150,7 +190,48 @@ def _shared(least: int):
     return count
 
 
-def _places(least: int, bits):
+def _fold_prints(least: int, fold: int):
+    def find(text: bytes, i: int) -> Iterator[np.ndarray]:
+        for _, part, prints in seeds(text, least):
+            first, last = folds(part, prints, least, fold)
+            yield keys(part, first, last + least - 1, 1)[0]
+    return lambda: find
+
+
+def _anchor_prints(folded: Folded):
+    def opened():
+        own = folded.open()
+        return lambda text, i: (anchors for *_, anchors in own.parts(text, i))
+    return opened
+
+
+def _fold_places(least: int, fold: int, repeated):
+    """Where folds with a repeated fingerprint are: (i, x, s, e, k1, k2) and the print of (k1, i)."""
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        allowed, held, size = np.frombuffer(repeated.value, np.uint8), [], 0
+        names = [c.split()[0] for c in FOLD_PLACE.split(", ")]
+        for batch in batches:
+            for text, i, x in zip(*(batch.column(k) for k in range(3))):
+                text, i, x = text.as_py(), i.as_py(), x.as_py()
+                for base, part, prints in seeds(text, least):
+                    first, last = folds(part, prints, least, fold)
+                    end = last + least - 1
+                    hit = holds(allowed, keys(part, first, end, 1)[0])
+                    if hit.any():
+                        first, end = first[hit], end[hit]
+                        k1, k2 = keys(part, first, end)
+                        held.append((np.full(len(first), i), np.full(len(first), x), first + base, end + base,
+                                     k1.view(np.int64), k2.view(np.int64), owner_print(k1, i).view(np.int64)))
+                        size += len(first)
+            if size >= PLACES:
+                yield pa.record_batch([np.concatenate(c) for c in zip(*held)], names=names)
+                held, size = [], 0
+        if held:
+            yield pa.record_batch([np.concatenate(c) for c in zip(*held)], names=names)
+    return find
+
+
+def _places(folded: Folded, bits):
     """Where stretches with a shared anchor are (i, x, at), and once for each block the stretch (fp, bytes) with the
     smallest and largest id that has it there (i, last)."""
     def send(places: list[tuple], known: dict) -> Iterator[pa.RecordBatch]:
@@ -163,23 +244,23 @@ def _places(least: int, bits):
         yield pa.record_batch([first, none, none, k1, k2, fp, body, last], names=PLACE_NAMES)
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        allowed = np.frombuffer(bits.value, np.uint8)
+        allowed, own = np.frombuffer(bits.value, np.uint8), folded.open()
         places, known, size = [], {}, 0
         for batch in batches:
             for text, i, x in zip(*(batch.column(k) for k in range(3))):
                 text, i, x = text.as_py(), i.as_py(), x.as_py()
-                for base, part, start, end, prints in stretches(text, least):
+                for base, part, start, end, prints in own.parts(text, i):
                     hit = holds(allowed, prints)
                     if not hit.any():
                         continue
                     start, end, prints = start[hit], end[hit], prints[hit].view(np.int64)
-                    k1, k2 = keys(part, start, end)
+                    k1, k2 = (k.view(np.int64) for k in keys(part, start, end))
                     places.append((np.full(len(start), i), np.full(len(start), x), start + base, k1, k2))
                     for key, fp, s, e in zip(zip(k1.tolist(), k2.tolist()), prints.tolist(), start.tolist(), end.tolist()):
-                        if (own := known.get(key)) is None:
+                        if (ids := known.get(key)) is None:
                             known[key] = [i, i, fp, text[base + s:base + e]]
                         else:
-                            own[0], own[1] = min(own[0], i), max(own[1], i)
+                            ids[0], ids[1] = min(ids[0], i), max(ids[1], i)
                     size += len(start)
                     if size >= PLACES:
                         yield from send(places, known)
@@ -245,7 +326,8 @@ def cut(text, spans):
     return pd.Series([None if t is None else keep(t, own) for t, own in zip(text, spans)], index=text.index, dtype=object)
 
 
-def repeated_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
+def repeated_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50,
+                    fold: int = FOLD) -> DataFrame:
     """``i``, ``x`` (id and hash of a text) and ``spans`` of its bytes that windows of documents with smaller ids cover."""
     if least < PACK:
         raise ValueError(f"repeats of fewer than {PACK} bytes are not supported")
@@ -253,9 +335,21 @@ def repeated_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = df.select(data.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NOBODY)).alias("i"), F.xxhash64(data).alias("x"))
     texts = texts.where(F.length("text") >= least)
 
-    anchors = texts.select("text").mapInArrow(_shared(least), "fp long, c long")
-    shared = saved(anchors.groupBy("fp").agg(F.sum("c").alias("c")).where("c > 1").select("fp"), "shared-anchors")
-    stored = saved(texts.mapInArrow(_places(least, bitmap(shared)), PLACE), "stretches")
+    def repeated(prints_of, name: str):
+        counts = texts.select("text", "i").mapInArrow(_counted(prints_of), "fp long, c long")
+        return bitmap(saved(counts.groupBy("fp").agg(F.sum("c").alias("c")).where("c > 1").select("fp"), name))
+
+    # equal folds: all but the smallest id's go at once, and only that one's windows go on
+    again = repeated(_fold_prints(least, fold), "repeated-folds")
+    fold_places = saved(texts.mapInArrow(_fold_places(least, fold, again), FOLD_PLACE), "folds")
+    owners = saved(fold_places.groupBy("k1", "k2").agg(F.min(F.struct("i", "own")).alias("o"))
+                   .select("k1", "k2", F.col("o.i").alias("first"), F.col("o.own").alias("fp")), "fold-owners")
+    folded = Folded(least, fold, again, bitmap(owners))
+    copied = (fold_places.join(owners.select("k1", "k2", "first"), ["k1", "k2"]).where(F.col("first") < F.col("i"))
+              .select("i", "x", "s", "e"))
+
+    shared = repeated(_anchor_prints(folded), "shared-anchors")
+    stored = saved(texts.mapInArrow(_places(folded, shared), PLACE), "stretches")
     places = stored.where("bytes IS NULL").select("i", "x", "at", "k1", "k2")
 
     # the smallest id owns a stretch; where it is the largest as well, nobody else asks
@@ -275,11 +369,12 @@ def repeated_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # both sides are written tables, so a stretch of very many documents is split over tasks
     hits = places.join(ranges, ["k1", "k2"]).where(F.col("first") < F.col("i"))
-    spans = hits.groupBy("i", "x").agg(F.collect_list(F.struct((F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e")).alias("e"))).alias("all"))
+    found = hits.select("i", "x", (F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e")).alias("e")).unionByName(copied)
+    spans = found.groupBy("i", "x").agg(F.collect_list(F.struct("s", "e")).alias("all"))
     return spans.select("i", "x", merged("all").alias("spans"))
 
 
-def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
+def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, fold: int = FOLD) -> DataFrame:
     """Every row of ``df`` with ``n_bytes``, ``n_removed``, ``spans`` and ``kept_bytes`` (the text without them, as bytes).
 
     Texts are UTF-8 bytes. A byte goes when a string of ``least`` bytes over it also starts in a document with a smaller
@@ -289,7 +384,7 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are read whole; a table without rows gives none. Input columns named like an added one are replaced.
     """
     df = without(df, *ADDED)
-    found = saved(repeated_ranges(df, id_col, text_col, least), "repeats")
+    found = saved(repeated_ranges(df, id_col, text_col, least, fold), "repeats")
     data: Column = F.coalesce(F.col(f"d.{text_col}"), F.lit("")).cast("binary")
     joined = df.alias("d").join(found.alias("f"), (F.coalesce(F.col(f"d.{id_col}").cast("long"), F.lit(NOBODY)) == F.col("f.i"))
                                 & (F.xxhash64(data) == F.col("f.x")), "left")

@@ -72,19 +72,27 @@ def test_crowded_anchors_and_chunks(docs, monkeypatch):
 
 def test_stretches_cover_all_windows_at_any_chunk(monkeypatch):
     text = (words(300) + "z" * 200).encode()
-    for chunk in (7, 64, 1 << 20):
+    whole = {}
+    for chunk in (1 << 20, 7, 64):
         monkeypatch.setattr(R, "CHUNK", chunk)
         seen = {}
-        for base, part, start, end, prints in R.stretches(text, 50):
-            assert all(bytes(part[s:e]) == text[base + s:base + e] for s, e in zip(start, end))
-            for s, e, fp in zip(start + base, end + base, prints):
-                seen.update({p: fp for p in range(s, e - 49)})
+        for base, part, prints in R.seeds(text, 50):
+            wanted = np.ones(len(part) - 49, bool)
+            for s, e, fp in zip(*R.stretches(part, prints, wanted, 50)):
+                assert bytes(part[s:e]) == text[base + s:base + e]
+                seen.update({base + p: fp for p in range(s, e - 49)})
+            first, last = R.folds(part, prints, 50, 16)
+            assert first[0] == 0 and last[-1] == len(wanted) and list(first[1:]) == list(last[:-1])
         assert sorted(seen) == list(range(len(text) - 49))
-        if chunk == 7:
-            whole = seen
+        whole = whole or seen
         assert seen == whole                          # a window's anchor depends on its bytes alone
 
 
+@pytest.mark.parametrize("fold", [4, 1 << 40])
+def test_folds_change_nothing(docs, fold):
+    assert got(R.drop_repeats(docs(ROWS), fold=fold)) == brute(ROWS)
+
+
 def test_index_streams_smallest_owners():
     rng = random.Random(3)
     texts = ["".join(rng.choice("ab\0") for _ in range(rng.randrange(8, 60))).encode() for _ in range(50)]
