@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caremeter.plans import analysis as N, bronze_checks as B, explore as E, gold_checks as G, silver_checks as S
+from caremeter.plans import analysis as N, bronze_checks as B, expectations as X, explore as E, gold_checks as G, silver_checks as S
 from caremeter.sources.schemas import FACTS, RAW_COLUMNS, SILVER_SCHEMAS
 from harness.direct import DIRECT
 from harness.lake import Lake, comparable
@@ -46,6 +46,8 @@ REPORTS: dict[str, Callable[[Lake], DataFrame]] = {
     "c31_text_date_range": lambda k: B.text_date_range(k.bronze),
     "c32_join_match_count": lambda k: B.join_match_counts(k.bronze),
     "c33_id_lengths": lambda k: B.id_lengths(k.bronze),
+    # the checks of both layers as one suite
+    "c00_c38_expectations": lambda k: X.expectations(k.bronze, k.silver),
     # silver validation
     "c01_count_parity": lambda k: S.count_parity(k.bronze, k.silver),
     "c02_null_keys": lambda k: S.null_keys(k.bronze, k.silver),
