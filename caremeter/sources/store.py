@@ -1,9 +1,13 @@
 """Layered Parquet tables with full-refresh writes.
 
-``<root>/<layer>/<table>/data/<batch>-<attempt>/`` holds one attempt to write a refresh, and
-``<root>/<layer>/<table>/commits/<number>`` names the attempts that ended well, in the order of their
-commits; readers take the newest. A write that fails half-way is never named, so the previous rows stay
+``<root>/<layer>/<table>/data/<batch>-<attempt>/`` holds one attempt to write a refresh, and the file
+``<root>/<layer>/<table>/commits/<number>`` holds the name of an attempt that ended well. Readers take the newest batch, of
+several attempts at one batch the last committed. A write that fails half-way is never named, so the previous rows stay
 current and the same batch can be tried again at once.
+
+Writers need no lock. A number is taken by creating its file, which only one writer can do; whoever comes second looks again
+at what is committed and tries the next number. A file without a name (its writer was lost, or is about to write it)
+commits nothing. As batches and not numbers say what is newest, an older batch never becomes current, whenever it commits.
 """
 
 from __future__ import annotations
@@ -33,31 +37,63 @@ class LayerStore:
         fs, hpath = self._fs(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(hpath)) if fs.exists(hpath) else []
 
-    def _commits(self, layer: str, table: str) -> list[str]:
-        """Attempts that were committed, oldest first. A commit is the name of a file, so it is whole or absent."""
-        names = self._names(f"{self._table_dir(layer, table)}/commits")
-        return [n.split("=", 1)[1] for n in names if "=" in n]
+    def _commits(self, layer: str, table: str) -> list[tuple[str, int, str]]:
+        """(batch, number, attempt) of every commit, the current one last."""
+        folder, found = f"{self._table_dir(layer, table)}/commits", []
+        for name in self._names(folder):
+            if name.isdigit() and (attempt := self._text(f"{folder}/{name}")):
+                found.append((attempt.split("-")[0], int(name), attempt))
+        return sorted(found)
+
+    def _text(self, path: str) -> str:
+        """Content of a small file; empty if it is gone or its last line has not ended."""
+        fs, hpath = self._fs(path)
+        if not fs.exists(hpath):
+            return ""
+        stream = fs.open(hpath)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return text[:-1] if text.endswith("\n") else ""
 
     def batches(self, layer: str, table: str) -> list[str]:
-        """Paths of the committed refreshes that still exist, oldest first."""
+        """Paths of the committed refreshes that still exist, the current one last."""
         there = set(self._names(f"{self._table_dir(layer, table)}/data"))
-        return [f"{self._table_dir(layer, table)}/data/{a}" for a in self._commits(layer, table) if a in there]
+        return [f"{self._table_dir(layer, table)}/data/{a}" for _, _, a in self._commits(layer, table) if a in there]
 
     def _check_order(self, layer: str, table: str, batch_id: str) -> None:
-        newest = max((a.split("-")[0] for a in self._commits(layer, table)), default="")
+        newest = max((batch for batch, _, _ in self._commits(layer, table)), default="")
         if batch_id < newest:
             raise StaleBatch(f"{layer}.{table}: batch {newest} is committed, {batch_id} is older")
 
+    def _take(self, layer: str, table: str, number: int, attempt: str) -> bool:
+        """Commit ``attempt`` under ``number``; False if another writer has the number."""
+        fs, commit = self._fs(f"{self._table_dir(layer, table)}/commits/{number:012d}")
+        try:
+            out = fs.create(commit, False)           # fails where the file exists
+        except Exception:
+            if fs.exists(commit):
+                return False
+            raise
+        try:
+            out.write(bytearray(f"{attempt}\n", "utf-8"))
+        finally:
+            out.close()
+        return True
+
     def write(self, layer: str, table: str, df: DataFrame, batch_id: str) -> str:
         """Write and commit one refresh. An older batch than the newest commit is refused, the same batch replaces it."""
         self._check_order(layer, table, batch_id)
         attempt = f"{batch_id}-{uuid.uuid4().hex[:12]}"
         path = f"{self._table_dir(layer, table)}/data/{attempt}"
         df.write.parquet(path)
-        self._check_order(layer, table, batch_id)       # another job may have committed meanwhile
-        number = len(self._names(f"{self._table_dir(layer, table)}/commits")) + 1
-        fs, commit = self._fs(f"{self._table_dir(layer, table)}/commits/{number:012d}={attempt}")
-        fs.create(commit, False).close()
+        while True:
+            self._check_order(layer, table, batch_id)       # another job may have committed meanwhile
+            taken = [int(n) for n in self._names(f"{self._table_dir(layer, table)}/commits") if n.isdigit()]
+            if self._take(layer, table, max(taken, default=0) + 1, attempt):
+                break
+        self._check_order(layer, table, batch_id)           # a newer one came first: this one is no longer of use
         return path
 
     def read(self, layer: str, table: str) -> DataFrame:
@@ -83,6 +119,10 @@ class LayerStore:
             idle = time.time() - fs.getFileStatus(hpath).getModificationTime() / 1000
             if name not in kept and (name in committed or idle > grace_seconds):
                 fs.delete(hpath, True)
+        for _, number, attempt in self._commits(layer, table)[:-keep]:       # their data is gone
+            if attempt not in kept:
+                fs, commit = self._fs(f"{self._table_dir(layer, table)}/commits/{number:012d}")
+                fs.delete(commit, False)
 
     def register(self, layer: str, tables) -> None:
         """Temp views ``<layer>_<table>`` over the current data, for SQL users."""

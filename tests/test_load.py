@@ -15,7 +15,7 @@ from caremeter.plans.gold import GOLD_VIEWS, gold_view, register_gold
 from caremeter.plans.silver import load_silver
 from caremeter.sources.csvfiles import read_csv
 from caremeter.sources.schemas import CSV_FILES, FACTS, RAW_COLUMNS, TABLES, bronze_schema
-from caremeter.sources.store import LayerStore
+from caremeter.sources.store import LayerStore, StaleBatch
 
 NEWLINES = ("hospital_general",)
 T1, T2, T3 = (datetime(2026, 1, d, 12) for d in (1, 2, 3))
@@ -174,6 +174,54 @@ def test_older_batch_is_refused_and_logged(spark, tmp_path):
     assert {r["at"] for r in store.read("bronze", "t").collect()} == {T2}
 
 
+class Interleaved(LayerStore):
+    """Lets others act between the last look at the commits and the creation of the file."""
+    others: list = []
+
+    def _take(self, *args):
+        if self.others:
+            self.others.pop(0)()
+        return super()._take(*args)
+
+
+def test_writers_that_meet_take_different_numbers(spark, tmp_path):
+    a, b = Interleaved(spark, str(tmp_path)), LayerStore(spark, str(tmp_path))
+    a.others = [lambda: b.write("bronze", "t", small(spark, 2), "20260101"), lambda: b.write("bronze", "t", small(spark, 3), "20260102")]
+    a.write("bronze", "t", small(spark, 4), "20260103")
+    assert [spark.read.parquet(p).count() for p in a.batches("bronze", "t")] == [2, 3, 4]
+    assert sorted(p.name for p in (tmp_path / "bronze/t/commits").glob("0*")) == [f"{n:012d}" for n in (1, 2, 3)]
+
+
+def test_older_writer_loses_whenever_it_commits(spark, tmp_path):
+    a, b = Interleaved(spark, str(tmp_path)), LayerStore(spark, str(tmp_path))
+    a.others = [lambda: b.write("bronze", "t", small(spark, 5), "20260109")]
+    with pytest.raises(StaleBatch):
+        a.write("bronze", "t", small(spark, 4), "20260103")
+    assert a.read("bronze", "t").count() == 5 and len(a.batches("bronze", "t")) == 1
+    # the worst case: the newer writer has its number but not yet written the name, so nobody can see it
+    c = Interleaved(spark, str(tmp_path / "c"))
+    commits = tmp_path / "c/bronze/t/commits"
+    late = small(spark, 7)
+    late.write.parquet(f"{tmp_path}/c/bronze/t/data/20260109-slow")
+    commits.mkdir(parents=True)
+    (commits / "000000000001").touch()
+    c.write("bronze", "t", small(spark, 4), "20260103")
+    (commits / "000000000001").write_text("20260109-slow\n")
+    assert c.read("bronze", "t").count() == 7 and [spark.read.parquet(p).count() for p in c.batches("bronze", "t")] == [4, 7]
+
+
+def test_a_lost_writer_commits_nothing(spark, tmp_path):
+    store = LayerStore(spark, str(tmp_path))
+    store.write("bronze", "t", small(spark, 1), "20260101")
+    for name, text in (("000000000002", ""), ("000000000003", "20260105-half")):
+        (tmp_path / "bronze/t/commits" / name).write_text(text)
+    assert store.read("bronze", "t").count() == 1
+    store.write("bronze", "t", small(spark, 2), "20260102")
+    assert store.read("bronze", "t").count() == 2
+    store.drop_old("bronze", "t")
+    assert store.read("bronze", "t").count() == 2 and len(store.batches("bronze", "t")) == 1
+
+
 def test_old_and_uncommitted_data_goes(spark, tmp_path):
     store = LayerStore(spark, str(tmp_path))
     for day in (1, 2, 3, 4):
