@@ -142,8 +142,12 @@ def pct(part: Column, whole: Column, digits: int) -> Column:
 
 
 def exact_avg(value: Column | str, digits: int) -> Column:
-    """AVG in decimal arithmetic, rounded half up: no drift from the order of partial sums."""
-    return F.round(F.avg(as_col(value).cast(SCORE_TYPE)), digits).cast(f"decimal(38,{digits})")
+    """AVG in decimal arithmetic, rounded half up: no drift from the order of partial sums.
+
+    NULL values are left out. NULL if a value is no number of the decimal type: NaN, infinite, or too large for it.
+    """
+    given, held = as_col(value), as_col(value).try_cast(SCORE_TYPE)
+    return F.when(F.count(given) == F.count(held), F.round(F.try_avg(held), digits).cast(f"decimal(38,{digits})"))
 
 
 def mean_of(total: Column, n: Column, digits: int) -> Column:

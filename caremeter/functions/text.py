@@ -48,6 +48,11 @@ def to_decimal(text: Column | str) -> Column:
     return F.when(looks_decimal(c), c.try_cast(SCORE_TYPE))
 
 
+def cut_decimals(text: Column | str) -> Column:
+    """Whether a decimal's text has digits, other than zeros, beyond those the type keeps."""
+    return as_col(text).rlike(V.CUT_DECIMALS_PATTERN)
+
+
 def to_date_mdy(text: Column | str) -> Column:
     """``MM/DD/YYYY`` prefix to a date; trailing text is ignored, impossible dates are NULL."""
     c = as_col(text)
@@ -61,7 +66,7 @@ def last_token(text: Column | str) -> Column:
 
 
 def split_score(text: Column | str) -> tuple[Column, Column, Column]:
-    """One mixed score column -> (numeric, text, available)."""
+    """One mixed score column -> (numeric, text, available). What the numeric column cannot hold stays as text."""
     c = as_col(text)
-    present = ~is_missing(c)
-    return to_decimal(c), F.when(present & ~looks_decimal(c), c), present
+    present, number = ~is_missing(c), to_decimal(c)
+    return number, F.when(present & number.isNull(), c), present

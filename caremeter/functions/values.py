@@ -6,6 +6,7 @@ MISSING_TOKENS = ("", "Not Available", "N/A")
 # --- fixed values: text patterns accepted by the casts ---------------------------------
 INT_PATTERN = r"^\d+\z"
 DECIMAL_PATTERN = r"^\d+\.?\d*\z"
+CUT_DECIMALS_PATTERN = r"^\d+\.\d{12}\d*[1-9]\d*\z"
 DATE_PREFIX_PATTERN = r"^\d{2}/\d{2}/\d{4}"
 LAST_TOKEN_PATTERN = r"[^_]+\z"
 BLANK_PATTERN = r"^\s*\z"

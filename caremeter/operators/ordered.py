@@ -15,7 +15,7 @@ from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from caremeter.functions.rules import mean_of
+from caremeter.functions import exact as X
 from caremeter.operators.common import null_safe_join
 
 VALUE_TYPE = "decimal(38,12)"      # for interpolation and averages only; ranks compare the values themselves
@@ -65,7 +65,9 @@ def distribution(df: DataFrame, by, value: str, ps: dict[str, float], digits: in
     """Count, mean, minimum, maximum and interpolated percentiles (PERCENTILE_CONT) per group, all exact.
 
     ``ps`` maps an output column to its fraction, e.g. ``{"median": 0.5}``. Everything is read off the
-    value counts, in decimal arithmetic, so the rows are scanned and shuffled once.
+    value counts, in decimal arithmetic rounded once, so the rows are scanned and shuffled once. Values of any numeric type
+    have a place: NULL is left out, NaN is the largest, after infinity. What no decimal(38,12) holds (NaN, infinity, 1e26 and
+    more) counts in ``n`` and in the order; the mean of its group is NULL, and so is every result that would be that value.
     """
     by = list(by)
     ranked = ranked_values(df.select(*by, F.col(value).alias("__v")), by, "__v")
@@ -73,32 +75,26 @@ def distribution(df: DataFrame, by, value: str, ps: dict[str, float], digits: in
     def position(p: float) -> Column:
         return (F.col("n_group").cast("decimal(18,0)") - 1) * F.lit(Decimal(str(p))).cast("decimal(9,8)")
 
-    exact = F.col("__v").cast(VALUE_TYPE)
-
     def holds(index: Column) -> Column:
         return (F.col("n_below") <= index) & (index < F.col("n_below") + F.col("n"))
 
     aggs = [F.max("n_group").alias("n_group"), F.min("__v").alias("min_val"), F.max("__v").alias("max_val"),
-            F.sum(exact * F.col("n").cast("decimal(19,0)")).alias("__sum")]
+            *[c.alias(f"__{name}") for name, c in X.sum_parts(F.col("__v"), F.col("n")).items()]]
     for i, p in enumerate(ps.values()):
         at = F.floor(position(p))
-        aggs += [F.max(F.when(holds(at), exact)).alias(f"__lo{i}"),
-                 F.max(F.when(holds(at + 1), exact)).alias(f"__hi{i}")]
+        aggs += [F.max(F.when(holds(at), F.col("__v"))).alias(f"__lo{i}"),
+                 F.max(F.when(holds(at + 1), F.col("__v"))).alias(f"__hi{i}")]
     ends = ranked.groupBy(*by).agg(*aggs)
 
     def at_fraction(i: int, p: float) -> Column:
-        low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        frac = (position(p) - F.floor(position(p))).cast("decimal(9,8)")
-        return F.coalesce(low + (high - low) * frac, low)
-
-    def rounded(c: Column, name: str) -> Column:
-        return F.round(c.cast(VALUE_TYPE), digits).cast(f"decimal(38,{digits})").alias(name)
+        share = (position(p) - F.floor(position(p))).cast("decimal(9,8)")
+        return X.between(X.held(F.col(f"__lo{i}")), X.held(F.col(f"__hi{i}")), share, digits)
 
     return ends.select(
         *by, F.coalesce("n_group", F.lit(0)).alias("n"),
-        mean_of(F.col("__sum"), F.col("n_group"), digits).alias("avg_val"),
-        rounded(F.col("min_val"), "min_val"), rounded(F.col("max_val"), "max_val"),
-        *[rounded(at_fraction(i, p), name) for i, (name, p) in enumerate(ps.items())])
+        X.mean_from(F.col("__whole"), F.col("__units"), F.col("__bad"), F.col("n_group"), digits).alias("avg_val"),
+        *[X.rounded(X.held(F.col(c)), digits).alias(c) for c in ("min_val", "max_val")],
+        *[at_fraction(i, p).alias(name) for i, (name, p) in enumerate(ps.items())])
 
 
 def percentiles(df: DataFrame, by, value: str, ps: dict[str, float], digits: int = 2) -> DataFrame:

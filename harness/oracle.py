@@ -43,6 +43,11 @@ def as_dec(col: str) -> str:
     return f"CASE WHEN {is_num(col)} THEN TRY_CAST({col} AS DECIMAL(38,12)) END"
 
 
+def as_whole_dec(col: str) -> str:
+    """The decimal, NULL where its text has more digits than the type keeps."""
+    return f"CASE WHEN NOT regexp_full_match({col}, '\\d+\\.\\d{{12}}\\d*[1-9]\\d*') THEN {as_dec(col)} END"
+
+
 def as_date(col: str) -> str:
     return (f"CASE WHEN regexp_matches({col}, '^\\d\\d/\\d\\d/\\d{{4}}') "
             f"THEN CAST(try_strptime(left({col}, 10), '%m/%d/%Y') AS DATE) END")
@@ -159,7 +164,7 @@ CTES |= {
     "hospital_general": _hospital_sql(),
     "timely_care": _fact_sql("timely_care", [
         "trim(condition) AS condition", *_ID, f"{as_dec('score')} AS score_numeric",
-        f"CASE WHEN NOT {missing('score')} AND NOT {is_num('score')} THEN score END AS score_text",
+        f"CASE WHEN NOT {missing('score')} AND ({as_dec('score')}) IS NULL THEN score END AS score_text",
         f"{as_int('sample')} AS sample"]),
     "complications": _fact_sql("complications", [
         *_ID, COMPARED, f"{as_int('denominator')} AS denominator",
@@ -410,7 +415,7 @@ TYPED += [(t, "score", "decimal") for t in FACTS] + [(t, c, "date") for t in FAC
 def _unread(table: str, col: str, kind: str) -> str:
     form = {"int": f"coalesce(regexp_full_match({col}, '\\d+'), false)", "decimal": is_num(col),
             "date": f"coalesce(regexp_matches({col}, '^\\d\\d/\\d\\d/\\d{{4}}'), false)"}[kind]
-    value = {"int": as_int, "decimal": as_dec, "date": as_date}[kind](col)
+    value = {"int": as_int, "decimal": as_whole_dec, "date": as_date}[kind](col)
     real = f"NOT {missing(col)} AND NOT regexp_full_match({col}, '\\s*')"
     return (f"SELECT '{table}' AS table_name, '{col}' AS column_name, count(*) FILTER (WHERE {real}) AS real_values, "
             f"count(*) FILTER (WHERE {real} AND NOT {form}) AS wrong_form, "

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from harness.derive import RAW
-from harness.oracle import FACTS, GROUPS, LENGTH_LIMITS, PRESENT, TYPED, REGION_STATES, as_date, as_dec, as_int, has, is_num, missing, quoted
+from harness.oracle import FACTS, GROUPS, LENGTH_LIMITS, PRESENT, TYPED, REGION_STATES, as_date, as_int, as_whole_dec, has, is_num, missing, quoted
 
 STATES = tuple(s for states in REGION_STATES.values() for s in states)
 
@@ -21,7 +21,7 @@ def _broken(check: str, table: str, metric: str, where: str, severity: str = "er
 def _unread(table: str) -> str:
     def one(col, kind):
         form = {"int": f"regexp_full_match({col}, '\\d+')", "decimal": is_num(col), "date": f"regexp_matches({col}, '^\\d\\d/\\d\\d/\\d{{4}}')"}[kind]
-        return f"coalesce({form}, false) AND ({ {'int': as_int, 'decimal': as_dec, 'date': as_date}[kind](col) }) IS NULL"
+        return f"coalesce({form}, false) AND ({ {'int': as_int, 'decimal': as_whole_dec, 'date': as_date}[kind](col) }) IS NULL"
     return " OR ".join(f"({one(c, kind)})" for t, c, kind in TYPED if t == table)
 
 
