@@ -142,6 +142,17 @@ def in_order(*keys: str):
     return decorate
 
 
+def by_counts(report: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Decorator for profiles: table by table, the largest counts (``n``, ``n_*``) first, then by the other columns."""
+    @wraps(report)
+    def sorted_report(*args, **kwargs) -> DataFrame:
+        df = report(*args, **kwargs)
+        counts = [c for c in df.columns if c == "n" or c.startswith("n_")]
+        tables = [c for c in df.columns if c == "table_name"]
+        return sort_rows(df, *tables, *[f"-{c}" for c in counts], *[c for c in df.columns if c not in (*counts, *tables)])
+    return sorted_report
+
+
 def top_k(df: DataFrame, order, k: int, tiebreak=()) -> DataFrame:
     """First ``k`` rows in a total order: per-task heaps, then one merge of ``k`` rows per task."""
     return df.orderBy(*order, *tiebreak).limit(k)

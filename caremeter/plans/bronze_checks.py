@@ -10,6 +10,7 @@ from caremeter.functions import values as V
 from caremeter.operators import checks as C, profiles as P
 from caremeter.operators.common import tagged, union_all
 from caremeter.operators.duplicates import duplicate_keys, list_duplicates
+from caremeter.operators.ordered import by_counts
 from caremeter.sources.schemas import FACTS
 
 Tables = Mapping[str, DataFrame]
@@ -29,10 +30,12 @@ ROW_KEYS = {
 }
 
 
+@by_counts
 def table_counts(b: Tables) -> DataFrame:
     return C.row_counts(b)
 
 
+@by_counts
 def repeated_facilities(b: Tables) -> DataFrame:
     return duplicate_keys(b["hospital_general"], ["facility_id"])
 
@@ -41,14 +44,17 @@ def duplicate_rows(b: Tables, table: str) -> DataFrame:
     return list_duplicates(b[table], ROW_KEYS[table], "start_date")
 
 
+@by_counts
 def distinct_values(b: Tables, table: str, column: str) -> DataFrame:
     return P.profile_distinct(b[table], [column])
 
 
+@by_counts
 def value_counts(b: Tables, table: str, column: str, n: str = "n") -> DataFrame:
     return P.profile_values(b[table], [column], n=n)
 
 
+@by_counts
 def group_footnote_codes(b: Tables, group: str = "mort") -> DataFrame:
     c = f"{group}_group_footnote"
     return P.profile_values(b["hospital_general"], [c], F.col(c).isNotNull() & (F.col(c) != ""))
@@ -59,25 +65,30 @@ def footnote_coverage(b: Tables) -> DataFrame:
                             total="total_hospitals")
 
 
+@by_counts
 def missing_scores(b: Tables) -> DataFrame:
     """Missingness of every score column of every fact: one scan per fact."""
     return union_all([tagged(P.profile_missing(b[t], cols), t) for t, cols in SCORE_COLUMNS.items()])
 
 
+@by_counts
 def odd_scores(b: Tables, table: str) -> DataFrame:
     return P.profile_odd_values(b[table], "score")
 
 
+@by_counts
 def footnotes(b: Tables) -> DataFrame:
     return union_all([tagged(P.profile_values(b[t], ["footnote"]), t) for t in FACTS])
 
 
+@by_counts
 def text_date_range(b: Tables) -> DataFrame:
     """First and last period as text (text order); the true range is a silver check."""
     return union_all([C.check_range(b[t], t, "start_date", "end_date", ("earliest_period", "latest_period"))
                       for t in FACTS])
 
 
+@by_counts
 def odd_infection_counts(b: Tables, expected: int = V.INFECTION_ROWS_PER_FACILITY) -> DataFrame:
     return P.odd_group_sizes(b["infections"], "facility_id", expected)
 
@@ -86,5 +97,6 @@ def join_match_counts(b: Tables) -> DataFrame:
     return C.join_size(b["hospital_general"], b["timely_care"], "facility_id", "hospital_to_timely_care")
 
 
+@by_counts
 def id_lengths(b: Tables) -> DataFrame:
     return P.profile_length(b, "facility_id")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from caremeter.functions import values as V
 from caremeter.functions.rules import exact_avg, region
 from caremeter.operators.compare import compare_means, entity_mean, group_stats, outcome_mix
+from caremeter.operators.ordered import in_order
 from caremeter.sources.store import LayerStore
 
 DIM_COLUMNS = ("facility_id", "facility_name", "hospital_ownership", "hospital_type", "state", "region",
@@ -48,8 +49,9 @@ def imaging_vs_ed_wait(hospital: DataFrame, imaging: DataFrame, timely: DataFram
         "imaging_period_start", "imaging_period_end", "ed_period_start", "ed_period_end")
 
 
+@in_order("-n_hospitals", "hospital_ownership")
 def ownership_imaging_ed_stats(hospital: DataFrame, imaging: DataFrame, timely: DataFrame) -> DataFrame:
-    """Group statistics by ownership (Tribal left out); order is up to the consumer."""
+    """Group statistics by ownership (Tribal left out), the largest group first."""
     view = imaging_vs_ed_wait(hospital, imaging, timely).where(F.col("hospital_ownership") != V.TRIBAL_VALUE)
     return group_stats(view, ["hospital_ownership"], *ownership_stats())
 

@@ -9,15 +9,17 @@ from pyspark.sql import DataFrame, functions as F
 from caremeter.functions import values as V
 from caremeter.functions.rules import pct
 from caremeter.operators import checks as C, profiles as P
-from caremeter.operators.ordered import top_k
+from caremeter.operators.ordered import by_counts, in_order, top_k
 
 Tables = Mapping[str, DataFrame]
 
 
+@by_counts
 def view_counts(g: Tables) -> DataFrame:
     return C.row_counts(g, "view_name", "n_rows")
 
 
+@by_counts
 def region_counts(g: Tables) -> DataFrame:
     return P.profile_values(g["dim_hospital"], ["region"])
 
@@ -38,6 +40,7 @@ def view_sample(g: Tables, k: int = 3) -> DataFrame:
     return top_k(view, [F.asc_nulls_last("facility_id")], k)
 
 
+@by_counts
 def composite_inputs(s: Tables, facility: str) -> DataFrame:
     """Rows behind one facility's two composites."""
     def rows(table, score, measures):
@@ -48,6 +51,7 @@ def composite_inputs(s: Tables, facility: str) -> DataFrame:
         rows("timely_care", "score_numeric", V.ED_WAIT_MEASURES))
 
 
+@in_order("-n_hospitals", "hospital_ownership")
 def ownership_shares(g: Tables) -> DataFrame:
     stats = g["vw_ownership_imaging_ed_stats"]
     return stats.select(

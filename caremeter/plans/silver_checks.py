@@ -12,6 +12,7 @@ from caremeter.functions.text import cut_decimals, looks_decimal, to_date_mdy, t
 from caremeter.operators import checks as C, profiles as P
 from caremeter.operators.common import tagged, union_all
 from caremeter.operators.duplicates import check_duplicates
+from caremeter.operators.ordered import by_counts
 from caremeter.sources.schemas import FACTS, LENGTH_LIMITS, RAW_COLUMNS, TABLES
 
 Tables = Mapping[str, DataFrame]
@@ -32,64 +33,78 @@ FACT_KEYS = ("facility_id", "measure_id")
 COMPARED = ("complications", "infections")
 
 
+@by_counts
 def count_parity(b: Tables, s: Tables) -> DataFrame:
     return C.check_counts(b, s)
 
 
+@by_counts
 def null_keys(b: Tables, s: Tables) -> DataFrame:
     return C.check_null_keys({t: s[t] for t in TABLES}, "facility_id")
 
 
+@by_counts
 def duplicate_pairs(b: Tables, s: Tables) -> DataFrame:
     return union_all([check_duplicates(s[t], t, FACT_KEYS) for t in FACTS])
 
 
+@by_counts
 def orphan_ids(b: Tables, s: Tables) -> DataFrame:
     return union_all([C.check_orphans(s[t], s["hospital_general"], t, "facility_id") for t in FACTS])
 
 
+@by_counts
 def fact_invariants(b: Tables, s: Tables) -> DataFrame:
     """Null ids, usability, reasons, blocked codes and inverted dates: one scan per fact."""
     return union_all([C.violations(s[t], t, C.fact_rules(TYPED_SCORES[t])) for t in FACTS])
 
 
+@by_counts
 def text_lengths(b: Tables, s: Tables) -> DataFrame:
     """Warn-level: values longer than the declared lengths."""
     return union_all([C.check_lengths(s[t], t, LENGTH_LIMITS[t]) for t in TABLES])
 
 
+@by_counts
 def domain(b: Tables, s: Tables, column: str, table: str = "hospital_general") -> DataFrame:
     return P.profile_values(s[table], [column])
 
 
+@by_counts
 def ownership_mapping(b: Tables, s: Tables) -> DataFrame:
     return P.profile_distinct(s["hospital_general"], ["hospital_ownership", "hospital_ownership_details"])
 
 
+@by_counts
 def boolean_profile(b: Tables, s: Tables) -> DataFrame:
     return P.profile_booleans(s["hospital_general"], ["emergency_services", "birthing_friendly_designation"])
 
 
+@by_counts
 def status_by_footnote(b: Tables, s: Tables, group: str = "mort") -> DataFrame:
     status = f"{group}_reporting_status"
     return P.profile_values(s["hospital_general"], [status, f"{group}_group_footnote"], F.col(status).isNotNull())
 
 
+@by_counts
 def comparison_counts(b: Tables, s: Tables) -> DataFrame:
     return union_all([tagged(P.profile_values(s[t], ["compared_to_national"]), t) for t in COMPARED])
 
 
+@by_counts
 def comparison_variants(b: Tables, s: Tables) -> DataFrame:
     sources = {f"{layer}_{t}": tables[t] for layer, tables in (("bronze", b), ("silver", s)) for t in COMPARED}
     return C.compare_sets(sources, "compared_to_national")
 
 
+@by_counts
 def unmatched_comparisons(b: Tables, s: Tables) -> DataFrame:
     """Raw wordings that the recode leaves NULL, such as variants the patterns do not cover."""
     return union_all([tagged(C.unmatched_values(b[t], "compared_to_national", comparison_label("compared_to_national")), t)
                       for t in COMPARED])
 
 
+@by_counts
 def multi_code_tiers(b: Tables, s: Tables) -> DataFrame:
     """Reasons given to unusable rows that carry several codes."""
     rows = C.stack_facts({t: s[t].where(F.col("footnote").contains(",") & ~F.col("is_score_usable")) for t in FACTS},
@@ -101,10 +116,12 @@ def score_split(b: Tables, s: Tables) -> DataFrame:
     return C.exclusive_columns(s["timely_care"], "score_numeric", "score_text")
 
 
+@by_counts
 def score_ranges(b: Tables, s: Tables) -> DataFrame:
     return union_all([C.check_range(s[t], t, TYPED_SCORES[t][0]) for t in FACTS])
 
 
+@by_counts
 def lost_scores(b: Tables, s: Tables) -> DataFrame:
     return union_all([C.check_lost_values(b[t], s[t], t, FACT_KEYS, "score", TYPED_SCORES[t]) for t in FACTS])
 
@@ -117,31 +134,38 @@ def typed_columns(table: str) -> dict:
     return whole | decimal | date
 
 
+@by_counts
 def unread_values(b: Tables, s: Tables) -> DataFrame:
     return union_all([C.check_unread_values(b[t], t, typed_columns(t)) for t in TABLES])
 
 
+@by_counts
 def date_ranges(b: Tables, s: Tables) -> DataFrame:
     return union_all([C.check_range(s[t], t, "start_date", "end_date", ("earliest", "latest")) for t in FACTS])
 
 
+@by_counts
 def suffixes(b: Tables, s: Tables) -> DataFrame:
     return P.profile_distinct(s["infections"], ["measure_suffix"])
 
 
+@by_counts
 def footnote_counts(b: Tables, s: Tables) -> DataFrame:
     return union_all([tagged(P.profile_values(s[t], ["footnote"]), t) for t in FACTS])
 
 
+@by_counts
 def multi_code_footnotes(b: Tables, s: Tables) -> DataFrame:
     return union_all([tagged(P.profile_values(s[t], ["footnote"], F.col("footnote").contains(",")), t) for t in FACTS])
 
 
+@by_counts
 def multi_code_group_footnotes(b: Tables, s: Tables, group: str = "safety") -> DataFrame:
     c = f"{group}_group_footnote"
     return P.profile_values(s["hospital_general"], [c], F.col(c).contains(","))
 
 
+@by_counts
 def spot_hospital(b: Tables, s: Tables, ids) -> DataFrame:
     names = ("name", "ownership", "rating", "emergency")
     cols = ("facility_name", "hospital_ownership", "hospital_overall_rating", "emergency_services")
@@ -149,18 +173,21 @@ def spot_hospital(b: Tables, s: Tables, ids) -> DataFrame:
                         {c: f"bronze_{n}" for c, n in zip(cols, names)}, {c: f"silver_{n}" for c, n in zip(cols, names)})
 
 
+@by_counts
 def spot_timely_care(b: Tables, s: Tables, ids) -> DataFrame:
     return C.spot_check(b["timely_care"], s["timely_care"], FACT_KEYS, "facility_id", ids,
                         {"measure_name": "measure_name", "score": "bronze_score"},
                         {c: c for c in ("score_numeric", "score_text", "is_score_usable", "score_exclusion_reason")})
 
 
+@by_counts
 def spot_complications(b: Tables, s: Tables, ids) -> DataFrame:
     cols = {"compared_to_national": "compared", "score": "score", "start_date": "start_date", "end_date": "end_date"}
     return C.spot_check(b["complications"], s["complications"], FACT_KEYS, "facility_id", ids,
                         {c: f"bronze_{a}" for c, a in cols.items()}, {c: f"silver_{a}" for c, a in cols.items()})
 
 
+@by_counts
 def spot_infections(b: Tables, s: Tables, ids) -> DataFrame:
     return C.spot_check(b["infections"], s["infections"], FACT_KEYS, "facility_id", ids,
                         {"score": "bronze_score"}, {"score": "silver_score", "measure_suffix": "measure_suffix"})
@@ -174,11 +201,13 @@ def unusable_facilities(b: Tables, s: Tables) -> DataFrame:
     return _no_usable_score(s).agg(F.count("*").alias("hospitals_with_no_usable_scores"))
 
 
+@by_counts
 def unusable_by_type(b: Tables, s: Tables) -> DataFrame:
     kinds = ["hospital_type", "hospital_ownership", "emergency_services", "hospital_overall_rating"]
     return P.profile_values(_no_usable_score(s).join(s["hospital_general"], "facility_id"), kinds, n="n_hospitals")
 
 
+@by_counts
 def unusable_listed(b: Tables, s: Tables, types=V.ACUTE_TYPES) -> DataFrame:
     rows = s["hospital_general"].where(F.col("hospital_type").isin(*types)).join(
         _no_usable_score(s), "facility_id", "left_semi")

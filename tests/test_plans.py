@@ -7,7 +7,7 @@ import re
 import pytest
 
 from caremeter.functions.values import IMAGING_MEASURES
-from caremeter.plans import analysis, explore, gold_checks, silver_checks
+from caremeter.plans import analysis, bronze_checks, explore, gold_checks, silver_checks
 from caremeter.plans.gold import gold_view
 from caremeter.plans.silver import build_silver
 from caremeter.sources.schemas import TABLES
@@ -90,3 +90,15 @@ def test_reports_come_in_their_order(stored):
     assert ordered_by(analysis.gap_to_five_stars(stored).collect(), "-gap_to_close")
     assert ordered_by(explore.worst_complications(stored).collect(), "-worse_measure_count", "facility_id")
     assert ordered_by(explore.measure_counts(stored).collect(), "-n_measures")
+
+
+def test_check_reports_come_in_order(spark):
+    lake = Lake(spark, "/root/testdata/sf0.001")
+    counts = [(r.n_hospitals, r.measure_id) for r in bronze_checks.value_counts(lake.bronze, "timely_care", "measure_id", "n_hospitals").collect()]
+    assert counts == sorted(counts, key=lambda r: (-r[0], r[1] is None, r[1])) and len(counts) > 3
+    notes = [(r.table_name, r.n) for r in silver_checks.footnote_counts(lake.bronze, lake.silver).collect()]
+    assert notes == sorted(notes, key=lambda r: (r[0], -r[1]))
+    regions = [r.n for r in gold_checks.region_counts(lake.gold).collect()]
+    assert regions == sorted(regions, reverse=True)
+    shares = [r.n_hospitals for r in gold_checks.ownership_shares(lake.gold).collect()]
+    assert shares == sorted(shares, reverse=True)
