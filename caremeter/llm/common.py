@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -24,8 +25,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """Folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only in local mode, where that is unset."""
+    folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.master", "")
+    if not folder and not re.match(r"local($|\[)", master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (folder or _own_dir()).rstrip("/")
 
 
 @cache
