@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from caremeter.operators.common import null_safe_join
+from caremeter.operators.running import earlier_totals
 
 SLICE_ROWS = 10_000    # rows of a key that share a slice, about; every key is cut by the same rule
 CHUNK = 10_000         # rows that one folded row unfolds to at a time
@@ -29,8 +30,8 @@ def list_duplicates(df: DataFrame, keys, order: str, rank: str = "ranking", slic
     Same rows as ``ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order, <row digest>) > 1``. Only
     keys that repeat go on (normally none). Identical rows travel as one row with a count. A key is cut
     by ``order`` value and by a prefix of the row digest that is the longer the more rows the key has;
-    slices are numbered by running totals, so no task sorts all rows of a key. Copies are unfolded in
-    chunks that are spread over the cluster.
+    slices are numbered by running totals, themselves cut into ranges of ``order``, so no task sees all
+    rows or all order values of a key. Copies are unfolded in chunks that are spread over the cluster.
     """
     keys, columns = list(keys), df.columns
     digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("n") / slice_rows) / math.log(16))).cast("int")
@@ -38,7 +39,7 @@ def list_duplicates(df: DataFrame, keys, order: str, rank: str = "ranking", slic
     rows = null_safe_join(df, repeated, keys)
 
     digest = F.md5(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in columns]))
-    key = F.struct(*keys).alias("k")
+    key = F.struct(*keys, "__digits").alias("k")
     folded = (
         rows.groupBy(*columns, "__digits").agg(F.count("*").alias("__copies"))
         .withColumn("__digest", digest)
@@ -47,10 +48,10 @@ def list_duplicates(df: DataFrame, keys, order: str, rank: str = "ranking", slic
             key, F.col(order).alias("o"), F.expr("substring(__digest, 1, __digits)").alias("s"))))
 
     sizes = folded.groupBy("__slice").agg(F.sum("__copies").alias("__size"))
-    per_order = sizes.groupBy(F.struct("__slice.k", "__slice.o").alias("__level")).agg(F.sum("__size").alias("__size"))
-    earlier = Window.partitionBy("__level.k").orderBy(F.col("__level.o").asc_nulls_last()).rowsBetween(
-        Window.unboundedPreceding, -1)
-    order_offsets = per_order.select("__level", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before_order"))
+    per_order = sizes.groupBy("__slice.k", "__slice.o").agg(F.sum("__size").alias("__size"))
+    # only keys that the digest cuts have more rows than a slice
+    order_offsets = earlier_totals(per_order, ["k"], "o", "__size", "__before_order", slice_rows, F.col("k.__digits") > 0).select(
+        F.struct("k", "o").alias("__level"), "__before_order")
     lower = Window.partitionBy("__level").orderBy("__slice.s").rowsBetween(Window.unboundedPreceding, -1)
     slice_offsets = sizes.withColumn("__level", F.struct("__slice.k", "__slice.o")).select(
         "__level", "__slice", F.coalesce(F.sum("__size").over(lower), F.lit(0)).alias("__before_slice"))

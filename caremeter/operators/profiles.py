@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caremeter.functions.rules import exact_avg, pct
 from caremeter.functions.text import looks_decimal
-from caremeter.operators.common import union_all
+from caremeter.operators.common import null_safe_join, union_all
 
 
 def profile_missing(df: DataFrame, cols) -> DataFrame:
@@ -66,15 +66,24 @@ def share_within(df: DataFrame, keys, within=(), digits: int = 2, n: str = "n",
                  extra=()) -> DataFrame:
     """Count per key and its share of the enclosing group (or of all rows).
 
-    The total is taken over the counts, never over the rows, so the rows are counted once.
+    Totals come from the counts, never from the rows, so the rows are counted once. Those of enclosing groups
+    are summed (tasks first) and joined back, so the counts of one group are many tasks.
     """
     counts = df.groupBy(*keys).agg(F.count("*").alias(n), *extra)
-    return counts.withColumn(pct_name, pct(F.col(n), share_total(counts, n, within), digits))
+    if not within:
+        return counts.withColumn(pct_name, pct(F.col(n), share_total(counts, n), digits))
+    return with_group_total(counts, n, within, "__total").withColumn(
+        pct_name, pct(F.col(n), F.col("__total"), digits)).drop("__total")
 
 
-def share_total(counts: DataFrame, n: str, within=()) -> Column:
-    """Sum of ``n`` over the enclosing group, or over all of ``counts``, which holds one row per key and not the data."""
-    return F.sum(n).over(Window.partitionBy(*(within or [F.lit(0)])))
+def with_group_total(counts: DataFrame, n: str, within, name: str) -> DataFrame:
+    """``counts`` with the sum of ``n`` over the enclosing group; NULL is a group of its own."""
+    return null_safe_join(counts, counts.groupBy(*within).agg(F.sum(n).alias(name)), list(within))
+
+
+def share_total(counts: DataFrame, n: str) -> Column:
+    """Sum of ``n`` over all of ``counts``, which holds one row per key and not the data."""
+    return F.sum(n).over(Window.partitionBy(F.lit(0)))
 
 
 def inventory(fact: DataFrame, by, score: str, where: Column | None = None, avg_usable_only: bool = False,

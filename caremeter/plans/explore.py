@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from caremeter.functions import values as V
 from caremeter.functions.rules import known_states, mean_of, outcome_category, pct, region
 from caremeter.operators import checks as C, profiles as P
+from caremeter.operators.common import union_all
 from caremeter.operators.compare import compare_means, group_stats
 from caremeter.operators.ordered import distribution, in_order, top_k
 from caremeter.plans.gold import ed_scores, imaging_scores
@@ -61,8 +62,8 @@ def outcomes_by_ownership(s: Tables) -> DataFrame:
     counts = _rated(s).groupBy("facility_id", "compared_to_national").agg(F.count("*").alias("__n"))
     by_owner = counts.join(s["hospital_general"].select("facility_id", "hospital_ownership"), "facility_id").groupBy(
         "hospital_ownership", "compared_to_national").agg(F.sum("__n").alias("n_hospitals"))
-    total = P.share_total(by_owner, "n_hospitals", ["hospital_ownership"])
-    return by_owner.withColumn("pct_of_total_per_ownership", pct(F.col("n_hospitals"), total, 2))
+    return P.with_group_total(by_owner, "n_hospitals", ["hospital_ownership"], "__total").withColumn(
+        "pct_of_total_per_ownership", pct(F.col("n_hospitals"), F.col("__total"), 2)).drop("__total")
 
 
 # ---- sample sizes ----------------------------------------------------------------------
@@ -82,14 +83,33 @@ def sample_overlap(s: Tables) -> DataFrame:
 
 
 def survivors_by_ownership(s: Tables) -> DataFrame:
-    flags = _ed_and_imaging(s)
-    kept = flags.where(F.col("ed") & F.col("imaging")).join(
-        s["hospital_general"].select("facility_id", "hospital_ownership"), "facility_id")
-    shares = P.share_within(kept.where(F.col("hospital_ownership") != V.TRIBAL_VALUE), ["hospital_ownership"],
-                            n="usable_with_both", pct_name="pct_of_joined_sample")
-    return shares.select(
-        "hospital_ownership", flags.agg(F.count_if("ed")).scalar().alias("usable_ed"),
-        flags.agg(F.count_if("imaging")).scalar().alias("usable_imaging"), "usable_with_both", "pct_of_joined_sample")
+    """Facilities with both measures per owner, beside the totals of each measure.
+
+    Facts and owners meet in one grouping by facility, and the totals are sums over the counts per owner, so every table
+    is read once. A facility counts once in the totals, and once per row of it in the counts of its owners.
+    """
+    owners = s["hospital_general"].groupBy("facility_id", "hospital_ownership").agg(F.count("*").alias("__rows"))
+    none = F.lit(None).cast(T.StructType([owners.schema["hospital_ownership"], owners.schema["__rows"]]))
+    records = union_all([
+        _usable(s["timely_care"].where(_is_ed()), "score_numeric").select(
+            "facility_id", F.lit(True).alias("ed"), F.lit(False).alias("imaging"), none.alias("owner")),
+        _usable(s["outpatient_imaging"], "score").select(
+            "facility_id", F.lit(False).alias("ed"), F.lit(True).alias("imaging"), none.alias("owner")),
+        owners.select("facility_id", F.lit(False).alias("ed"), F.lit(False).alias("imaging"),
+                      F.struct("hospital_ownership", "__rows").alias("owner"))])
+    # a fact has no owner and adds nothing to the list, which holds the distinct owners of one facility
+    facilities = records.where(F.col("facility_id").isNotNull()).groupBy("facility_id").agg(
+        F.bool_or("ed").alias("ed"), F.bool_or("imaging").alias("imaging"), F.collect_list("owner").alias("owners"))
+    per_owner = facilities.select("ed", "imaging", F.posexplode_outer("owners").alias("place", "owner"))
+    once = F.coalesce(F.col("place"), F.lit(0)) == 0
+    counts = per_owner.groupBy(F.col("owner.hospital_ownership").alias("hospital_ownership")).agg(
+        F.count_if(F.col("ed") & once).alias("usable_ed"), F.count_if(F.col("imaging") & once).alias("usable_imaging"),
+        F.sum(F.when(F.col("ed") & F.col("imaging"), F.col("owner.__rows"))).alias("usable_with_both"))
+    counts = counts.withColumns({c: P.share_total(counts, c) for c in ("usable_ed", "usable_imaging")}).where(
+        (F.col("hospital_ownership") != V.TRIBAL_VALUE) & (F.col("usable_with_both") > 0))
+    return counts.select(
+        "hospital_ownership", "usable_ed", "usable_imaging", "usable_with_both",
+        pct(F.col("usable_with_both"), P.share_total(counts, "usable_with_both"), 2).alias("pct_of_joined_sample"))
 
 
 def complication_sample(s: Tables, min_rated: int = V.MIN_RATED) -> DataFrame:
