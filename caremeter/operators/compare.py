@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from caremeter.functions import exact as X
 from caremeter.functions.rules import exact_avg, pct, r_squared, safe_corr, sd
-from caremeter.operators.ordered import column_distributions, pick
+from caremeter.operators.ordered import rank_counts
 
 
 def entity_mean(fact: DataFrame, score: str, where: Column, name: str, used: str, period: str | None = None,
@@ -66,14 +67,29 @@ def group_stats(df: DataFrame, by, *aggs: Column) -> DataFrame:
 
 
 def quadrants(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Counts and means per quadrant of a median split on two measures (at the median counts as low)."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    medians = column_distributions(both, [x, y], {"median": 0.5}, digits=6).agg(
-        F.struct(pick("median", x).alias("x"), pick("median", y).alias("y"))).scalar()
+    """Counts and means per quadrant of a median split on two measures (at the median counts as low).
 
-    def half(c: str, median: Column) -> Column:
-        return F.when(F.col(c) > median, "high").otherwise("low").alias(f"{c}_half")
+    A value lies above the median where at least half of all rows lie below the value, so the halves are read off
+    the ranks and no median is computed or rounded. Rows are folded to pairs of values first, which both the ranks and the
+    quadrants are made of. Rows with a NULL in either measure are left out.
+    """
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("__n"))
+
+    values = pairs.unpivot(["__n"], [x, y], "column_name", "__v").groupBy("column_name", "__v").agg(F.sum("__n").alias("n"))
+    low = rank_counts(values, ["column_name"], "__v").where(F.col("n_below") * 2 < F.col("n_group"))
+    last_low = low.agg(F.struct(*[F.max(F.when(F.col("column_name") == c, F.col("__v"))).alias(c) for c in (x, y)])).scalar()
+
+    def half(c: str) -> Column:
+        return F.when(F.col(c) > F.col("__low")[c], "high").otherwise("low").alias(f"{c}_half")
+
+    split = pairs.withColumn("__low", last_low).select(half(x), half(y), F.col(x).alias("__x"), F.col(y).alias("__y"), "__n")
+
+    def mean(value: str, name: str) -> tuple[list[Column], Column]:
+        parts = X.sum_parts(F.col(value), F.col("__n"))
+        named = {part: f"{value}_{part}" for part in parts}
+        return ([parts[p].alias(c) for p, c in named.items()],
+                X.mean_from(*[F.col(named[p]) for p in ("whole", "units", "bad")], F.col("n"), 2).alias(name))
 
-    split = both.select(half(x, medians["x"]), half(y, medians["y"]), x, y)
-    return split.groupBy(f"{x}_half", f"{y}_half").agg(
-        F.count("*").alias("n"), exact_avg(x, 2).alias(f"avg_{x}"), exact_avg(y, 2).alias(f"avg_{y}"))
+    (sums_x, mean_x), (sums_y, mean_y) = mean("__x", f"avg_{x}"), mean("__y", f"avg_{y}")
+    sums = split.groupBy(f"{x}_half", f"{y}_half").agg(F.sum("__n").alias("n"), *sums_x, *sums_y)
+    return sums.select(f"{x}_half", f"{y}_half", "n", mean_x, mean_y)

@@ -41,12 +41,15 @@ def ranked_values(df: DataFrame, by, value: str) -> DataFrame:
 
     ``value`` keeps its type. Rows with a NULL value are left out.
     """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    return rank_counts(counts, by, value)
+
+
+def rank_counts(counts: DataFrame, by, value: str) -> DataFrame:
+    """``ranked_values`` from one row per (group, value) with its rows in ``n``; no value is NULL."""
     by = list(by)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, value).agg(F.count("*").alias("n"))
-        # one struct key for window and join: NULL groups match, and both share one shuffle
-        .withColumn("__slice", F.struct(*by, value_slice(F.col(value)).alias("__s"))))
+    # one struct key for window and join: NULL groups match, and both share one shuffle
+    counts = counts.withColumn("__slice", F.struct(*by, value_slice(F.col(value)).alias("__s")))
 
     group = [F.col(f"__slice.{c}") for c in by]
     sizes = counts.groupBy("__slice").agg(F.sum("n").alias("__size"))

@@ -185,6 +185,22 @@ def test_quadrants(spark):
     assert got == {("low", "low"): 2, ("high", "high"): 1}
 
 
+def test_quadrants_of_tiny_differences(spark):
+    """Halves come from ranks: medians far below six digits, even counts, ties at the median and copies."""
+    for xs in (["0.0000001", "0.0000002", "0.0000003"], ["1", "2", "2", "3"], ["1", "1", "1", "2"], ["1", "2", "3", "4"],
+               ["0.000000000001", "0.000000000002"], ["5"]):
+        xs = [Decimal(x) for x in xs]
+        df = spark.createDataFrame([(x, -x) for x in xs], "x decimal(38,12), y decimal(38,12)")
+        middle = percentile(sorted(Fraction(x) for x in xs), 0.5)
+        want = Counter(("high" if x > middle else "low", "high" if -x > -middle else "low") for x in xs)
+        got = quadrants(df, "x", "y").collect()
+        assert {(r.x_half, r.y_half): r.n for r in got} == want
+        for r in got:
+            inside = [x for x in xs if ("high" if x > middle else "low") == r.x_half and ("high" if -x > -middle else "low") == r.y_half]
+            assert r.avg_x == half_up(Fraction(sum(inside)) / len(inside), 2)
+    assert quadrants(df.where("false"), "x", "y").collect() == []
+
+
 def peers_data(spark):
     dim = spark.createDataFrame([("a", "PA", "N", "T", 3), ("b", "PA", "N", "T", 5), ("c", "PA", "N", "T", 5), ("d", "NY", "N", "T", 5)],
                                 "facility_id string, state string, hospital_ownership string, hospital_type string, hospital_overall_rating int")

@@ -72,6 +72,19 @@ def test_inputs_are_read_once(stored):
     assert scans(analysis.reporting_profiles(stored)) == 1
     views = {"vw_ownership_imaging_ed_stats": gold_view("vw_ownership_imaging_ed_stats", stored)}
     assert scans(gold_checks.ownership_shares(views)) == 3
+    assert scans(explore.outcomes_by_category(stored)) == 1
+
+
+def planned(df) -> int:
+    """Scan nodes as planned, subqueries included, before any is reused."""
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_planned_scans(stored):
+    assert planned(explore.survivors_by_ownership(stored)) == 3
+    g4 = gold_view("vw_complications_vs_process_care", stored)
+    # the rows, and the ranks of both measures (counts and their totals)
+    assert planned(g4) == 3 and planned(analysis.process_outcome_quadrants(g4)) <= 3 * planned(g4)
 
 
 def ordered_by(rows, *keys):
