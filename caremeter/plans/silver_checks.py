@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from caremeter.functions import values as V
 from caremeter.functions.rules import comparison_label
-from caremeter.functions.text import cut_decimals, looks_decimal, to_date_mdy, to_decimal, to_int
+from caremeter.functions.text import cut_decimals, is_missing, looks_decimal, to_date_mdy, to_decimal, to_int
 from caremeter.operators import checks as C, profiles as P
 from caremeter.operators.common import tagged, union_all
 from caremeter.operators.duplicates import check_duplicates
-from caremeter.operators.ordered import by_counts
+from caremeter.operators.difference import row_difference
+from caremeter.operators.ordered import by_counts, in_order
 from caremeter.sources.schemas import FACTS, LENGTH_LIMITS, RAW_COLUMNS, TABLES
 
 Tables = Mapping[str, DataFrame]
@@ -126,6 +127,28 @@ def lost_scores(b: Tables, s: Tables) -> DataFrame:
     return union_all([C.check_lost_values(b[t], s[t], t, FACT_KEYS, "score", TYPED_SCORES[t]) for t in FACTS])
 
 
+@in_order("table_name", "facility_id", "measure_id", "score_number", "score_text")
+def unlike_scores(b: Tables, s: Tables) -> DataFrame:
+    """Every score that the typed table holds otherwise than published: facility, measure, the value, and how often each layer has it.
+
+    Numbers are compared as numbers, other scores as trimmed text, missing ones as NULL; see ``row_difference``.
+    """
+    def published(t):
+        number = to_decimal("score")
+        text = F.when(number.isNull() & ~is_missing("score"), F.trim("score"))
+        return b[t].select(F.trim("measure_id").alias("measure_id"), F.trim("facility_id").alias("facility_id"),
+                           number.alias("score_number"), F.nullif(text, F.lit("")).alias("score_text"))
+
+    def typed(t):
+        number, *text = TYPED_SCORES[t]
+        return s[t].select("measure_id", "facility_id", F.col(number).cast("decimal(38,12)").alias("score_number"),
+                           (F.trim(text[0]) if text else F.lit(None).cast("string")).alias("score_text"))
+
+    found = {t: row_difference(published(t), typed(t), ("measure_id", "facility_id")) for t in FACTS}
+    return union_all([tagged(df, t) for t, df in found.items()]).withColumnsRenamed(
+        {"n_left": "n_published", "n_right": "n_typed"})
+
+
 def typed_columns(table: str) -> dict:
     """Raw column -> (has the form, typed value) for every column that the load types; NULL if the type cuts digits off."""
     whole = {c: (F.col(c).rlike(V.INT_PATTERN), to_int(c)) for c in WHOLE_NUMBERS[table]}

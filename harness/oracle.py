@@ -328,6 +328,16 @@ def _lost(table: str) -> str:
             + PRESENT[table].replace("score_numeric", "s.score_numeric").replace("score_text", "s.score_text").replace("(score ", "(s.score "))
 
 
+def _unlike(table: str) -> str:
+    number, text = ("score_numeric", "trim(score_text)") if table == "timely_care" else ("score", "NULL")
+    published = f"CASE WHEN {as_dec('score')} IS NULL AND NOT {missing('score')} THEN nullif(trim(score), '') END"
+    return (f"SELECT '{table}' AS table_name, measure_id, facility_id, CAST(n AS DOUBLE) AS score_number, t AS score_text, "
+            "count(*) FILTER (side = 1) AS n_published, count(*) FILTER (side = 2) AS n_typed FROM ("
+            f"SELECT trim(measure_id) AS measure_id, trim(facility_id) AS facility_id, {as_dec('score')} AS n, {published} AS t, 1 AS side FROM raw_{table} "
+            f"UNION ALL SELECT measure_id, facility_id, CAST({number} AS DECIMAL(38,12)), {text}, 2 FROM {table}) GROUP BY measure_id, facility_id, n, t "
+            "HAVING count(*) FILTER (side = 1) <> count(*) FILTER (side = 2)")
+
+
 def _spot(table: str, keys, ids, left: dict, right: dict) -> str:
     on = " AND ".join(f"trim(b.{k}) = s.{k}" for k in keys)
     cols = [f"s.{k}" for k in keys] + [f"b.{c} AS {a}" for c, a in left.items()]
@@ -529,6 +539,7 @@ SQL = {
         f"SELECT '{t}' AS table_name, {num(f'min({c})', 'min_score')}, {num(f'max({c})', 'max_score')} FROM {t}"
         for t, c in ((t, "score_numeric" if t == "timely_care" else "score") for t in FACTS)),
     "c16_lost_scores": " UNION ALL ".join(_lost(t) for t in FACTS),
+    "c16_unlike_scores": " UNION ALL ".join(_unlike(t) for t in FACTS),
     "c16_unread_values": " UNION ALL ".join(_unread(t, c, kind) for t, c, kind in TYPED),
     "c18_spot_hospital": _spot("hospital_general", ["facility_id"], SPOT_IDS,
                                {"facility_name": "bronze_name", "hospital_ownership": "bronze_ownership",

@@ -68,6 +68,7 @@ REPORTS: dict[str, Callable[[Lake], DataFrame]] = {
     "c14_score_split": lambda k: S.score_split(k.bronze, k.silver),
     "c15_score_ranges": lambda k: S.score_ranges(k.bronze, k.silver),
     "c16_lost_scores": lambda k: S.lost_scores(k.bronze, k.silver),
+    "c16_unlike_scores": lambda k: S.unlike_scores(k.bronze, k.silver),
     "c16_unread_values": lambda k: S.unread_values(k.bronze, k.silver),
     "c18_spot_hospital": lambda k: S.spot_hospital(k.bronze, k.silver, SPOT_IDS),
     "c18_spot_timely_care": lambda k: S.spot_timely_care(k.bronze, k.silver, SPOT_IDS),
