@@ -5,6 +5,8 @@
 several attempts at one batch the last committed. A write that fails half-way is never named, so the previous rows stay
 current and the same batch can be tried again at once.
 
+``<root>/<layer>/_runs/`` holds one log for each run of a load, appended and never changed.
+
 Writers need no lock. A number is taken by creating its file, which only one writer can do; whoever comes second looks again
 at what is committed and tries the next number. A file without a name (its writer was lost, or is about to write it)
 commits nothing. As batches and not numbers say what is newest, an older batch never becomes current, whenever it commits.
@@ -14,8 +16,9 @@ from __future__ import annotations
 
 import time
 import uuid
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 class StaleBatch(RuntimeError):
@@ -124,6 +127,19 @@ class LayerStore:
                 fs, commit = self._fs(f"{self._table_dir(layer, table)}/commits/{number:012d}")
                 fs.delete(commit, False)
 
+    def log_run(self, layer: str, log: DataFrame, batch_id: str) -> None:
+        """Append the log of one run under a name of its own, so runs side by side never touch each other's."""
+        now = datetime.now(timezone.utc).replace(tzinfo=None)
+        log.withColumn("logged_at", F.lit(now)).write.parquet(f"{self.root}/{layer}/_runs/{batch_id}-{uuid.uuid4().hex[:12]}")
+
+    def runs(self, layer: str) -> DataFrame:
+        """The log of every run of a layer so far, with the time it was logged (UTC)."""
+        path = f"{self.root}/{layer}/_runs"
+        if not (names := self._names(path)):
+            raise FileNotFoundError(f"no run of {layer} is logged under {self.root}")
+        ended = [f"{path}/{n}" for n in names if "_SUCCESS" in self._names(f"{path}/{n}")]
+        return self.spark.read.parquet(*ended)
+
     def register(self, layer: str, tables) -> None:
         """Temp views ``<layer>_<table>`` over the current data, for SQL users."""
         for t in tables:
