@@ -22,6 +22,44 @@ def profile_missing(df: DataFrame, cols) -> DataFrame:
     return one.unpivot([], list(cols), "column_name", "p").select("column_name", "p.*")
 
 
+def column_report(tables: dict[str, DataFrame], cols: dict[str, list[str]], listed: dict[str, list[str]],
+                  known=("Not Available",)) -> DataFrame:
+    """(table_name, column_name, metric, item, n, least, greatest): profile of all text columns, each table read once.
+
+    Cells are counted per (table, column, value), in their tasks first; all metrics are sums over these counts:
+    ``rows``, ``blank_or_null``, ``numeric``, ``known`` (one of the ``known`` tokens), ``odd`` (none of these three),
+    ``distinct`` and ``distinct_odd`` values, ``length`` per length (``item``, NULL for NULL cells), and ``value`` per value of the
+    ``listed`` columns. ``least`` and ``greatest`` non-blank value, in text order, stand at ``rows``. A table without
+    rows gives none. A column listed but not among ``cols`` is an error.
+    """
+    strange = {(t, c) for t, names in listed.items() for c in names} - {(t, c) for t, names in cols.items() for c in names}
+    if strange:
+        raise ValueError(f"listed, but not profiled: {sorted(strange)}")
+    cells = union_all([
+        tables[t].select(*names).unpivot([], list(names), "column_name", "value").select(F.lit(t).alias("table_name"), "*")
+        for t, names in cols.items()])
+    counts = cells.groupBy("table_name", "column_name", "value").agg(F.count("*").alias("c"))
+    value = F.col("value")
+    blank = value.isNull() | (value == "")
+    token = ~blank & value.isin(*known)
+    number = ~blank & ~token & looks_decimal(value)
+    odd = ~blank & ~token & ~number
+    pairs = [(t, c) for t, names in listed.items() for c in names]
+    is_listed = F.struct("table_name", "column_name").isin(*[F.struct(F.lit(t), F.lit(c)) for t, c in pairs]) if pairs else F.lit(False)
+
+    def record(metric, n, item=None, end=None):
+        item, end = (F.lit(None).cast("string") if x is None else x for x in (item, end))
+        return F.struct(F.lit(metric).alias("metric"), item.alias("item"), n.cast("long").alias("n"), end.alias("end"))
+
+    sums = [record("rows", F.col("c"), end=F.when(~blank, value))]
+    sums += [record(m, F.when(test, F.col("c")).otherwise(0)) for m, test in (
+        ("blank_or_null", blank), ("numeric", number), ("known", token), ("odd", odd))]
+    sums += [record("distinct", value.isNotNull()), record("distinct_odd", odd), record("length", F.col("c"), F.length(value).cast("string"))]
+    records = F.when(is_listed, F.array(*sums, record("value", F.col("c"), value))).otherwise(F.array(*sums))
+    return counts.select("table_name", "column_name", F.inline(records)).groupBy("table_name", "column_name", "metric", "item").agg(
+        F.sum("n").alias("n"), F.min("end").alias("least"), F.max("end").alias("greatest"))
+
+
 def profile_values(df: DataFrame, cols, where: Column | None = None, n: str = "n") -> DataFrame:
     """Value counts over one or more columns."""
     df = df if where is None else df.where(where)

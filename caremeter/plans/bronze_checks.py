@@ -10,8 +10,8 @@ from caremeter.functions import values as V
 from caremeter.operators import checks as C, profiles as P
 from caremeter.operators.common import tagged, union_all
 from caremeter.operators.duplicates import duplicate_keys, list_duplicates
-from caremeter.operators.ordered import by_counts
-from caremeter.sources.schemas import FACTS
+from caremeter.operators.ordered import by_counts, in_order
+from caremeter.sources.schemas import FACTS, RAW_COLUMNS
 
 Tables = Mapping[str, DataFrame]
 
@@ -28,6 +28,21 @@ ROW_KEYS = {
     "outpatient_imaging": ("facility_id", "measure_id"),
     "infections": ("facility_id", "measure_id"),
 }
+# columns whose values are listed one by one, per table
+LISTED_COLUMNS = {
+    "hospital_general": ["hospital_type", "hospital_ownership", "emergency_services", "birthing_friendly_designation",
+                         "hospital_overall_rating", *[f"{g}_group_footnote" for g in V.MEASURE_GROUPS]],
+    "timely_care": ["condition", "measure_id", "footnote", "start_date", "end_date"],
+    "complications": ["measure_id", "compared_to_national", "footnote", "start_date", "end_date"],
+    "outpatient_imaging": ["measure_id", "footnote", "start_date", "end_date"],
+    "infections": ["facility_id", "measure_id", "compared_to_national", "footnote", "start_date", "end_date"],
+}
+
+
+@in_order("table_name", "column_name", "metric", "-n", "item")
+def column_report(b: Tables) -> DataFrame:
+    """Missingness, odd values, distincts, value counts, lengths and text ranges of every raw column; one scan a table."""
+    return P.column_report(b, RAW_COLUMNS, LISTED_COLUMNS)
 
 
 @by_counts

@@ -23,6 +23,7 @@ REPORTS: dict[str, Callable[[Lake], DataFrame]] = {
     "c24_bronze_row_counts": lambda k: B.table_counts(k.bronze),
     "c03_repeated_facilities": lambda k: B.repeated_facilities(k.bronze),
     **{f"c04_duplicate_rows_{t}": lambda k, t=t: B.duplicate_rows(k.bronze, t) for t in FACTS},
+    "c25_c33_column_report": lambda k: B.column_report(k.bronze),
     "c25_missing_scores": lambda k: B.missing_scores(k.bronze),
     **{f"c26_odd_scores_{t}": lambda k, t=t: B.odd_scores(k.bronze, t) for t in ("timely_care", "outpatient_imaging")},
     **{f"c27_distinct_{c}": lambda k, t=t, c=c: B.distinct_values(k.bronze, t, c) for t, c in (

@@ -1,4 +1,4 @@
-"""DuckDB SQL of the verdict suite: one plain count for each expectation."""
+"""DuckDB SQL of the verdict suite, one plain count for each expectation, and of the column report."""
 
 from __future__ import annotations
 
@@ -94,4 +94,28 @@ def _parts() -> list[str]:
     return out
 
 
-SUITE_SQL = {"c00_c38_expectations": " UNION ALL ".join(_parts())}
+LISTED = {
+    "hospital_general": ["hospital_type", "hospital_ownership", "emergency_services", "birthing_friendly_designation", "hospital_overall_rating",
+                         *[f"{g}_group_footnote" for g in GROUPS]],
+    "timely_care": ["condition", "measure_id", "footnote", "start_date", "end_date"],
+    "complications": ["measure_id", "compared_to_national", "footnote", "start_date", "end_date"],
+    "outpatient_imaging": ["measure_id", "footnote", "start_date", "end_date"],
+    "infections": ["facility_id", "measure_id", "compared_to_national", "footnote", "start_date", "end_date"],
+}
+
+
+def _column_report() -> str:
+    cells = " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, {c} AS v, {str(c in LISTED[t]).lower()} AS listed FROM raw_{t}"
+                               for t in RAW for c, _ in RAW[t][1])
+    kind = f"CASE WHEN v IS NULL OR v = '' THEN 'blank_or_null' WHEN v = 'Not Available' THEN 'known' WHEN {is_num('v')} THEN 'numeric' ELSE 'odd' END"
+    counts = {"rows": "count(*)", "distinct": "count(DISTINCT v)", "distinct_odd": "count(DISTINCT v) FILTER (k = 'odd')",
+              **{m: f"count(*) FILTER (k = '{m}')" for m in ("blank_or_null", "numeric", "known", "odd")}}
+    parts = [f"SELECT t, c, '{m}' AS metric, NULL AS item, {n} AS n, " + ("min(nullif(v, '')), max(nullif(v, ''))" if m == "rows" else "NULL, NULL")
+             + " FROM cells GROUP BY t, c" for m, n in counts.items()]
+    parts += ["SELECT t, c, 'length', CAST(length(v) AS VARCHAR), count(*), NULL, NULL FROM cells GROUP BY t, c, length(v)",
+              "SELECT t, c, 'value', v, count(*), NULL, NULL FROM cells WHERE listed GROUP BY t, c, v"]
+    return ("SELECT r.t AS table_name, r.c AS column_name, r.metric, r.item, r.n, r.least, r.greatest FROM (WITH cells AS MATERIALIZED "
+            f"(SELECT *, {kind} AS k FROM ({cells})) {' UNION ALL '.join(parts)}) r(t, c, metric, item, n, least, greatest)")
+
+
+SUITE_SQL = {"c25_c33_column_report": _column_report(), "c00_c38_expectations": " UNION ALL ".join(_parts())}
