@@ -20,7 +20,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from caremeter.llm.common import fresh, without
+from caremeter.llm.common import without
 
 PERIOD, LONGEST = 1 << 10, 1 << 16      # slots: bounds what is simulated and broadcast
 ADDED = ("mix_slot", "mix_epoch", "mix_block", "mix_position")
@@ -78,22 +78,22 @@ def source_counts(df: DataFrame, source_col: str) -> dict[str | None, int]:
     return {r[0]: r[1] for r in df.groupBy(F.col(source_col).cast("string")).count().collect()}
 
 
-def _numbered(df: DataFrame, source: str, id_col: str, total: int, slice_docs: int) -> DataFrame:
-    """Adds ``__n``, the exact place (from 0) of a row in the hashed order of its source.
+def _numbered(rows: DataFrame, total: int, slice_docs: int) -> DataFrame:
+    """(row, source, nr): ``nr`` is the exact place (from 0) of a row in the hashed order of its source.
 
     The hash also cuts a source into slices, so a hot source is numbered by many tasks; slices get their start from
     a running total over slice sizes. Rows of one id are told apart by a hash of all columns.
     """
     slices = max(1, -(-total // slice_docs))
-    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    order = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
     part = F.conv(F.substring(order, 1, 8), 16, 10).cast("long") % slices
-    cut = df.select("*", F.struct(F.col(source).alias("s"), part.alias("p")).alias("__slice"), order.alias("__order"))
-    sizes = cut.groupBy("__slice").agg(F.count("*").alias("__size"))
-    earlier = Window.partitionBy("__slice.s").orderBy("__slice.p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__slice", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy("__slice").orderBy("__order", F.xxhash64(*[f"`{c}`" for c in df.columns]))
-    rows = cut.withColumn("__n", F.row_number().over(inside) - 1).join(starts, "__slice")
-    return rows.withColumn("__n", F.col("__n") + F.col("__start")).drop("__slice", "__start", "__order")
+    cut = rows.select("row", F.struct("source", part.alias("part")).alias("slice"), order.alias("place"))
+    sizes = cut.groupBy("slice").agg(F.count("*").alias("size"))
+    earlier = Window.partitionBy("slice.source").orderBy("slice.part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("slice", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("slice").orderBy("place", F.xxhash64("row"))
+    return cut.withColumn("nr", F.row_number().over(inside) - 1).join(starts, "slice").select(
+        "row", F.col("slice.source").alias("source"), (F.col("nr") + F.col("start")).alias("nr"))
 
 
 def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source",
@@ -104,10 +104,10 @@ def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, id_col
     (the last of a source may be shorter). ``weights`` maps each source to its target weight; without it weights follow
     document counts to the ``power``. A source comes at most ``max_epochs`` times (None: no limit); beyond that its
     slots stay empty. NULL is a source of its own (key None). Rows that share an id are separate documents. A source
-    without a weight is an error. Input columns named like an added one are replaced.
+    without a weight is an error. Input columns named like an added one are replaced; all others keep their values.
     """
     df = without(df, *ADDED)
-    spark, source = df.sparkSession, fresh(df, "source_key")
+    spark = df.sparkSession
     counts = source_counts(df, source_col)
     weights = power_weights(counts, power) if weights is None else {s: weights[s] for s in counts}
     slots = shares(weights)
@@ -123,22 +123,22 @@ def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, id_col
     def epochs(s):        # rounds that begin before the horizon
         most = -(-(horizon // period + 1) * slots[s] // blocks[s])
         return min(most, max_epochs or most)
-    plan = spark.createDataFrame([(s, blocks[s], slots[s], epochs(s)) for s in slots], "s string, n long, w long, e long")
-    lookup = spark.createDataFrame(table, "s string, j long, t long")
-
-    keyed = df.withColumn(source, F.col(source_col).cast("string"))
-    rows = _numbered(keyed, source, id_col, sum(counts.values()), slice_docs)
-    # both sides are as large as the sources and the period, not as the documents
-    planned = rows.join(F.broadcast(plan), F.col(source).eqNullSafe(plan["s"])).drop("s")
-    again = planned.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("e") - 1)).alias("__epoch"))
-    block = F.floor(F.col("__n") / block_docs).cast("long")
-    nth = F.col("__epoch") * F.col("n") + block
-    placed = again.withColumn("__nth", nth).join(
-        F.broadcast(lookup), F.col(source).eqNullSafe(lookup["s"]) & (F.col("__nth") % F.col("w") == lookup["j"]))
+    plan = spark.createDataFrame([(s, blocks[s], slots[s], epochs(s)) for s in slots], "s string, n long, w long, epochs long")
+    lookup = spark.createDataFrame(table, "t_source string, j long, t long")
+
+    # a row travels as one value, so its columns cannot clash with those of the schedule
+    rows = df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("row"), F.col(id_col).alias("id"),
+                     F.col(source_col).cast("string").alias("source"))
+    numbered = _numbered(rows, sum(counts.values()), slice_docs)
+    # both small sides are as large as the sources and the period, not as the documents
+    planned = numbered.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s")))
+    again = planned.select("row", "source", "nr", "n", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)).alias("epoch"))
+    block = F.floor(F.col("nr") / block_docs).cast("long")
+    placed = again.withColumn("nth", F.col("epoch") * F.col("n") + block).join(
+        F.broadcast(lookup), F.col("source").eqNullSafe(F.col("t_source")) & (F.col("nth") % F.col("w") == F.col("j")))
     out = placed.select(
-        *[f"`{c}`" for c in df.columns], (F.expr("__nth div w") * period + F.col("t")).alias("mix_slot"),
-        (F.col("__n") % block_docs).cast("long").alias("mix_position"), block.alias("mix_block"),
-        F.col("__epoch").alias("mix_epoch"))
+        *[F.col("row").getField(c).alias(c) for c in df.columns], (F.expr("nth div w") * period + F.col("t")).alias("mix_slot"),
+        (F.col("nr") % block_docs).cast("long").alias("mix_position"), block.alias("mix_block"), F.col("epoch").alias("mix_epoch"))
     return out.where(F.col("mix_slot") < horizon)
 
 

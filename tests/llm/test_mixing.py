@@ -80,6 +80,21 @@ def test_order_edges_and_clashes(docs):
     out = mix(df, block_docs=4)
     assert out.count() >= len(rows) and {"s", "source_key"} <= set(out.columns) and dict(out.dtypes)["mix_slot"] == "bigint"
     assert out.where("mix_epoch = 0").count() == len(rows)
+    assert {r.s for r in out.collect()} == {"mine"} and {r.source_key for r in out.collect()} == {1}
     laid = [r.mix_slot for r in in_mix_order(out).collect()]
     assert laid == sorted(laid)
     assert mix(docs([])).count() == 0
+
+
+def test_columns_named_like_helpers_keep_their_values(docs):
+    names = ["s", "n", "w", "e", "t", "j", "nr", "row", "source_key", "slice", "place", "part", "epoch", "nth", "start", "__n", "__nth", "__epoch", "a.b"]
+    df = docs(rows_of([("a", 30), ("b", 9)]))
+    for name in names:
+        df = df.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    out = mix(df, block_docs=4)
+    assert out.columns == [*df.columns, "mix_slot", "mix_position", "mix_block", "mix_epoch"]
+    for r in out.collect():
+        assert all(r[name] == f"{name}{r.doc_id}" for name in names)
+    plain = mix(docs(rows_of([("a", 30), ("b", 9)])), block_docs=4)
+    keys = ("doc_id", "mix_slot", "mix_position", "mix_block", "mix_epoch")
+    assert sorted(map(tuple, out.select(*keys).collect())) == sorted(map(tuple, plain.select(*keys).collect()))
