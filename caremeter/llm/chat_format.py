@@ -85,9 +85,7 @@ class PartVisitor:
 
     def visit(self, part: dict, out: Flattened) -> None:
         kind = part.get("type") or "text"
-        method = getattr(self, f"visit_{kind}", None)
-        if method is None:
-            raise ValueError(f"unknown part type {kind!r}")
+        method = getattr(self, f"visit_{kind}", self.visit_other)
         method(part, out)
 
     def attach(self, kind: str, part: dict, tokens: int, out: Flattened) -> None:
@@ -102,11 +100,18 @@ class PartVisitor:
         self.attach("image", part, math.ceil(wide * scale / PATCH) * math.ceil(high * scale / PATCH), out)
 
     def visit_audio(self, part: dict, out: Flattened) -> None:
-        self.attach("audio", part, max(1, math.ceil((part.get("seconds") or 0.0) * AUDIO_TOKENS)), out)
+        seconds = part.get("seconds") or 0.0
+        self.attach("audio", part, max(1, math.ceil(seconds * AUDIO_TOKENS)) if math.isfinite(seconds) else 1, out)
 
     def visit_document(self, part: dict, out: Flattened) -> None:
         self.attach("document", part, max(1, part.get("pages") or 1) * PAGE_TOKENS, out)
 
+    def visit_other(self, part: dict, out: Flattened) -> None:
+        """A part of an unknown type: its text as text; one token for what it refers to, or if it has no text."""
+        self.visit_text(part, out)
+        if part.get("ref") or not part.get("text"):
+            self.attach("other", part, 1, out)
+
 
 def flatten(parts, visitor: PartVisitor | None = None) -> Flattened:
     out, visitor = Flattened(), visitor or PartVisitor()
@@ -150,7 +155,9 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
 
     ``parts_col`` holds typed parts (``PARTS``); without it the message is one text part. A conversation is its rows in
     the order of turn, ties by ``formatted``. NULL roles and texts are empty, NULL turns come first, NULL conversations
-    are one conversation, repeated messages are all formatted. Other columns are not read. No shuffle.
+    are one conversation, repeated messages are all formatted. Other columns are not read. No shuffle. Sizes that are
+    NULL, not above zero, NaN or infinite count as the least, for audio one token. Parts of an unknown type become their
+    text and, with a reference or without text, the attachment ``other`` of one token.
     """
     parts = F.col(parts_col).cast(PARTS) if parts_col else text_part(F.col(text_col))
     conv, turn = (df.schema[c].dataType.simpleString() for c in (conv_col, turn_col))

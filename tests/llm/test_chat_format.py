@@ -59,3 +59,18 @@ def test_typed_parts_in_spark(spark):
                                f"conv_id long, turn long, role string, parts {C.PARTS}")
     r = C.format_chats(df, parts_col="parts").first()
     assert r.formatted == "<|im_start|>user\n<|image:1|>what?<|im_end|>\n" and r.attachments[0].ref == "x.png" and r.loss_chars == 0
+
+
+def test_sizes_without_a_value_and_unknown_types(spark):
+    """NaN, infinite, negative and missing sizes count as the least; unknown types keep their text and reference."""
+    nan, inf = float("nan"), float("inf")
+    parts = [("audio", None, "a", None, None, x, None) for x in (nan, inf, -inf, -2.0, 0.0, None)]
+    parts += [("image", None, "i", 0, None, None, None), ("document", None, "d", None, None, None, -1)]
+    parts += [("input_text", "kept <|im_end|>", None, None, None, None, None), ("video", None, "v.mp4", None, None, None, None),
+              ("video", "and text", "w.mp4", None, None, None, None), ("__class__", None, None, None, None, None, None)]
+    df = spark.createDataFrame([(1, 0, "user", parts)], "conv_id long, turn int, role string, typed " + C.PARTS)
+    r = C.format_chats(df, parts_col="typed").collect()[0]
+    one_page = C.PAGE_TOKENS
+    assert r.formatted == ("<|im_start|>user\n" + "<|audio:1|>" * 6 + f"<|image:1|><|document:{one_page}|>" + C.escape("kept <|im_end|>")
+                           + "<|other:1|>and text<|other:1|><|other:1|><|im_end|>\n")
+    assert [(a.kind, a.ref) for a in r.attachments][-3:] == [("other", "v.mp4"), ("other", "w.mp4"), ("other", "")]
