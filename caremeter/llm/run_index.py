@@ -13,6 +13,7 @@ Blocks learn what is repeated from bitmaps of fixed size. A chance hit there sen
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,6 @@ PLACE = "i long, x long, at long, k1 long, k2 long, fp long, bytes binary, last
 PLACE_NAMES = [c.split()[0] for c in PLACE.split(", ")]
 ADDED = ("n_bytes", "n_removed", "spans", "kept_bytes")
 SPANS = T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))
-TABLES = [mixed(np.arange(256, dtype=np.uint64), np.uint64(salt)) for salt in (1, 2)]
 
 
 def seeds(text: bytes, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -70,9 +70,12 @@ def stretches(part: np.ndarray, prints: np.ndarray, wanted: np.ndarray, least: i
     return new[keep], end[keep], prints[anchor[new[keep]]]
 
 
-def keys(part: np.ndarray, start: np.ndarray, end: np.ndarray, n: int = 2) -> list[np.ndarray]:
-    """The first ``n`` of two independent 64-bit fingerprints of byte ranges."""
-    return [mixed(polynomials(table[part], start, end), (end - start).astype(np.uint64)) for table in TABLES[:n]]
+def keys(part: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of a 128-bit digest of byte ranges. They decide, so no polynomial: modulo 2 ** 64 those of Thue-Morse texts are equal."""
+    data = part.tobytes()
+    digests = b"".join([blake2b(data[s:e], digest_size=16).digest() for s, e in zip(start.tolist(), end.tolist())])
+    both = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 class RunIndex:
@@ -155,7 +158,7 @@ class Folded:
         """Per part: its place and bytes, and its stretches (first byte, end, anchor)."""
         for base, part, prints in seeds(text, self.least):
             first, last = folds(part, prints, self.least, self.fold)
-            k1, = keys(part, first, last + self.least - 1, 1)
+            k1, _ = keys(part, first, last + self.least - 1)
             mine = ~holds(self.repeated, k1) | holds(self.owned, owner_print(k1, i))
             if mine.any():
                 yield base, part, *stretches(part, prints, np.repeat(mine, last - first), self.least)
@@ -194,7 +197,7 @@ def _fold_prints(least: int, fold: int):
     def find(text: bytes, i: int) -> Iterator[np.ndarray]:
         for _, part, prints in seeds(text, least):
             first, last = folds(part, prints, least, fold)
-            yield keys(part, first, last + least - 1, 1)[0]
+            yield keys(part, first, last + least - 1)[0]
     return lambda: find
 
 
@@ -216,10 +219,10 @@ def _fold_places(least: int, fold: int, repeated):
                 for base, part, prints in seeds(text, least):
                     first, last = folds(part, prints, least, fold)
                     end = last + least - 1
-                    hit = holds(allowed, keys(part, first, end, 1)[0])
+                    k1, k2 = keys(part, first, end)
+                    hit = holds(allowed, k1)
                     if hit.any():
-                        first, end = first[hit], end[hit]
-                        k1, k2 = keys(part, first, end)
+                        first, end, k1, k2 = first[hit], end[hit], k1[hit], k2[hit]
                         held.append((np.full(len(first), i), np.full(len(first), x), first + base, end + base,
                                      k1.view(np.int64), k2.view(np.int64), owner_print(k1, i).view(np.int64)))
                         size += len(first)

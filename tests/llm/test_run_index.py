@@ -93,6 +93,20 @@ def test_folds_change_nothing(docs, fold):
     assert got(R.drop_repeats(docs(ROWS), fold=fold)) == brute(ROWS)
 
 
+@pytest.mark.parametrize("least", [50, 1200])
+def test_thue_morse_texts_stay_apart(docs, least):
+    """A sequence and its complement have the same polynomial modulo 2 ** 64 for any base."""
+    text = "a"
+    while len(text) < 4096:
+        text += text.translate(str.maketrans("ab", "ba"))
+    other = text.translate(str.maketrans("ab", "ba"))
+    rows = [(1, text[:2048]), (2, other[:2048]), (3, f"{text[:1024]}{words(3)}"), (4, f"x{other}"), (5, other[:1024]), (6, text[700:2500])]
+    for k in range(10, 22, 2):
+        start = words(3)[:30]
+        rows += [(k, start + text[:1024]), (k + 1, start + other[:1024])]
+    assert got(R.drop_repeats(docs(rows), least=least)) == brute(rows, least)
+
+
 def test_index_streams_smallest_owners():
     rng = random.Random(3)
     texts = ["".join(rng.choice("ab\0") for _ in range(rng.randrange(8, 60))).encode() for _ in range(50)]
