@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caremeter.plans.gold import GOLD_VIEWS, gold_view
 from caremeter.plans.silver import build_silver
+from caremeter.session import compile_wide
 from caremeter.sources.schemas import TABLES
 from harness.derive import raw_table
 
@@ -34,6 +35,7 @@ class Layer(Mapping):
 
 class Lake:
     def __init__(self, spark: SparkSession, sf_dir: str):
+        compile_wide(spark)
         self.spark, self.dir = spark, sf_dir
         self.bronze = Layer(TABLES, lambda t: raw_table(spark, sf_dir, t))
         self.silver = Layer(TABLES, lambda t: build_silver(t, self.bronze[t]))

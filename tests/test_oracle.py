@@ -40,6 +40,18 @@ def test_matches_sql(lake, con, name):
     assert not [node for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python") if node in plan]
 
 
+def test_wide_projections_are_compiled(spark):
+    """Reading the tables sets the limit beyond which expressions are split over methods that the JVM compiles."""
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    try:
+        spark.conf.set(limit, "65535")
+        Lake(spark, SF)
+        assert spark.conf.get(limit) == "8000"
+    finally:
+        spark.conf.set(limit, before)
+
+
 def test_entry(spark):
     df = entry(spark)
     assert df.columns[0] == "facility_id" and df.count() > 0
