@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caremeter.operators.common import null_safe_join
 from caremeter.operators.running import earlier_totals
@@ -27,30 +27,45 @@ def list_duplicates(df: DataFrame, keys, order: str, rank: str = "ranking", slic
                     chunk: int = CHUNK) -> DataFrame:
     """All rows but the first of each key, numbered in ``order`` (NULL last) from 2 up.
 
-    Same rows as ``ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order, <row digest>) > 1``. Only
-    keys that repeat go on (normally none). Identical rows travel as one row with a count. A key is cut
-    by ``order`` value and by a prefix of the row digest that is the longer the more rows the key has;
-    slices are numbered by running totals, themselves cut into ranges of ``order``, so no task sees all
-    rows or all order values of a key. Copies are unfolded in chunks that are spread over the cluster.
+    Same rows as ``ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order, <row digest>) > 1``. Keys of up to
+    ``slice_rows`` rows are numbered by that window, with one shuffle of the rows; larger ones, found by a
+    broadcast of at most rows / ``slice_rows`` keys, are cut so that no task sees all rows of a key.
     """
-    keys, columns = list(keys), df.columns
-    digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("n") / slice_rows) / math.log(16))).cast("int")
-    repeated = duplicate_keys(df, keys).select(*keys, digits.alias("__digits"))
-    rows = null_safe_join(df, repeated, keys)
+    keys = list(keys)
+    digits = F.ceil(F.log(F.col("n") / slice_rows) / math.log(16)).cast("int")
+    large = F.broadcast(duplicate_keys(df, keys).where(F.col("n") > slice_rows).select(*keys, digits.alias("__digits")))
 
-    digest = F.md5(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in columns]))
+    # the digest is made behind the shuffle, so that it does not travel
+    calm = null_safe_join(df, large, keys, "left_anti").repartition(*keys)
+    place = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last(), "__digest")
+    numbered = calm.withColumn("__digest", _row_digest(df.columns)).withColumn(rank, F.row_number().over(place).cast("bigint"))
+    few = numbered.where(F.col(rank) > 1).select(*df.columns, rank)
+    return few.unionByName(_list_sliced(null_safe_join(df, large, keys), df.columns, keys, order, rank, slice_rows, chunk))
+
+
+def _row_digest(columns) -> Column:
+    return F.md5(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in columns]))
+
+
+def _list_sliced(rows: DataFrame, columns, keys, order: str, rank: str, slice_rows: int, chunk: int) -> DataFrame:
+    """The rows of large keys, as ``list_duplicates`` gives them; ``__digits`` says how finely their key is cut.
+
+    Identical rows travel as one row with a count. A key is cut by ``order`` value and by a prefix of the row digest that
+    is the longer the more rows the key has; slices are numbered by running totals, themselves cut into ranges of
+    ``order``, so no task sees all rows or all order values of a key. Copies are unfolded in chunks that are spread over
+    the cluster.
+    """
     key = F.struct(*keys, "__digits").alias("k")
     folded = (
         rows.groupBy(*columns, "__digits").agg(F.count("*").alias("__copies"))
-        .withColumn("__digest", digest)
+        .withColumn("__digest", _row_digest(columns))
         # one struct key for window and join: NULL keys match, and both share one shuffle
         .withColumn("__slice", F.struct(
             key, F.col(order).alias("o"), F.expr("substring(__digest, 1, __digits)").alias("s"))))
 
     sizes = folded.groupBy("__slice").agg(F.sum("__copies").alias("__size"))
     per_order = sizes.groupBy("__slice.k", "__slice.o").agg(F.sum("__size").alias("__size"))
-    # only keys that the digest cuts have more rows than a slice
-    order_offsets = earlier_totals(per_order, ["k"], "o", "__size", "__before_order", slice_rows, F.col("k.__digits") > 0).select(
+    order_offsets = earlier_totals(per_order, ["k"], "o", "__size", "__before_order", slice_rows).select(
         F.struct("k", "o").alias("__level"), "__before_order")
     lower = Window.partitionBy("__level").orderBy("__slice.s").rowsBetween(Window.unboundedPreceding, -1)
     slice_offsets = sizes.withColumn("__level", F.struct("__slice.k", "__slice.o")).select(

@@ -93,6 +93,14 @@ def test_list_duplicates(spark):
     assert check_duplicates(df, "t", ["k", "m"]).first().duplicate_keys == len(repeated)
 
 
+def test_list_duplicates_shuffles_rows_once(spark):
+    df = spark.range(2000).selectExpr("CAST(id % 500 AS STRING) AS k", "CAST(id AS STRING) AS d", "repeat(CAST(id AS STRING), 9) AS x")
+    found = list_duplicates(df, ["k"], "d")
+    assert len(found.collect()) == 1500
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning(") == 1          # no key is large, so neither the counts nor their join stay
+
+
 def check_listed(rows, got):
     sizes = Counter((k, m) for k, m, *_ in rows)
     by_key = {}
