@@ -7,13 +7,14 @@ sketch if they share k-mers in the same order, which follows edit similarity and
 longer run whole there; each is a key.
 
 Texts that share a key are candidates, and linked if the word-level edit distance is at most a fifth of the longer
-text. First each is aligned with the key's centre, the text that shares keys with most others; then all pairs of a key
-that are not connected yet and that lengths and word counts do not rule out. Classes are the connected components.
+text. First each is aligned with the key's centre, the text that shares keys with most others. Where a key's texts are
+not connected then, those of a small key are compared with each other, and those of all larger keys meet by their rarest
+words: similar texts share one of them, so the passage that all texts of a key hold does not pair them. Lengths and
+words rule pairs out exactly. Classes are the connected components.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,9 +28,14 @@ from caremeter.llm.common import fresh, saved
 K, NEAR, ELL, SKETCHES = 5, 3, 2, 64
 SHORT = 50               # words
 SIMILARITY = 0.8
-BAG = 128                # counts that the words of a text are summed to, to rule out pairs
-CHUNK = 500              # texts of a key that one task pairs with the others
+BUCKETS = 20             # words are counted in 2 ** 20 buckets; the counts order the words and never decide
+BITS = 4096              # parities that the words of a text are summed to at most, to rule out pairs
+SMALL = 32               # texts of a key that are all compared with each other
+CHUNK = 2000             # texts with a word that one task pairs with as many others
+EARLIER = 256            # words by which a pair that was met before is known
+PAIRS = 20_000           # pairs held at a time
 WORDS = 400_000          # entries of a worker's memo of word hashes
+FEW = 32                 # edits up to which diagonals are faster than columns of bits
 CELLS = 2_000_000        # hashes held at a time
 MULTIPLIER, LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(2**64 - 1)
 
@@ -118,11 +124,35 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def edit_distance(a: list, b: list, limit: int) -> int | None:
     """Edits (replace, insert, delete) from ``a`` to ``b`` if at most ``limit``, else None.
 
-    Furthest-reaching points on the diagonals of the band that ``limit`` leaves; exact within it.
+    Furthest-reaching points on the diagonals of the band that ``limit`` leaves; exact within it. From ``FEW`` edits on, whose
+    points grow with the square of the edits, the whole matrix as columns of bits.
     """
     while a and b and a[-1] == b[-1]:
         a, b = a[:-1], b[:-1]
-    return _reach(a, b, limit)
+    if limit <= FEW or not a or not b or abs(len(a) - len(b)) > limit:
+        return _reach(a, b, limit)
+    few = _reach(a, b, FEW)
+    return _columns(a, b, limit) if few is None else few
+
+
+def _columns(a, b, limit):
+    """Myers' bit vectors: where the distance rises or falls down a column of the matrix, one integer each."""
+    where: dict = {}
+    for i, w in enumerate(a):
+        where[w] = where.get(w, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, edits, left = every, 0, len(a), len(b)
+    for w in b:
+        same = where.get(w, 0)
+        across = ((same & up) + up ^ up) | same
+        more, less = down | every & ~(across | up), up & across
+        edits += bool(more & last) - bool(less & last)
+        left -= 1
+        if edits - left > limit:
+            return None
+        more, less = more << 1 | 1, less << 1
+        up, down = every & (less | ~(same | down | more)), every & more & (same | down)
+    return edits
 
 
 def _reach(a, b, limit):
@@ -195,65 +225,227 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
-def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def allowed(words, similarity: float):
+    """Word edits that texts may be apart if the longer one has ``words`` words."""
+    return ((1 - similarity) * np.asarray(words) + 1e-9).astype(np.int64)
+
+
+def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """The batches with the hashed words of their texts, those that repeat labelled by occurrence."""
     memo = _WordHashes()
     for batch in batches:
-        sizes, bags = [], []
+        found = []
         for text in batch["t"]:
-            hashes = np.fromiter(map(memo.__getitem__, words_of(text)), np.uint64)
-            sizes.append(len(hashes))
-            bags.append(np.bincount((hashes % np.uint64(BAG)).astype(np.int64), minlength=BAG).astype("<u4").tobytes())
+            words = words_of(text)
+            found.append(labelled_kmers(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), 1))
             if len(memo) > WORDS:
                 memo.clear()
-        yield pd.DataFrame({"d": batch["d"], "words": sizes, "bag": bags})
+        yield batch, found
+
+
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - BUCKETS)).astype(np.int64)
+
+
+def _bucket_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts = np.zeros(1 << BUCKETS, np.int64)
+    for _, found in _tokens(batches):
+        if found:
+            counts += np.bincount(_bucket(np.concatenate(found)), minlength=1 << BUCKETS)
+    at = np.flatnonzero(counts)
+    yield pd.DataFrame({"bucket": at, "c": counts[at]})
+
 
+def levels(texts: DataFrame):
+    """Broadcast of how frequent the words of a bucket are, on a logarithmic scale; one byte a bucket at every size of input."""
+    counts = texts.select("t").mapInPandas(_bucket_counts, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c"))
+    level = F.least(F.floor(F.log2("c") * 4), F.lit(127)).alias("level")
+    words = (counts.select(F.shiftright("bucket", 3).alias("word"), (F.col("bucket") % 8 * 8).cast("int").alias("bit"), level)
+             .groupBy("word").agg(F.expr("bit_or(shiftleft(level, bit))").alias("bytes")).toArrow())
+    out = np.zeros(1 << (BUCKETS - 3), np.int64)             # at most this many rows came to the driver
+    out[words["word"].to_numpy()] = words["bytes"].to_numpy()
+    return texts.sparkSession.sparkContext.broadcast(out.astype("<i8").tobytes())
 
-def _not_ruled_out(similarity: float):
-    """Pairs whose lengths and counts of words leave room for the similarity; it never rules out a similar pair."""
+
+def parities(tokens: np.ndarray) -> bytes:
+    """Whether an odd number of words falls on each bit; an edit changes two bits at most. More words have more bits."""
+    bits = min(BITS, max(64, 1 << (4 * len(tokens) - 1).bit_length()))
+    return np.packbits(np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1 == 1).tobytes()
+
+
+PROFILE = "d binary, l1 long, l2 long, words long, bits binary, tokens array<long>"
+
+
+def _profile(similarity: float, order):
+    """Per text its component (both halves of the digest), length, parities and first words by rarity.
+
+    A similar text shares all words but the allowed edits, so one more than these of the rarest are enough to meet it.
+    Only texts of a large key have to.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x, y = (np.frombuffer(b"".join(batch[c]), "<u4").reshape(-1, BAG) for c in ("bag_a", "bag_b"))
-                longer = np.maximum(batch["words_a"], batch["words_b"]).to_numpy()
-                alike = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-                yield batch.loc[longer - alike <= ((1 - similarity) * longer + 1e-9).astype(np.int64), ["a", "b"]]
+        level = np.frombuffer(order.value, np.uint8)
+        for batch, found in _tokens(batches):
+            halves = np.frombuffer(b"".join(batch["label"]), np.int64).reshape(-1, 2)
+            first = [t[np.lexsort((t, level[_bucket(t)]))[:int(allowed(len(t), similarity)) + 1]].view(np.int64)
+                     if large else np.zeros(0, np.int64) for t, large in zip(found, batch["large"])]
+            yield pd.DataFrame({"d": batch["d"], "l1": halves[:, 0], "l2": halves[:, 1], "words": [len(t) for t in found],
+                                "bits": [parities(t) for t in found], "tokens": first})
     return run
 
 
+def _whole_groups(batches: Iterator[pd.DataFrame], *keys: str) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted rows again, cut between groups, with the number of each row's group."""
+    rest = None
+    for batch in batches:
+        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        group = _numbered(batch, keys)
+        at = int(np.searchsorted(group, group[-1])) if len(group) else 0
+        if at:
+            yield batch.iloc[:at], group[:at]
+        rest = batch.iloc[at:]
+    if rest is not None and len(rest):
+        yield rest.reset_index(drop=True), _numbered(rest, keys)
+
+
+def _numbered(rows: pd.DataFrame, keys: tuple[str, ...]) -> np.ndarray:
+    new = np.zeros(len(rows), bool)
+    for c in keys:
+        x = rows[c].to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.cumsum(new)
+
+
+def _met(similarity: float):
+    """The rows (token, words, l1, l2), sorted, that another component's text of a fitting length shares the word with."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, group in _whole_groups(batches, "token"):
+            n, words = len(rows), rows["words"].to_numpy()
+            end = np.searchsorted(group, group, "right")
+            # the next row of another component, and whether it fits; then the same for the one before
+            run_of = _numbered(rows.assign(g=group), ("g", "l1", "l2"))
+            after = np.searchsorted(run_of, run_of, "right")
+            before = np.searchsorted(run_of, run_of) - 1
+            begin = np.searchsorted(group, group)
+            keep = np.zeros(n, bool)
+            for other, inside in ((after, after < end), (before, before >= begin)):
+                i, j = np.flatnonzero(inside), other[inside]
+                longer = np.maximum(words[i], words[j])
+                keep[i] |= np.abs(words[i] - words[j]) <= allowed(longer, similarity)
+            yield rows.loc[keep, ["d", "at", "token"]].assign(n=np.bincount(group)[group][keep])
+    return run
+
+
+def _folded(rows: pd.DataFrame, size: np.ndarray, least: int) -> np.ndarray:
+    """The parities on ``least`` bytes; rows that have fewer are left out."""
+    out = np.zeros((len(rows), least), np.uint8)
+    for s in np.unique(size[size >= least]):
+        at = np.flatnonzero(size == s)
+        m = np.frombuffer(b"".join(rows["bits"].iloc[at]), np.uint8).reshape(len(at), s)
+        while m.shape[1] > least:
+            half = m.shape[1] // 2
+            m = m[:, :half] ^ m[:, half:]
+        out[at] = m
+    return out.view(np.uint64)
+
+
+def _fitting(group: np.ndarray, words: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all pairs of a group whose lengths allow the similarity; a group is sorted by length."""
+    end = np.searchsorted(group, group, "right")
+    i, step, held, size = np.arange(len(group)), 0, [], 0
+    while len(i):
+        step += 1
+        i = i[i + step < end[i]]
+        i = i[words[i + step] - words[i] <= allowed(words[i + step], similarity)]    # longer ones do not fit either
+        held.append((i, i + step))
+        size += len(i)
+        if size >= PAIRS or not len(i):
+            yield tuple(np.concatenate(c) for c in zip(*held))
+            held, size = [], 0
+
+
+def _compared(similarity: float):
+    """Pairs (a, b) of different components that share a token (a word or a key), unless their parities rule them out; ``apart`` counts these.
+
+    A pair comes with the first word that both share, as far as both carry the words before.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, group in _whole_groups(batches, "token", "lo", "hi"):
+            words, l1, l2, d = (rows[c].to_numpy() for c in ("words", "l1", "l2", "d"))
+            within, side = (rows["lo"] == rows["hi"]).to_numpy(), rows["side"].to_numpy()
+            size, earlier, bits, known = rows["bits"].map(len).to_numpy(), rows["earlier"].to_numpy(), {}, {}
+            for i, j in _fitting(group, words, similarity):
+                other = ((l1[i] != l1[j]) | (l2[i] != l2[j])) & (within[i] | (side[i] != side[j]))
+                i, j = i[other], j[other]
+                most = 2 * allowed(words[j], similarity) - (words[j] - words[i])
+                apart = np.zeros(len(i), np.int64)
+                for s in np.unique(size[i]):
+                    if s not in bits:
+                        bits[s] = _folded(rows, size, s)
+                    of = np.flatnonzero(size[i] == s)
+                    for at in range(0, len(of), PAIRS):
+                        k = of[at:at + PAIRS]
+                        apart[k] = np.bitwise_count(bits[s][i[k]] ^ bits[s][j[k]]).sum(axis=1, dtype=np.int64)
+                near = apart <= most
+                i, j, apart = i[near], j[near], apart[near]
+                for k in set(i.tolist()) | set(j.tolist()):
+                    if k not in known:
+                        known[k] = frozenset(earlier[k].tolist())
+                new = np.fromiter((known[x].isdisjoint(known[y]) for x, y in zip(i.tolist(), j.tolist())), bool, len(i))
+                yield pd.DataFrame({"a": d[i[new]], "b": d[j[new]], "apart": apart[new]})
+    return run
+
+
+def unconnected(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components."""
+    for end in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end, "left")
+    return pairs.where(~F.coalesce(F.col("la"), F.col("a")).eqNullSafe(F.coalesce(F.col("lb"), F.col("b")))).drop("la", "lb")
+
+
 def open_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of texts that share a key, are in different components, may be similar and are not in ``tried``.
+    """Pairs (a, b, apart) of texts that share a key, are in different components, may be similar and are not in ``tried``.
 
-    Members are (key, d). The texts of a key are paired within bands of length, a large key in chunks by many tasks.
+    Members are (key, d). The texts of a small key are all compared; those of large keys meet by their rarest words, and
+    those of a frequent word in chunks by many tasks.
     """
     own = members.join(labels.select(F.col("node").alias("d"), "label"), "d", "left").select(
         "key", "d", F.coalesce("label", "d").alias("label"))
     split = saved(own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
-                  .where("lo != hi").select("key", F.ceil(F.col("n") / CHUNK).cast("long").alias("chunks")), "split")
-    left = saved(own.join(split, "key"), "left")
-    profiles = saved(texts.join(left.select("d").distinct(), "d", "left_semi").select("d", "t")
-                     .mapInPandas(_profile, "d binary, words long, bag binary"), "profiles")
-    # a similar text is at most 1 / similarity times as long, so it lies in the same band of lengths or the next
-    width = math.log(1 / max(similarity, 1e-3)) + 1e-3
-    band = F.floor(F.log(F.col("words").cast("double")) / width).cast("long")
-    rows = saved(left.join(profiles, "d").withColumn("band", band), "rows")
-    short = rows.select("key", "band", F.pmod(F.xxhash64("d"), F.col("chunks")).alias("chunk"), F.col("d").alias("a"),
-                        F.col("label").alias("la"), F.col("words").alias("words_a"), F.col("bag").alias("bag_a"))
-    long = rows.select("key", F.explode(F.array("band", F.col("band") - 1)).alias("band"), "chunks", F.col("d").alias("b"),
-                       F.col("label").alias("lb"), F.col("words").alias("words_b"), F.col("bag").alias("bag_b"))
-    long = long.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")).drop("chunks")
-    met = short.join(long, ["key", "band", "chunk"]).where(
-        "la != lb and (words_a < words_b or (words_a = words_b and a < b))")
-    left_over = met.select("a", "b", "words_a", "words_b", "bag_a", "bag_b").mapInPandas(
-        _not_ruled_out(similarity), "a binary, b binary")
+                  .where("lo != hi").select("key", (F.col("n") > SMALL).alias("large")), "split")
+    left = saved(own.join(split, "key").select("key", "d", "label", "large"), "left")
+    each = left.groupBy("d", "label").agg(F.max("large").alias("large"))
+    held = saved(texts.join(each, "d").select("d", "label", "large", "t"), "held")
+    profiles = saved(held.mapInPandas(_profile(similarity, levels(held.where("large"))), PROFILE), "profiles")
+    cells = ["d", "l1", "l2", "words", "bits"]
+
+    thin = profiles.select("d", "l1", "l2", "words", F.posexplode("tokens").alias("at", "token"))
+    by_word = thin.repartition("token").sortWithinPartitions("token", "words", "l1", "l2")
+    met = saved(by_word.select("d", "l1", "l2", "words", "at", "token").mapInPandas(
+        _met(similarity), "d binary, at int, token long, n long"), "met")
+    lists = met.groupBy("d").agg(F.sort_array(F.collect_list(F.struct("at", "token", "n"))).alias("all"))
+    rows = profiles.drop("tokens").join(lists, "d").withColumn("before", F.slice(F.col("all.token"), 1, EARLIER))
+    rows = rows.select("*", F.posexplode("all").alias("place", "one")).select(
+        *cells, F.col("one.token").alias("token"),
+        F.slice("before", F.lit(1), F.least("place", F.lit(EARLIER))).alias("earlier"),
+        F.ceil(F.col("one.n") / CHUNK).cast("long").alias("chunks"))
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("d"), F.col("chunks"))).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")).select(
+        "token", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", *cells, "earlier")
+    zero = F.lit(0).cast("long")
+    small = left.where("not large").join(profiles, "d").select(
+        F.col("key").alias("token"), zero.alias("lo"), zero.alias("hi"), zero.alias("side"), *cells, F.array().cast("array<long>").alias("earlier"))
+    blocks = rows.unionByName(small).repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "words", "d")
+    found = saved(blocks.mapInPandas(_compared(similarity), "a binary, b binary, apart long"), "met-pairs")
     known = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return saved(left_over.distinct().join(known, ["a", "b"], "left_anti"), "open")
+    once = found.groupBy("a", "b").agg(F.min("apart").alias("apart"))
+    return saved(once.join(known, ["a", "b"], "left_anti"), "open")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``df``: id, ``class_id`` (smallest id of its class) and ``class_size``.
 
     Equal texts are one class from the start; NULL and empty texts are equal, and texts of blanks only stay apart from
-    others. All texts that share a key are compared unless they are connected anyway. Keys are random: two texts at word
+    others. All texts that share a key are compared unless they are connected anyway or cannot be similar. Keys are random: two texts at word
     edit similarity 0.8 with scattered replacements share one with a probability above 0.999 (0.99 at five words), the
     more similar the surer. A NULL id takes part, but is only the class id if the class has no other. Other columns are
     not read.
@@ -295,18 +487,20 @@ def _placed(df: DataFrame, id_col: str, text_col: str, similarity: float) -> Dat
     ranked = pairs.withColumn("r", F.row_number().over(by_count))
     sure = saved(linked(ranked.where("r = 1").select("a", "b"), texts, similarity), "links")
     labels = components(sure)
-    rest = ranked.where("r > 1").select("a", "b")
-    for end in ("a", "b"):
-        rest = rest.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end, "left")
-    open_ = rest.where(~F.coalesce(F.col("la"), F.col("a")).eqNullSafe(F.coalesce(F.col("lb"), F.col("b")))).select("a", "b")
-    late = saved(linked(open_, texts, similarity), "links")
+    late = saved(linked(unconnected(ranked.where("r > 1").select("a", "b"), labels), texts, similarity), "links")
     if not late.isEmpty():
         sure = sure.unionByName(late)
         labels = components(sure)
-    # then whatever pair of a key is still in two components
-    last = saved(linked(open_pairs(members, labels, texts, pairs, similarity), texts, similarity), "links")
+    # then whatever pair is still in two components, a text's nearest first
+    last = open_pairs(members, labels, texts, pairs, similarity)
     if not last.isEmpty():
-        labels = components(sure.unionByName(last))
+        ends = last.unionByName(last.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+        nearest = ends.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b"))
+        sure = sure.unionByName(saved(linked(nearest.distinct(), texts, similarity), "links"))
+        labels = components(sure)
+        rest = saved(linked(unconnected(last.select("a", "b"), labels), texts, similarity), "links")
+        if not rest.isEmpty():
+            labels = components(sure.unionByName(rest))
 
     placed = base.select("i", "d").join(labels.select(F.col("node").alias("d"), "label"), "d", "left").select(
         "i", "d", F.coalesce("label", "d").alias("c"))

@@ -26,6 +26,26 @@ def test_banded_alignment_is_exact(a, b, limit):
     assert O.edit_distance(a, b, limit) == (d if d <= limit else None)
 
 
+def test_alignment_beyond_few_edits_is_exact():
+    rng = random.Random(12)
+    for n in (40, 90, 200):
+        for size in (3, 50, 1000):
+            a = [rng.randint(0, size) for _ in range(n)]
+            b = edited(rng, [str(x) for x in a], rng.choice([0.1, 0.4, 0.9]))
+            a = [str(x) for x in a]
+            d = levenshtein(a, b)
+            assert O._columns(a, b, 10**6) == d
+            for limit in (d - 1, d, d + 40):
+                assert O.edit_distance(a, b, limit) == (d if d <= limit else None)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=14), st.lists(st.integers(0, 3), min_size=1, max_size=14), st.integers(0, 15))
+def test_columns_of_bits_are_exact(a, b, limit):
+    d = levenshtein(a, b)
+    assert O._columns(a, b, limit) == (d if d <= limit else None)
+
+
 def test_sketches_keep_order_and_occurrences():
     rng = np.random.default_rng(3)
     h = rng.integers(0, 2**62, 200).astype(np.uint64)
@@ -157,3 +177,27 @@ def test_texts_that_share_an_id_are_dropped_one_by_one(docs):
             (1, " ".join(third)), (2, " ".join(third[:-1]))]
     left = O.drop_near_duplicates(docs(rows).withColumn("gone", F.lit(1)).withColumn("gone_text", F.lit(1)))
     assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted([rows[0], rows[2], rows[4]])
+
+
+def test_a_passage_in_many_texts_does_not_pair_them(docs, monkeypatch):
+    rng = random.Random(11)
+    passage = words(rng, 60)
+    rows = [(i, " ".join([f"x{i}y{k}" for k in range(120)] + passage + [f"x{i}z{k}" for k in range(60)])) for i in range(200)]
+    own = rows[0][1].split()
+    # apart from rows[0] by more than a fifth, from each other by less: away from the centre of the keys
+    tables = {}
+    keep = O.saved
+    monkeypatch.setattr(O, "saved", lambda df, name: tables.setdefault(name, keep(df, name)) if name in ("met", "met-pairs") else keep(df, name))
+    loose = [own[:60] + [f"q{k}" for k in range(60)] + own[120:], own[:60] + [f"q{k}" for k in range(58)] + ["r", "s"] + own[120:]]
+    rows += [(1000 + k, " ".join(ws)) for k, ws in enumerate(loose)]
+    out = {r.doc_id: r.class_id for r in O.near_duplicates(docs(rows)).collect()}
+    assert out == {i: min(i, 1000) for i, _ in rows}
+    assert tables["met"].count() < 1000 and tables["met-pairs"].count() < 50
+
+
+def test_texts_of_one_word_meet_in_chunks(docs, monkeypatch):
+    monkeypatch.setattr(O, "CHUNK", 7)
+    monkeypatch.setattr(O, "SMALL", 1)
+    test_pairs_away_from_the_centre_are_tried(docs)
+    rows, group = fixture()
+    assert {r.doc_id: r.class_id for r in O.near_duplicates(docs(rows)).collect()} == group
