@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,10 @@ KIND[list(BLANKS)], KIND[list(BREAKS)] = 1, 2
 FILTER_BITS = 27             # the bitmap of frequent fingerprints has 2 ** 27 bits (16 MB) at every size of input
 BLOCK = 8 << 20              # bytes of text that a block counts together
 CHUNK = 1 << 20              # bytes hashed at a time
+RUN = 1 << 17                # words whose n-grams are hashed at a time
 LONG = 64                    # words of more bytes are compared one by one
-SLICE = 200_000              # rows of an Arrow batch
+SLICE = 200_000              # rows of an Arrow batch of numbers
+SPELLED = 20_000             # rows of one of phrases
 BASE = 0x9E3779B97F4A7C15    # odd, so it has an inverse modulo 2 ** 64
 PHRASE = "lang string, n int, phrase string, c long, doc_id long, at long"
 
@@ -51,6 +54,11 @@ def polynomials(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return (prefix[ends] - prefix[starts]) * _powers(pow(BASE, -1, 1 << 64), size)[starts]
 
 
+def _narrow(numbers: np.ndarray) -> np.ndarray:
+    """Numbers below the size of a block, in 32 bits where they fit."""
+    return numbers.astype(np.int32) if not len(numbers) or numbers.max() < 2**31 else numbers
+
+
 def mixed(x: np.ndarray, salt) -> np.ndarray:
     """Spread fingerprints over all 64 bits, differently for each salt."""
     x = x ^ salt
@@ -67,15 +75,19 @@ class Words:
         self.raw = b"".join(t + b"\n" for t, *_ in docs)
         self.text = np.frombuffer(self.raw, np.uint8)
         kind = KIND[self.text]
-        inside = np.concatenate([[False], kind == 0, [False]])
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        self.starts, self.ends = edges[::2], edges[1::2]
-        self.piece = np.searchsorted(np.flatnonzero(kind == 2), self.starts)
+        inside = kind == 0                                   # every text ends with a break, so the last word ends inside the block
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if len(inside) and inside[0]:
+            edges = np.concatenate([[0], edges])
+        self.starts, self.ends = edges[::2].copy(), edges[1::2].copy()
+        del inside, edges
+        self.piece = _narrow(np.searchsorted(np.flatnonzero(kind == 2), self.starts))
+        del kind
         self.doc_ends = np.cumsum([len(t) + 1 for t, *_ in docs])
-        self.doc = np.searchsorted(self.doc_ends, self.starts, "right")
+        self.doc = _narrow(np.searchsorted(self.doc_ends, self.starts, "right"))
         self.langs = sorted({lang for _, lang, *_ in docs})
         number = {lang: k for k, lang in enumerate(self.langs)}
-        self.lang = np.array([number[lang] for _, lang, *_ in docs])[self.doc]
+        self.lang = _narrow(np.array([number[lang] for _, lang, *_ in docs]))[self.doc]
         seeds = [int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little") for lang in self.langs]
         self.seeds = np.array(seeds, np.uint64)
         self.prints = self._prints()
@@ -90,14 +102,19 @@ class Words:
             at = to
         return mixed(out, (self.ends - self.starts).astype(np.uint64))
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, fingerprint) of every run of ``n`` words inside a piece."""
+    def grams(self, n: int, keep: np.ndarray | bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, fingerprint) of every run of ``n`` words inside a piece whose first word ``keep`` marks."""
         m = len(self.prints) - n + 1
         if m < 1:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        first = np.flatnonzero(self.piece[n - 1:] == self.piece[:m])
-        found = polynomials(self.prints, first, first + n)
-        return first, mixed(found, self.seeds[self.lang[first]] + np.uint64(n))
+        first = _narrow(np.flatnonzero((self.piece[n - 1:] == self.piece[:m]) & keep))
+        found = np.empty(len(first), np.uint64)
+        for at in range(0, len(first), RUN):                 # a fingerprint does not depend on where its run of words begins
+            own = first[at:at + RUN]
+            low = own[0]
+            prints = polynomials(self.prints[low:own[-1] + n], own - low, own + (n - low))
+            found[at:at + RUN] = mixed(prints, self.seeds[self.lang[own]] + np.uint64(n))
+        return first, found
 
     def ids(self) -> np.ndarray:
         """A number for every word, equal only where the bytes are."""
@@ -157,43 +174,58 @@ def _counter(lengths: list[int], bits) -> Callable[[Iterable[pa.RecordBatch]], I
     def count(batches):
         allowed = None if bits is None else np.frombuffer(bits.value, np.uint8)
         for words in blocks(batches):
-            if allowed is not None:
-                whole = np.zeros(len(words.prints), bool)
-                first, prints = words.grams(lengths[0] - 1)
-                whole[first] = holds(allowed, prints)
             for n in lengths:
-                first, prints = words.grams(n)
-                if allowed is not None:
-                    keep = np.ones(len(first), bool)
-                    for k in range(n - lengths[0] + 2):
-                        keep &= whole[first + k]
-                    prints = prints[keep]
-                found, c = np.unique(prints, return_counts=True)
+                found, c = _counted(words, n, lengths[0] - 1, allowed)
                 for at in range(0, len(found), SLICE):
                     yield pa.record_batch([found[at:at + SLICE].view(np.int64), c[at:at + SLICE]], names=["fp", "c"])
+            words = found = c = None                         # before the next block is made
     return count
 
 
+def _counted(words: Words, n: int, part: int, allowed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of a block's n-grams and their counts; with ``allowed`` only if all their parts of ``part`` words are in it."""
+    keep = True
+    if allowed is not None:
+        whole = np.zeros(len(words.prints), bool)
+        first, prints = words.grams(part)
+        whole[first] = holds(allowed, prints)
+        del first, prints
+        keep = np.ones(max(0, len(whole) - n + 1), bool)
+        for k in range(n - part + 1):
+            keep &= whole[k:k + len(keep)]
+    prints = words.grams(n, keep)[1]
+    prints.sort()
+    new = np.ones(len(prints), bool)
+    new[1:] = prints[1:] != prints[:-1]
+    at = np.flatnonzero(new)
+    return prints[at], np.diff(at, append=len(prints))
+
+
 def _speller(longest: int, bits) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The phrases of a block whose fingerprint is in ``bits``, verified against the text; n = 0 counts all words."""
     def spell(batches):
         allowed = np.frombuffer(bits.value, np.uint8)
         for words in blocks(batches):
-            ids, rows = words.ids(), []
-            for k, c in zip(*np.unique(words.lang, return_counts=True)):
-                rows.append((words.langs[k], 0, "", int(c), None, None))
-            for n in range(1, longest + 1):
-                first, prints = words.grams(n)
-                hit = holds(allowed, prints)
-                rows.extend(_phrases(words, ids, first[hit], prints[hit], n))
-            for at in range(0, len(rows), SLICE):
-                cells = zip(*rows[at:at + SLICE])
+            rows = _spelled(words, longest, allowed)
+            while some := list(islice(rows, SPELLED)):
                 kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(cells, kinds)],
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*some), kinds)],
                                       names=["lang", "n", "phrase", "c", "doc_id", "at"])
+            words = rows = None                              # before the next block is made
     return spell
 
 
+def _spelled(words: Words, longest: int, allowed: np.ndarray) -> Iterator[tuple]:
+    ids = _narrow(words.ids())
+    for k, c in zip(*np.unique(words.lang, return_counts=True)):
+        yield words.langs[k], 0, "", int(c), None, None
+    for n in range(1, longest + 1):
+        first, prints = words.grams(n)
+        hit = holds(allowed, prints)
+        first, prints = first[hit], prints[hit]
+        yield from _phrases(words, ids, first, prints, n)
+
+
 def _phrases(words: Words, ids: np.ndarray, first: np.ndarray, prints: np.ndarray, n: int) -> Iterator[tuple]:
     _, pointer, group, c = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
     pointed = first[pointer]

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +107,29 @@ def test_score_is_exact_beyond_64_bits(spark):
                                    "lang string, n int, phrase string, count long")
     row = C.score_phrases(counts).first()
     assert row.score == 2_000_000 * (big - 3) // (2 * big - 1) and row.a == big - 3
+
+
+def test_a_block_needs_little_more_memory_than_its_words():
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(20_000)]
+    texts = [" ".join(words[k] for k in rng.integers(0, len(words), 100_000)).encode() for _ in range(32)]      # more than two blocks
+    batches = [pa.record_batch([[t], ["en"], [i]], names=["text", "lang", "doc"]) for i, t in enumerate(texts)]
+    size = sum(map(len, texts))
+    assert size > 2 * C.BLOCK
+    sum(len(b) for b in C._counter([2], None)(batches[:1]))          # powers are made once
+    tracemalloc.start()
+    total = sum(b["c"].to_numpy().sum() for b in C._counter([2], None)(batches))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 32 * 99_999
+    assert peak < 28 * C.BLOCK
+
+
+@pytest.mark.parametrize("run", [1, 2, 7])
+def test_grams_do_not_depend_on_the_words_hashed_at_a_time(monkeypatch, run):
+    words = C.Words([(t.encode(), lang or "und", i, 0) for i, t, lang in ROWS if t])
+    whole = [words.grams(n) for n in (1, 2, 3, 4)]
+    monkeypatch.setattr(C, "RUN", run)
+    for n, (first, prints) in enumerate(whole, 1):
+        again = words.grams(n)
+        assert (again[0] == first).all() and (again[1] == prints).all()
