@@ -273,6 +273,13 @@ def parities(tokens: np.ndarray) -> bytes:
     return np.packbits(np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1 == 1).tobytes()
 
 
+def _rarest(tokens: np.ndarray, level: np.ndarray, similarity: float) -> np.ndarray:
+    """As many of the rarest words as a similar text must share one of, without those that no other text has."""
+    of = level[_bucket(tokens)]
+    order = np.lexsort((tokens, of))[:int(allowed(len(tokens), similarity)) + 1]
+    return tokens[order[of[order] > 0]].view(np.int64)
+
+
 PROFILE = "d binary, l1 long, l2 long, words long, bits binary, tokens array<long>"
 
 
@@ -280,14 +287,13 @@ def _profile(similarity: float, order):
     """Per text its component (both halves of the digest), length, parities and first words by rarity.
 
     A similar text shares all words but the allowed edits, so one more than these of the rarest are enough to meet it.
-    Only texts of a large key have to.
+    Only texts of a large key have to, and words that stand alone in their bucket meet nothing, so they are not sent.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         level = np.frombuffer(order.value, np.uint8)
         for batch, found in _tokens(batches):
             halves = np.frombuffer(b"".join(batch["label"]), np.int64).reshape(-1, 2)
-            first = [t[np.lexsort((t, level[_bucket(t)]))[:int(allowed(len(t), similarity)) + 1]].view(np.int64)
-                     if large else np.zeros(0, np.int64) for t, large in zip(found, batch["large"])]
+            first = [_rarest(t, level, similarity) if large else np.zeros(0, np.int64) for t, large in zip(found, batch["large"])]
             yield pd.DataFrame({"d": batch["d"], "l1": halves[:, 0], "l2": halves[:, 1], "words": [len(t) for t in found],
                                 "bits": [parities(t) for t in found], "tokens": first})
     return run

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -201,3 +202,22 @@ def test_texts_of_one_word_meet_in_chunks(docs, monkeypatch):
     test_pairs_away_from_the_centre_are_tried(docs)
     rows, group = fixture()
     assert {r.doc_id: r.class_id for r in O.near_duplicates(docs(rows)).collect()} == group
+
+
+class _Levels:
+    def __init__(self, texts):
+        words = np.concatenate([t for _, found in O._tokens(iter([texts])) for t in found])
+        counts = np.bincount(O._bucket(words), minlength=1 << O.BUCKETS)
+        self.value = np.floor(np.log2(np.maximum(counts, 1)) * 4).astype(np.uint8).tobytes()
+
+
+def test_words_of_one_text_are_not_sent_and_rows_follow_the_texts():
+    def sent(n):
+        texts = pd.DataFrame({"d": [b"%d" % i for i in range(n)], "label": [b"%016d" % i for i in range(n)], "large": [True] * n,
+                              "t": [" ".join([f"own{i}x{k}" for k in range(12)] + [f"two{i // 2}x{k}" for k in range(3)]
+                                             + [f"all{k}" for k in range(45)]) for i in range(n)]})
+        return [len(x) for part in O._profile(0.8, _Levels(texts))(iter([texts])) for x in part["tokens"]]
+
+    few, many = sent(200), sent(400)
+    # 13 of 60 words, 12 of them of this text alone; a word may share its bucket by chance
+    assert max(many) <= 13 and sum(few) < 2 * 200 and sum(many) < 2 * 400
