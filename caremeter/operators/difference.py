@@ -10,9 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from caremeter.operators.common import null_safe_join
-
-LISTED = 1_000     # differing key values that go into a pushed filter; more are joined
+LISTED = 1_000     # differing key values that go into a pushed filter; with more, all rows under the values before are compared
+PART = 22          # bits of a hash that are summed at a time: sums of 64-bit integers hold for 2 ** 41 rows
+CELLS = 4          # times ``listed``: cells by which a level tells how many values differ on the next
 
 
 def _signed(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -21,19 +21,35 @@ def _signed(left: DataFrame, right: DataFrame) -> DataFrame:
     return sides[0].unionAll(sides[1])
 
 
-def differing_keys(left: DataFrame, right: DataFrame, prefix: Sequence[str]) -> DataFrame:
+def differing_keys(left: DataFrame, right: DataFrame, prefix: Sequence[str], cell: Column | None = None) -> DataFrame:
     """Prefixes of the key under which the two sides hold different rows (by count and a 128-bit sum of hashes).
 
-    Tasks sum first, so a hot key costs its map tasks only. NULL is a key value like others.
+    With ``cell``, prefixes with the cells of rows (``__cell``) that differ. Tasks sum first, so a hot key costs its map tasks
+    only. NULL is a key value like others.
     """
-    def total(seed: int) -> Column:      # decimals, as 64-bit sums overflow; the row's NULLs are told by their places
-        shape = F.concat(*[F.when(F.col(f"`{c}`").isNull(), "0").otherwise("1") for c in left.columns])
-        number = F.xxhash64(F.lit(seed), shape, *[F.col(f"`{c}`") for c in left.columns])
-        return F.sum(number.cast("decimal(20,0)") * F.col("__side"))
-
-    sums = _signed(left, right).groupBy(*prefix).agg(
-        F.sum("__side").alias("__n"), total(1).alias("__a"), total(2).alias("__b"))
-    return sums.where("__n <> 0 OR __a <> 0 OR __b <> 0").select(*prefix)
+    def parts(seed: int) -> list[Column]:        # integers, as decimals are objects for every row; NULLs are told by their places
+        columns = [F.col(f"`{c}`") for c in left.columns]
+        number = F.xxhash64(F.lit(seed), *[c.isNull() for c in columns], *columns)
+        low = F.lit((1 << PART) - 1).cast("long")
+        return [F.shiftright(number, 2 * PART), F.shiftright(number, PART).bitwiseAND(low), number.bitwiseAND(low)]
+
+    keys = [*prefix] if cell is None else [*prefix, cell.alias("__cell")]
+    sums = [F.sum(part * F.col("__side")).alias(f"__{seed}{i}") for seed in (1, 2) for i, part in enumerate(parts(seed))]
+    found = _signed(left, right).groupBy(*keys).agg(F.sum("__side").alias("__n"), *sums)
+    differs = " OR ".join(f"{c} <> 0" for c in found.columns[len(keys):])
+    return found.where(differs).select(*found.columns[:len(keys)])
+
+
+def _differing(left: DataFrame, right: DataFrame, prefix: Sequence[str], following: str | None, listed: int) -> tuple[list, bool]:
+    """Up to ``listed`` + 1 differing values of the last column of ``prefix``, and whether more than ``listed`` of ``following`` surely differ."""
+    cell = None if following is None else F.pmod(F.xxhash64(F.lit(3), F.col(f"`{following}`")), F.lit(CELLS * max(listed, 1)))
+    found = differing_keys(left, right, prefix, cell)
+    values = found.select(F.col(prefix[-1]).alias("value"), F.lit(None).cast("long").alias("cell")).distinct().limit(listed + 1)
+    if cell is not None:             # both read the same shuffle
+        kind = values.schema["value"].dataType
+        values = values.unionAll(found.select(F.lit(None).cast(kind).alias("value"), F.col("__cell").alias("cell")).distinct().limit(listed + 1))
+    rows = values.collect()
+    return [r.value for r in rows if r.cell is None], sum(r.cell is not None for r in rows) > listed
 
 
 def _within(df: DataFrame, column: str, values: Sequence) -> DataFrame:
@@ -46,24 +62,23 @@ def row_difference(left: DataFrame, right: DataFrame, key: Sequence[str], listed
     """Rows with ``n_left`` and ``n_right``, how often each side holds them, where these differ.
 
     ``key`` names columns from coarse to fine; each makes a level of the tree. Up to ``listed`` differing values of a level become a filter
-    that reaches the scan, so files and row groups of other values are skipped if the tables are clustered by ``key``; when
-    more differ, the rows under them are found by a join instead. Nothing is cut off either way. Columns are matched by name
-    and must be the same; equal rows are counted, NULLs are equal. Levels run when this is called; equal
-    tables give no rows and are read once.
+    that reaches the scan, so files and row groups of other values are skipped if the tables are clustered by ``key``. When more
+    differ, all rows that are left are counted, in one shuffle; a level that must come to this is not read. Nothing is cut off
+    either way. Columns are matched by name and must be the same; equal rows are counted, NULLs are equal. Levels run when this
+    is called; equal tables give no rows and are read once.
     """
     if sorted(left.columns) != sorted(right.columns):
         raise ValueError(f"different columns: {left.columns} and {right.columns}")
     for depth, column in enumerate(key, 1):
-        prefix = list(key[:depth])
-        found = differing_keys(left, right, prefix)
-        values = [r[0] for r in found.select(column).distinct().limit(listed + 1).collect()]
+        values, many = _differing(left, right, key[:depth], key[depth] if depth < len(key) else None, listed)
         if not values:
             left, right = left.where(F.lit(False)), right.where(F.lit(False))
             break
         if len(values) > listed:
-            left, right = (null_safe_join(df, found, prefix).select(*left.columns) for df in (left, right))
             break
         left, right = _within(left, column, values), _within(right, column, values)
+        if many:
+            break
     counts = _signed(left, right).groupBy(*left.columns).agg(
         F.count_if(F.col("__side") == 1).alias("n_left"), F.count_if(F.col("__side") == -1).alias("n_right"))
     return counts.where(F.col("n_left") != F.col("n_right"))

@@ -61,3 +61,20 @@ def test_one_changed_row_reads_one_range(spark, tmp_path):
     text = found._jdf.queryExecution().executedPlan().toString()
     assert text.count("EqualTo(m,m17)") >= 2 and text.count("EqualTo(k,k00017)") >= 2 or \
         text.count("In(m, [m17])") >= 2 and text.count("In(k, [k00017])") >= 2
+
+
+def test_many_differing_values_are_counted_without_another_level(spark, monkeypatch):
+    """Where more of the next column's values differ than are listed, that level is not read, and no row is joined."""
+    from caremeter.operators import difference
+
+    depths = []
+    keys = difference.differing_keys
+    monkeypatch.setattr(difference, "differing_keys", lambda a, b, prefix, *cell: depths.append(len(prefix)) or keys(a, b, prefix, *cell))
+    rows = spark.range(400).select(F.lit("m").alias("m"), F.col("id").cast("string").alias("k"), F.col("id").cast("double").alias("v"),
+                                   F.lit(None).cast("string").alias("t"))
+    changed = rows.withColumn("v", F.when(F.col("k") < "3", F.col("v") + 1).otherwise(F.col("v")))
+    few = rows.withColumn("v", F.when(F.col("k") == "7", 0.5).otherwise(F.col("v")))
+    found = row_difference(rows, changed, ["m", "k"], 20)
+    assert depths == [1] and found.count() == 2 * changed.where("k < '3'").count()
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert row_difference(rows, few, ["m", "k"], 20).count() == 2 and depths == [1, 1, 2]
