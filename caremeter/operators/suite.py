@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from caremeter.operators.common import union_all
 
 KEY_RECORD = -1
+KEPT = -2                            # in place of a rule that the row keeps
 COUNTERS = ("raw", "typed", "real", "empty", "usable", "broken")
 
 
@@ -56,19 +57,23 @@ class GroupRule:
     at_most: int | None = 0
 
 
-def _records(source: Source, first_id: int) -> DataFrame:
+def _records(source: Source, first_id: int, number: int) -> DataFrame:
     """One key record for each row, one rule record for each rule it breaks."""
     def counter(condition: Column | None) -> Column:
         return F.lit(0).cast("bigint") if condition is None else F.coalesce(condition, F.lit(False)).cast("bigint")
 
-    broken = F.array_compact(F.array(F.lit(KEY_RECORD), *[F.when(r.broken, F.lit(first_id + k)) for k, r in enumerate(source.rules)]))
+    # A column of its own and array_remove, as Spark interprets lambdas and what stands inside a generator, with all rules in it.
+    # Never empty; the inner explode would filter by its size and so work out the rules twice.
+    broken = F.array_remove(F.array(F.lit(KEY_RECORD), *[
+        F.when(r.broken, F.lit(first_id + k)).otherwise(F.lit(KEPT)) for k, r in enumerate(source.rules)]), KEPT)
     parts = [F.trim(k) for k in source.key] + [F.lit(None).cast("string")] * (2 - len(source.key))
     rows = source.rows.select(
         parts[0].alias("entity"), parts[1].alias("part"), F.lit(int(source.layer == "raw")).cast("bigint").alias("raw"),
         F.lit(int(source.layer == "typed")).cast("bigint").alias("typed"), counter(source.real).alias("real"),
-        counter(source.empty).alias("empty"), counter(source.usable).alias("usable"), F.explode(broken).alias("rule"))
+        counter(source.empty).alias("empty"), counter(source.usable).alias("usable"), broken.alias("rules"))
+    rows = rows.select("*", F.explode_outer("rules").alias("rule"))
     is_key = F.col("rule") == KEY_RECORD
-    return rows.select(F.lit(source.table).alias("table_name"), "rule", F.when(is_key, F.col("entity")).alias("entity"),
+    return rows.select(F.lit(number).alias("table_number"), "rule", F.when(is_key, F.col("entity")).alias("entity"),
                        F.when(is_key, F.col("part")).alias("part"),
                        *[F.when(is_key, F.col(c)).otherwise(F.lit(0).cast("bigint")).alias(c) for c in COUNTERS[:-1]],
                        (~is_key).cast("bigint").alias("broken"))
@@ -85,23 +90,24 @@ def totals(sources: Sequence[Source], entities: str, group_size: dict[str, int])
     tables = list(dict.fromkeys(s.table for s in sources))
     marked = list(dict.fromkeys(s.table for s in sources if s.usable is not None))
     starts = [sum(len(s.rules) for s in sources[:i]) for i in range(len(sources))]
-    records = union_all([_records(s, at) for s, at in zip(sources, starts)])
+    records = union_all([_records(s, at, tables.index(s.table)) for s, at in zip(sources, starts)])
     sums = [F.sum(c).alias(c) for c in COUNTERS]
-    by_key = records.groupBy("table_name", "rule", "entity", "part").agg(*sums)
+    by_key = records.groupBy("table_number", "rule", "entity", "part").agg(*sums)
 
     whole = F.col("entity").isNotNull() & F.col("part").isNotNull()
     pairs = F.col("real").cast("decimal(18,0)") * F.col("empty").cast("decimal(18,0)")
-    by_entity = by_key.groupBy("table_name", "rule", "entity").agg(
+    by_entity = by_key.groupBy("table_number", "rule", "entity").agg(
         *sums, F.count_if(F.col("typed") > 1).alias("repeated"), F.sum(F.when(whole, pairs)).alias("lost"))
 
     def of(table: str, name: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("table_name") == table, F.col(name))), F.lit(0)).alias(f"{table}_{name}")
+        return F.coalesce(F.sum(F.when(F.col("table_number") == tables.index(table), F.col(name))), F.lit(0)).alias(f"{table}_{name}")
 
+    in_marked = F.col("table_number").isin(*map(tables.index, marked))
     carried = ("raw", "typed", "broken", "repeated", "lost")
     across = by_entity.groupBy("rule", "entity").agg(
         *[of(t, name) for t in tables for name in carried],
-        F.sum(F.when(F.col("table_name").isin(*marked), F.col("usable"))).alias("usable"),
-        F.sum(F.when(F.col("table_name").isin(*marked), F.col("typed"))).alias("marked"))
+        F.sum(F.when(in_marked, F.col("usable"))).alias("usable"),
+        F.sum(F.when(in_marked, F.col("typed"))).alias("marked"))
     keys = F.col("rule") == KEY_RECORD
     orphan = keys & F.col("entity").isNotNull() & (F.col(f"{entities}_typed") == 0)
     return across.groupBy("rule").agg(

@@ -85,3 +85,14 @@ def test_a_hot_value_is_counted_in_its_tasks(spark):
     assert out["rows"] == 40_000 and out["odd"] == 20_000 and out["distinct"] == 20_001 and out["distinct_odd"] == 1
     plan = column_report({"t": df}, {"t": ["x"]}, {})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and plan.count("HashAggregate") + plan.count("SortAggregate") >= 4
+
+
+def test_cells_do_not_carry_names(spark):
+    """Every cell would copy and compare the names of its table and column: cells are counted by a number."""
+    df = spark.createDataFrame([("a", "b")], "`x.y` string, z string")
+    found = column_report({"t": df, "u": df}, {"t": ["x.y", "z"], "u": ["z"]}, {})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    expands = [line for line in plan.splitlines() if "Expand" in line]
+    assert len(expands) == 2 and not any("x.y," in line.split("], [")[0] or "table_name" in line for line in expands)
+    rows = {(r.table_name, r.column_name, r.n) for r in found.where("metric = 'rows'").collect()}
+    assert rows == {("t", "x.y", 1), ("t", "z", 1), ("u", "z", 1)}

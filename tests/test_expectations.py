@@ -128,3 +128,14 @@ def test_a_hot_entity_is_combined_before_the_shuffle(spark):
     out = {r.metric: (r.value, r.ok) for r in verdicts([source], "t", [GroupRule("R3", "t", "rows", F.col("t_typed"), at_most=19_999),
                                                                          GroupRule("R4", "t", "repeated", F.col("t_repeated"))]).collect()}
     assert out == {"zero": (10_000, False), "none": (0, True), "rows": (20_000, False), "repeated": (0, True)}
+
+
+def test_rules_are_compiled_and_worked_out_once(spark):
+    """No lambda and no rule inside the generator (both are interpreted), and no filter that repeats the rules."""
+    rows = spark.createDataFrame([("a", "x")], "facility_id string, measure_id string")
+    rules = [suite.RowRule("C", "m", F.col("measure_id").rlike("^x+$"))]
+    records = suite._records(suite.Source("t", "raw", rows, ("facility_id", "measure_id"), rules), 0, 0)
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    generate = next(line for line in plan.splitlines() if "Generate" in line)
+    assert plan.count("RLIKE") == 1 and "RLIKE" not in generate and "lambda" not in plan
+    assert sorted((r.rule, r.broken) for r in records.collect()) == [(-1, 0), (0, 1)]
