@@ -8,6 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from caremeter.operators import suite
 from caremeter.operators.suite import RowRule, Source, GroupRule, verdicts
 from caremeter.plans.expectations import expectations, failed
 from caremeter.plans.silver import build_silver
