@@ -3,36 +3,44 @@
 Texts are cut into folds where their bytes say so, and of equal folds only the one of the smallest id is looked into.
 Equal windows hold the same anchor, the window's smallest 24-byte fingerprint, at the same place. So a stretch of windows
 round an anchor that only one document has cannot repeat, and stretches round a shared anchor can be indexed together:
-every index is built over the distinct stretches of some anchors, wherever in the corpus they occur. It keeps the
-transform as runs, with samples at their ends, and streams each stretch through it byte by byte from the right; where
-the match is long enough, the sample says which document has it first.
+every index is built over the distinct stretches of some anchors, wherever in the corpus they occur. An anchor with one
+distinct stretch needs none. An index keeps the transform as runs, with samples at their ends, and streams each stretch
+through it byte by byte from the right; where the match is long enough, the sample says which document has it first.
 
-Blocks learn what is repeated from bitmaps of fixed size. A chance hit there sends more to be compared and never decides.
+Anchors and stretches travel by bucket, packed, one row for each block of texts. Blocks learn what is repeated from
+bitmaps. A chance hit there sends more to be compared and never decides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from hashlib import blake2b
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from caremeter.llm.collocations import bitmap, holds, mixed, polynomials
 from caremeter.llm.common import saved, without
 
 SEED = 24                    # bytes of an anchor
 CHUNK = 1 << 20              # windows handled at a time
+BATCH = 1 << 16              # bytes of short texts that are handled together
 BLOCK = 8 << 20              # bytes of text whose anchors are folded together before they are sent
 PLACES = 200_000             # places of stretches that are folded together
-INDEX = 1 << 20              # bytes of an index, unless one anchor has more
-CROWDED = 4096               # distinct stretches of an anchor from which its windows are compared one by one
-PACK = 7                     # symbols of nine bits in one integer
+INDEX = 1 << 17              # bytes of an index, unless one anchor has more; larger ones leave the caches
+CROWDED = 4096               # distinct stretches of an anchor from which they are split by more bytes than the anchor's
+PACK = 7                     # symbols of nine bits in one integer; more of fewer bits
 NOBODY = -(1 << 63)          # stands for a NULL id, below all others
 FOLD = 512                   # windows in a fold, on average; a power of two
-FOLD_PLACE = "i long, x long, s long, e long, k1 long, k2 long, own long"
-PLACE = "i long, x long, at long, k1 long, k2 long, fp long, bytes binary, last long"
+SPREAD = 0x5EED              # salt: anchors are smallest fingerprints, so their own upper bits are far from even
+BUCKETS = 10                 # bits of the number of buckets, at least; more for texts of over 64 GB
+MARKS = 27, 29               # bits of the number of places in the bitmap of anchors, at least and at most
+FOLD_PLACE = "i long, x long, s long, e long, k1 long, k2 long"
+FOLD_NAMES = [c.split()[0] for c in FOLD_PLACE.split(", ")]
+PLACE = "i long, x long, at long, k1 long, k2 long, bucket int, off binary, size binary, first binary, more binary, bytes binary"
 PLACE_NAMES = [c.split()[0] for c in PLACE.split(", ")]
 ADDED = ("n_bytes", "n_removed", "spans", "kept_bytes")
 SPANS = T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))
@@ -47,15 +55,44 @@ def seeds(text: bytes, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray
         yield base, part, mixed(polynomials(part.astype(np.uint64) + np.uint64(1), slice(0, n), slice(size, size + n)), np.uint64(size))
 
 
-def folds(part: np.ndarray, prints: np.ndarray, least: int, fold: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last window (exclusive) of a part's folds: they begin where the seed says so, whatever is around."""
-    windows = len(part) - least + 1
-    first = np.flatnonzero((prints[1:windows] & np.uint64(fold - 1)) == 0) + 1
-    return np.concatenate([[0], first]), np.append(first, windows)
+def blocks(texts: Iterable[bytes], least: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]:
+    """Parts of texts, several short ones in one: (numbers of the texts, where they begin, place of the part, its bytes, its seeds)."""
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        if len(text) >= BATCH:
+            for base, part, prints in seeds(text, least):
+                yield np.array([k]), np.array([0]), base, part, prints
+            continue
+        held.append((k, size, text))
+        size += len(text)
+        if size >= BATCH:
+            yield from _together(held, least)
+            held, size = [], 0
+    if held:
+        yield from _together(held, least)
 
 
-def stretches(part: np.ndarray, prints: np.ndarray, wanted: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, end and anchor of the stretches of ``wanted`` windows that share an anchor."""
+def _together(held: list[tuple[int, int, bytes]], least: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]:
+    numbers, begin, texts = zip(*held)
+    for base, part, prints in seeds(b"".join(texts), least):
+        yield np.array(numbers), np.array(begin), base, part, prints
+
+
+def text_at(begin: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which of a part's texts holds each place."""
+    return np.searchsorted(begin, places, "right") - 1
+
+
+def folds(part: np.ndarray, prints: np.ndarray, least: int, fold: int, begin: np.ndarray = np.zeros(1, np.int64)) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window (exclusive) of a part's folds: they begin where the seed says so, whatever is around, and with a text."""
+    end = np.append(begin[1:], len(part)) - least + 1        # windows do not leave their text
+    seen = np.flatnonzero((prints[:end[-1]] & np.uint64(fold - 1)) == 0)
+    first = np.union1d(begin, seen[seen < end[text_at(begin, seen)]])
+    return first, np.minimum(np.append(first[1:], end[-1]), end[text_at(begin, first)])
+
+
+def anchored(part: np.ndarray, prints: np.ndarray, wanted: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and place of the anchor of the stretches of ``wanted`` windows that share an anchor."""
     # the smallest of the upper halves, the leftmost of equal ones
     lowest = (prints & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(prints), dtype=np.uint64)
     reach, width = 1, least - min(SEED, least) + 1
@@ -67,15 +104,26 @@ def stretches(part: np.ndarray, prints: np.ndarray, wanted: np.ndarray, least: i
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (wanted[1:] != wanted[:-1])]))
     end = np.append(new[1:], len(anchor)) + least - 1
     keep = wanted[new]
-    return new[keep], end[keep], prints[anchor[new[keep]]]
+    return new[keep], end[keep], anchor[new[keep]]
+
+
+def stretches(part: np.ndarray, prints: np.ndarray, wanted: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and anchor's fingerprint of the stretches of ``wanted`` windows that share an anchor."""
+    start, end, anchor = anchored(part, prints, wanted, least)
+    return start, end, prints[anchor]
+
+
+def digests(bodies: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of 128-bit digests. They decide, so no polynomial: modulo 2 ** 64 those of Thue-Morse texts are equal."""
+    both = np.frombuffer(b"".join([blake2b(body, digest_size=16).digest() for body in bodies]), np.int64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def keys(part: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both halves of a 128-bit digest of byte ranges. They decide, so no polynomial: modulo 2 ** 64 those of Thue-Morse texts are equal."""
+    """Digests of byte ranges."""
     data = part.tobytes()
-    digests = b"".join([blake2b(data[s:e], digest_size=16).digest() for s, e in zip(start.tolist(), end.tolist())])
-    both = np.frombuffer(digests, np.uint64).reshape(-1, 2)
-    return both[:, 0].copy(), both[:, 1].copy()
+    k1, k2 = digests(data[s:e] for s, e in zip(start.tolist(), end.tolist()))
+    return k1.view(np.uint64), k2.view(np.uint64)
 
 
 class RunIndex:
@@ -96,7 +144,8 @@ class RunIndex:
         window = np.concatenate([[True], ~same])
         self.starts = np.flatnonzero(window | np.concatenate([[True], before[1:] != before[:-1]]))
         heads, lengths = before[self.starts], np.diff(np.append(self.starts, len(rows)))
-        order = np.argsort(heads, kind="stable")
+        self.run_of = np.repeat(np.arange(len(heads), dtype=np.int32), lengths)
+        order = np.argsort(heads.astype(np.uint16), kind="stable")               # by radix
         self.lands = np.empty(len(heads), np.int64)                              # where a run's first row goes
         self.lands[order] = np.cumsum(lengths[order]) - lengths[order]
         in_run = np.minimum.reduceat(owners[text_of[rows]], self.starts)
@@ -106,39 +155,47 @@ class RunIndex:
     def _sorted(self, symbols: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix order, and for each row but the first whether it shares ``least`` bytes with the one above (or both are shorter)."""
         n, here = len(symbols), np.arange(len(symbols))
-        packed = np.zeros(n, np.int64)
-        for k in range(PACK):
-            at = here + k
-            packed = (packed << 9) | np.where(at < stop, symbols[np.minimum(at, n - 1)], 0)
-        packed[stop == here] = np.arange(len(self.stops)) - len(self.stops)      # terminators come first, in order
-        reach, half = PACK, None
+        code = np.cumsum(np.bincount(symbols) > 0) - 1                           # terminators are 0
+        width = max(1, int(code[-1]).bit_length())
+        reach, left = min(63 // width, self.least), stop - here                  # PACK symbols or more
+        ahead, packed = np.append(code[symbols], np.zeros(reach, np.int64)), np.zeros(n, np.int64)
+        for k in range(reach):
+            packed <<= width
+            packed |= np.where(left > k, ahead[k:k + n], 0)
+        packed[left == 0] = np.arange(len(self.stops)) - len(self.stops)         # terminators come first, in order
+        times = 3 if n < 1 << 21 else 2                                          # ranks that fit into one integer
         while True:
-            rows = np.argsort(packed, kind="stable")
+            rows = np.argsort(packed)
             up = packed[rows]
             rank = np.empty(n, np.int64)
             rank[rows] = np.cumsum(np.concatenate([[0], up[1:] != up[:-1]]))
             if reach <= self.least:
-                half, width = rank, reach                                        # more than half of ``least`` in the end
+                half, width = rank, reach
             if reach >= self.least and rank[rows[-1]] == n - 1:
                 break
-            packed = rank * n + rank[np.minimum(here + reach, stop)]
-            reach *= 2
-        rest = half[np.minimum(here + self.least - width, stop)]
+            packed = rank
+            for k in range(1, times):
+                packed = packed * n + rank[np.minimum(here + k * reach, stop)]
+            reach *= times
         fits = here + self.least <= stop
         a, b = rows[1:], rows[:-1]
-        return rows, np.where(fits[a] & fits[b], (half[a] == half[b]) & (rest[a] == rest[b]), ~fits[a] & ~fits[b])
+        same = fits[a] & fits[b]
+        for at in {*range(0, self.least - width, width), self.least - width}:
+            piece = half[np.minimum(here + at, stop)]
+            same &= piece[a] == piece[b]
+        return rows, same | (~fits[a] & ~fits[b])
 
     def stream(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, place, smallest owner) of every window: all texts walk through the runs together, from right to left."""
         text, row = np.arange(len(self.sizes)), np.arange(len(self.sizes))       # terminators are the first rows
-        found = []
+        run, found = self.run_of[row], []
         for step in range(1, int(self.sizes.max(initial=0)) + 1):
             more = self.sizes[text] >= step
-            text, row = text[more], row[more]
-            run = np.searchsorted(self.starts, row, "right") - 1
+            if not more.all():
+                text, row, run = text[more], row[more], run[more]
             row = self.lands[run] + row - self.starts[run]
+            run = self.run_of[row]
             if step >= self.least:
-                run = np.searchsorted(self.starts, row, "right") - 1
                 found.append((text, self.sizes[text] - step, self.owner[run]))
         if not found:
             return (np.empty(0, np.int64),) * 3
@@ -154,152 +211,267 @@ class Folded:
     def open(self) -> Folded:
         return Folded(self.least, self.fold, *(np.frombuffer(b.value, np.uint8) for b in (self.repeated, self.owned)))
 
-    def parts(self, text: bytes, i: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Per part: its place and bytes, and its stretches (first byte, end, anchor)."""
-        for base, part, prints in seeds(text, self.least):
-            first, last = folds(part, prints, self.least, self.fold)
+    def parts(self, texts: Iterable[bytes], ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per part: its bytes, and of its stretches number and place in the text, first byte, end, anchor and its fingerprint."""
+        for numbers, begin, base, part, prints in blocks(texts, self.least):
+            first, last = folds(part, prints, self.least, self.fold, begin)
             k1, _ = keys(part, first, last + self.least - 1)
-            mine = ~holds(self.repeated, k1) | holds(self.owned, owner_print(k1, i))
+            mine = ~holds(self.repeated, k1) | holds(self.owned, owner_print(k1, ids[numbers[text_at(begin, first)]]))
             if mine.any():
-                yield base, part, *stretches(part, prints, np.repeat(mine, last - first), self.least)
+                # between texts no window is wanted
+                reaches = np.column_stack([last - first, np.append(first[1:], last[-1]) - last]).ravel()
+                wanted = np.repeat(np.column_stack([mine, np.zeros(len(mine), bool)]).ravel(), reaches)
+                start, end, anchor = anchored(part, prints, wanted, self.least)
+                own = text_at(begin, start)
+                yield part, numbers[own], start - begin[own] + base, start, end, anchor, mixed(prints[anchor], np.uint64(SPREAD))
 
 
-def owner_print(k1: np.ndarray, i: int) -> np.ndarray:
-    return mixed(k1, np.uint64(i & ((1 << 64) - 1)))
+def owner_print(k1: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return mixed(k1, ids.view(np.uint64))
 
 
-def _counted(prints_of):
-    """Fingerprints of a block's texts with the number of texts (1 or 2, for more) that have them."""
-    def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        found, c = np.unique(np.concatenate(held), return_counts=True)
-        c = np.minimum(c, 2)
-        for at in range(0, len(found), 200_000):
-            yield pa.record_batch([found[at:at + 200_000].view(np.int64), c[at:at + 200_000]], names=["fp", "c"])
+def read(batch: pa.RecordBatch) -> tuple:
+    """Texts one by one, and the numbers beside them: their ids, and hashes where they are needed."""
+    return (text.as_py() for text in batch.column(0)), *(c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])
+
+
+def marked(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Whether the fingerprints are in a bitmap over their upper bits, of any size."""
+    at = prints >> np.uint64(65 - (8 * len(bits)).bit_length())
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
+def binaries(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of ``data`` between the bounds, each stretch of it as one value."""
+    ends = pa.py_buffer(np.ascontiguousarray(bounds * data.itemsize, np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, ends, pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _fold_places(least: int, fold: int):
+    """Where all folds are: (i, x, s, e, k1, k2)."""
+    def send(held: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([np.concatenate(c) for c in zip(*held)], names=FOLD_NAMES)
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, held, size = prints_of(), [], 0
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for text, i in zip(batch.column(0), batch.column(1)):
-                text = text.as_py()
-                parts = list(find(text, i.as_py()))
-                if parts:
-                    held.append(np.unique(np.concatenate(parts)))
-                size += len(text)
-                if held and size >= BLOCK:
-                    yield from send(held)
+            texts, ids, hashes = read(batch)
+            for numbers, begin, base, part, prints in blocks(texts, least):
+                first, last = folds(part, prints, least, fold, begin)
+                k1, k2 = keys(part, first, last + least - 1)
+                own = text_at(begin, first)
+                shift = base - begin[own]
+                held.append((ids[numbers[own]], hashes[numbers[own]], first + shift, last + shift + least - 1, k1.view(np.int64), k2.view(np.int64)))
+                size += len(first)
+                if size >= PLACES:
+                    yield send(held)
                     held, size = [], 0
         if held:
-            yield from send(held)
-    return count
+            yield send(held)
+    return find
+
 
+def _holding(bits):
+    """The rows whose ``k1`` is in a bitmap, and chance hits."""
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        allowed = np.frombuffer(bits.value, np.uint8)
+        for batch in batches:
+            yield batch.filter(pa.array(holds(allowed, batch.column("k1").to_numpy(zero_copy_only=False).view(np.uint64))))
+    return find
 
-def _fold_prints(least: int, fold: int):
-    def find(text: bytes, i: int) -> Iterator[np.ndarray]:
-        for _, part, prints in seeds(text, least):
-            first, last = folds(part, prints, least, fold)
-            yield keys(part, first, last + least - 1)[0]
-    return lambda: find
 
+def _owner_prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints of (k1, first)."""
+    for batch in batches:
+        k1, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "first"))
+        yield pa.record_batch([owner_print(k1.view(np.uint64), ids).view(np.int64)], names=["fp"])
 
-def _anchor_prints(folded: Folded):
-    def opened():
-        own = folded.open()
-        return lambda text, i: (anchors for *_, anchors in own.parts(text, i))
-    return opened
 
+def _anchor_prints(folded: Folded, split: int):
+    """By bucket, the 32 bits after its number of a block's anchors in order, twice for those that several of its texts have."""
+    def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        found = np.sort(np.concatenate(held))
+        found = found[np.concatenate([[True, True], found[2:] != found[:-2]])[:len(found)]]
+        bounds = np.searchsorted(found >> np.uint64(64 - split), np.arange((1 << split) + 1, dtype=np.uint64))
+        some = np.flatnonzero(np.diff(bounds))
+        low = (found >> np.uint64(32 - split)).astype(np.uint32)
+        yield pa.record_batch([some.astype(np.int32), binaries(low, bounds[np.append(some, 1 << split)])], names=["bucket", "prints"])
 
-def _fold_places(least: int, fold: int, repeated):
-    """Where folds with a repeated fingerprint are: (i, x, s, e, k1, k2) and the print of (k1, i)."""
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        allowed, held, size = np.frombuffer(repeated.value, np.uint8), [], 0
-        names = [c.split()[0] for c in FOLD_PLACE.split(", ")]
+        own, held, size = folded.open(), [], 0
         for batch in batches:
-            for text, i, x in zip(*(batch.column(k) for k in range(3))):
-                text, i, x = text.as_py(), i.as_py(), x.as_py()
-                for base, part, prints in seeds(text, least):
-                    first, last = folds(part, prints, least, fold)
-                    end = last + least - 1
-                    k1, k2 = keys(part, first, end)
-                    hit = holds(allowed, k1)
-                    if hit.any():
-                        first, end, k1, k2 = first[hit], end[hit], k1[hit], k2[hit]
-                        held.append((np.full(len(first), i), np.full(len(first), x), first + base, end + base,
-                                     k1.view(np.int64), k2.view(np.int64), owner_print(k1, i).view(np.int64)))
-                        size += len(first)
-            if size >= PLACES:
-                yield pa.record_batch([np.concatenate(c) for c in zip(*held)], names=names)
-                held, size = [], 0
+            texts, ids = read(batch)
+            for part, numbers, *_, prints in own.parts(texts, ids):
+                order = np.lexsort((prints, numbers))
+                prints, numbers = prints[order], numbers[order]
+                held.append(prints[np.concatenate([[True], (prints[1:] != prints[:-1]) | (numbers[1:] != numbers[:-1])])[:len(prints)]])
+                size += len(part)
+                if size >= BLOCK:
+                    yield from send(held)
+                    held, size = [], 0
         if held:
-            yield pa.record_batch([np.concatenate(c) for c in zip(*held)], names=names)
+            yield from send(held)
     return find
 
 
-def _places(folded: Folded, bits):
-    """Where stretches with a shared anchor are (i, x, at), and once for each block the stretch (fp, bytes) with the
-    smallest and largest id that has it there (i, last)."""
-    def send(places: list[tuple], known: dict) -> Iterator[pa.RecordBatch]:
-        columns = [np.concatenate(c) for c in zip(*places)]
-        nothing = [pa.nulls(len(columns[0]), kind) for kind in (pa.int64(), pa.binary(), pa.int64())]
-        yield pa.record_batch([*columns, *nothing], names=PLACE_NAMES)
-        first, last, fp, body = (pa.array(c, k) for c, k in zip(zip(*known.values()), (pa.int64(), pa.int64(), pa.int64(), pa.binary())))
-        k1, k2 = (pa.array(c, pa.int64()) for c in zip(*known))
-        none = pa.nulls(len(known), pa.int64())
-        yield pa.record_batch([first, none, none, k1, k2, fp, body, last], names=PLACE_NAMES)
+def _by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of each bucket, which come one bucket after the other."""
+    bucket, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != bucket and rows:
+                yield bucket, rows
+                rows = []
+            bucket = row["bucket"]
+            rows.append(row)
+    if rows:
+        yield bucket, rows
+
+
+def _shared_anchors(split: int, size: int):
+    """A bucket's piece of a bitmap of ``2 ** size`` places, of the anchors that several texts have."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _by_bucket(batches):
+            found = np.sort(np.concatenate([np.frombuffer(r["prints"], np.uint32) for r in rows]))
+            places = np.zeros(1 << (size - split), bool)
+            places[found[1:][found[1:] == found[:-1]] >> np.uint32(32 + split - size)] = True
+            if places.any():
+                yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([np.packbits(places, bitorder="little").tobytes()])], names=["bucket", "bits"])
+    return run
+
+
+def _places(folded: Folded, bits, split: int):
+    """Where stretches with a shared anchor are (i, x, at, k1, k2), and by bucket each distinct stretch of a block: where its
+    anchor is in it, its size, the smallest id that has it there, how much larger the largest is, and its bytes."""
+    def send(held: list[tuple], bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
+        ids, hashes, at, off, fp = (np.concatenate(c) for c in zip(*held))
+        k1, k2 = digests(bodies)
+        kinds = [pa.int32(), *[pa.binary()] * 5]
+        yield pa.record_batch([ids, hashes, at, k1, k2, *[pa.nulls(len(ids), kind) for kind in kinds]], names=PLACE_NAMES)
+        bucket = (fp >> np.uint64(64 - split)).astype(np.int64)
+        order = np.lexsort((k2, k1, bucket))
+        k1, k2, bucket, ids = k1[order], k2[order], bucket[order], ids[order]
+        new = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
+        least_id, largest = np.minimum.reduceat(ids, new), np.maximum.reduceat(ids, new)
+        one, bucket = order[new], bucket[new]
+        texts = [bodies[k] for k in one.tolist()]
+        sizes = np.array([len(t) for t in texts], np.int32)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        new = np.flatnonzero(np.diff(bucket, prepend=-1))
+        bounds = np.append(new, len(bucket))
+        packed = [binaries(c, bounds) for c in (off[one].astype(np.int32), sizes, least_id, largest.view(np.uint64) - least_id.view(np.uint64))]
+        yield pa.record_batch([*[pa.nulls(len(new), pa.int64())] * 5, pa.array(bucket[new], pa.int32()), *packed,
+                               binaries(np.frombuffer(b"".join(texts), np.uint8), ends[bounds])], names=PLACE_NAMES)
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allowed, own = np.frombuffer(bits.value, np.uint8), folded.open()
-        places, known, size = [], {}, 0
+        held, bodies = [], []
         for batch in batches:
-            for text, i, x in zip(*(batch.column(k) for k in range(3))):
-                text, i, x = text.as_py(), i.as_py(), x.as_py()
-                for base, part, start, end, prints in own.parts(text, i):
-                    hit = holds(allowed, prints)
-                    if not hit.any():
-                        continue
-                    start, end, prints = start[hit], end[hit], prints[hit].view(np.int64)
-                    k1, k2 = (k.view(np.int64) for k in keys(part, start, end))
-                    places.append((np.full(len(start), i), np.full(len(start), x), start + base, k1, k2))
-                    for key, fp, s, e in zip(zip(k1.tolist(), k2.tolist()), prints.tolist(), start.tolist(), end.tolist()):
-                        if (ids := known.get(key)) is None:
-                            known[key] = [i, i, fp, text[base + s:base + e]]
-                        else:
-                            ids[0], ids[1] = min(ids[0], i), max(ids[1], i)
-                    size += len(start)
-                    if size >= PLACES:
-                        yield from send(places, known)
-                        places, known, size = [], {}, 0
-        if places:
-            yield from send(places, known)
+            texts, ids, hashes = read(batch)
+            for part, numbers, at, start, end, anchor, prints in own.parts(texts, ids):
+                hit = marked(allowed, prints)
+                if not hit.any():
+                    continue
+                numbers, start, data = numbers[hit], start[hit], part.tobytes()
+                held.append((ids[numbers], hashes[numbers], at[hit], anchor[hit] - start, prints[hit]))
+                bodies += [data[s:e] for s, e in zip(start.tolist(), end[hit].tolist())]
+                if len(bodies) >= PLACES:
+                    yield from send(held, bodies)
+                    held, bodies = [], []
+        if held:
+            yield from send(held, bodies)
     return find
 
 
-def _indexed(least: int):
-    """Ranges of windows of every stretch with the smallest id that has them, anchors in order, whole anchors in an index."""
-    def flush(rows):
-        texts, owners = [r[0] for r in rows], np.array([r[2] for r in rows], np.int64)
+def _unpacked(rows: list[dict]) -> dict[bytes, dict[bytes, list]]:
+    """The distinct stretches of a bucket by the bytes of their anchor: {stretch: [place of the anchor, smallest id, largest id]}."""
+    by_anchor: dict[bytes, dict[bytes, list]] = {}
+    for r in rows:
+        sizes, first = np.frombuffer(r["size"], np.int32), np.frombuffer(r["first"], np.int64)
+        last = (first.view(np.uint64) + np.frombuffer(r["more"], np.uint64)).view(np.int64)
+        ends, data = np.cumsum(sizes).tolist(), r["bytes"]
+        for s, e, a, lo, hi in zip([0, *ends], ends, np.frombuffer(r["off"], np.int32).tolist(), first.tolist(), last.tolist()):
+            body = data[s:e]
+            own = by_anchor.setdefault(body[a:a + SEED], {})
+            if (row := own.get(body)) is None:
+                own[body] = [a, lo, hi]
+            else:
+                row[1], row[2] = min(row[1], lo), max(row[2], hi)
+    return by_anchor
+
+
+def _narrowed(own: dict[bytes, list], least: int, crowded: int) -> Iterator[list[tuple]]:
+    """Stretches round an anchor, or parts of them, that may share windows: lists of (bytes, smallest id, largest id, stretch, its
+    byte where they begin). At most ``crowded`` are in a list, unless they are one and the same window.
+
+    An anchor in more stretches is looked at by where it stands in a window. Windows where it stands in one half of these
+    places also share the bytes that all of them have beside it; groups are told by these, and halved again.
+    """
+    stack = [(0, least - min(SEED, least) + 1, [(body, *row) for body, row in own.items()])]
+    while stack:
+        low, high, rows = stack.pop()                        # the anchor is ``low`` to before ``high`` bytes behind a window's start
+        if len(rows) <= crowded or high - low == 1:
+            group = []
+            for body, a, first, last in rows:
+                start, stop = max(0, a - high + 1), min(len(body), a - low + least)
+                group.append((body[start:stop], first, last, body, start))
+            yield group
+            continue
+        middle = (low + high) // 2
+        for lo, hi in ((low, middle), (middle, high)):
+            parts: dict[bytes, list] = {}
+            for row in rows:
+                body, a = row[:2]
+                if max(lo, a + least - len(body)) <= min(hi - 1, a):           # it has such a window
+                    parts.setdefault(body[a - lo:a - hi + 1 + least], []).append(row)
+            stack += [(lo, hi, part) for part in parts.values() if min(r[2] for r in part) < max(r[3] for r in part)]
+
+
+def _indexed(least: int, crowded: int):
+    """Ranges of windows of every stretch with the smallest id that has them, whole anchors in an index."""
+    def ranged(rows: list[tuple]) -> Iterator[tuple[bytes, int, int, int]]:
+        texts, owners = [r[0] for r in rows], np.array([r[1] for r in rows], np.int64)
         text, place, owner = RunIndex(texts, owners, least).stream()
-        latest = np.array([r[3] for r in rows], np.int64)
-        keep = owner < latest[text]
+        keep = owner < np.array([r[2] for r in rows], np.int64)[text]
         text, place, owner = text[keep], place[keep], owner[keep]
         order = np.lexsort((place, text))
         text, place, owner = text[order], place[order], owner[order]
         if len(text):
             new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)]))
-            last = np.append(new[1:], len(text)) - 1
-            keys = np.array([r[4:] for r in rows], np.int64)[text[new]]
-            yield pa.record_batch([keys[:, 0], keys[:, 1], place[new], place[last] + least, owner[new]], names=["k1", "k2", "s", "e", "first"])
+            end = place[np.append(new[1:], len(text)) - 1] + least
+            for t, s, e, o in zip(text[new].tolist(), place[new].tolist(), end.tolist(), owner[new].tolist()):
+                yield rows[t][3], s + rows[t][4], e + rows[t][4], o
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[bytes, int, int, int]]:
         rows, size = [], 0
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(6))):        # bytes, fp, first, last, k1, k2
-                if size >= INDEX and row[1] != rows[-1][1]:
-                    yield from flush(rows)
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[0])
+        for _, packed in _by_bucket(batches):
+            for own in _unpacked(packed).values():
+                if len(own) == 1:                             # no index is needed
+                    (body, (_, owner, last)), = own.items()
+                    if owner < last:
+                        yield body, 0, len(body), owner
+                    continue
+                if min(r[1] for r in own.values()) == max(r[2] for r in own.values()):
+                    continue                                  # nobody else asks
+                for group in _narrowed(own, least, crowded):
+                    owner = min(r[1] for r in group)
+                    if len(group) == 1 or len(group) > crowded:
+                        # one stretch, or one window in all of them: no index is needed to find it
+                        yield from ((body, at, at + len(part), owner) for part, _, last, body, at in group if owner < last)
+                        continue
+                    rows += group
+                    size += sum(len(r[0]) for r in group)
+                    if size >= INDEX:
+                        yield from ranged(rows)
+                        rows, size = [], 0
         if rows:
-            yield from flush(rows)
+            yield from ranged(rows)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges = found(batches)
+        while some := list(islice(ranges, PLACES)):
+            yield pa.record_batch([*digests(r[0] for r in some), *(np.array([r[k] for r in some], np.int64) for k in (1, 2, 3))],
+                                  names=["k1", "k2", "s", "e", "first"])
     return run
 
 
@@ -329,6 +501,18 @@ def cut(text, spans):
     return pd.Series([None if t is None else keep(t, own) for t, own in zip(text, spans)], index=text.index, dtype=object)
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Inside, what a query shuffles goes when it ends: all that is read again is written to tables."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def repeated_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50,
                     fold: int = FOLD) -> DataFrame:
     """``i``, ``x`` (id and hash of a text) and ``spans`` of its bytes that windows of documents with smaller ids cover."""
@@ -338,37 +522,31 @@ def repeated_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = df.select(data.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NOBODY)).alias("i"), F.xxhash64(data).alias("x"))
     texts = texts.where(F.length("text") >= least)
 
-    def repeated(prints_of, name: str):
-        counts = texts.select("text", "i").mapInArrow(_counted(prints_of), "fp long, c long")
-        return bitmap(saved(counts.groupBy("fp").agg(F.sum("c").alias("c")).where("c > 1").select("fp"), name))
-
     # equal folds: all but the smallest id's go at once, and only that one's windows go on
-    again = repeated(_fold_prints(least, fold), "repeated-folds")
-    fold_places = saved(texts.mapInArrow(_fold_places(least, fold, again), FOLD_PLACE), "folds")
-    owners = saved(fold_places.groupBy("k1", "k2").agg(F.min(F.struct("i", "own")).alias("o"))
-                   .select("k1", "k2", F.col("o.i").alias("first"), F.col("o.own").alias("fp")), "fold-owners")
-    folded = Folded(least, fold, again, bitmap(owners))
-    copied = (fold_places.join(owners.select("k1", "k2", "first"), ["k1", "k2"]).where(F.col("first") < F.col("i"))
-              .select("i", "x", "s", "e"))
-
-    shared = repeated(_anchor_prints(folded), "shared-anchors")
-    stored = saved(texts.mapInArrow(_places(folded, shared), PLACE), "stretches")
-    places = stored.where("bytes IS NULL").select("i", "x", "at", "k1", "k2")
+    all_folds = saved(texts.mapInArrow(_fold_places(least, fold), FOLD_PLACE), "folds")
+    again = bitmap(all_folds.groupBy("k1").agg(F.min("i").alias("a"), F.max("i").alias("z")).where("a < z").select(F.col("k1").alias("fp")))
+    fold_places = saved(all_folds.mapInArrow(_holding(again), FOLD_PLACE), "repeated-folds")
+    owners = saved(fold_places.groupBy("k1", "k2").agg(F.min("i").alias("first")), "fold-owners")
+    folded = Folded(least, fold, again, bitmap(owners.select("k1", "first").mapInArrow(_owner_prints, "fp long")))
+    copied = (fold_places.join(owners, ["k1", "k2"]).where(F.col("first") < F.col("i")).select("i", "x", "s", "e"))
+
+    # about one anchor in 14 bytes; few of them are shared
+    total = all_folds.agg(F.sum(F.col("e") - F.col("s"))).first()[0] or 0
+    split = max(BUCKETS, (total >> 26).bit_length())
+    size = max(split + 3, min(max((total // 25).bit_length(), MARKS[0]), MARKS[1]))
+    sent = texts.select("text", "i").mapInArrow(_anchor_prints(folded, split), "bucket int, prints binary")
+    pieces = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_anchors(split, size), "bucket int, bits binary").toArrow()
+    marks = np.zeros((1 << split, 1 << (size - split - 3)), np.uint8)
+    for bucket, bits in zip(*(pieces[c].to_pylist() for c in ("bucket", "bits"))):
+        marks[bucket] = np.frombuffer(bits, np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(marks.tobytes())
+    stored = saved(texts.mapInArrow(_places(folded, shared, split), PLACE), "stretches", compression="zstd")
 
     # the smallest id owns a stretch; where it is the largest as well, nobody else asks
-    distinct = saved(stored.where("bytes IS NOT NULL").groupBy("k1", "k2").agg(
-        F.first("bytes").alias("bytes"), F.first("fp").alias("fp"), F.min("i").alias("first"), F.max("last").alias("last")), "distinct-stretches")
-    crowded = saved(distinct.groupBy("fp").count().where(F.col("count") > CROWDED).select("fp"), "crowded-anchors")
-    calm = distinct.join(crowded, "fp", "left_anti").select("bytes", "fp", "first", "last", "k1", "k2")
-    parts = calm.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp").sortWithinPartitions("fp")
-    indexed = parts.mapInArrow(_indexed(least), "k1 long, k2 long, s long, e long, first long")
-    # an anchor in very many contexts: group its windows themselves
-    windows = distinct.join(crowded, "fp", "left_semi").select(
-        "k1", "k2", "first", "last", "bytes", F.explode(F.sequence(F.lit(0), F.length("bytes") - least)).alias("s"))
-    windows = windows.select("k1", "k2", "first", "last", F.col("s").cast("long").alias("s"), F.expr(f"substring(bytes, s + 1, {least})").alias("w"))
-    owners = saved(windows.groupBy("w").agg(F.min("first").alias("owner"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "crowded-windows")
-    direct = windows.join(owners, "w").where("owner < last").select("k1", "k2", "s", (F.col("s") + least).alias("e"), F.col("owner").alias("first"))
-    ranges = saved(indexed.unionByName(direct), "repeated-ranges")
+    packed = stored.where("bucket IS NOT NULL").select(*PLACE_NAMES[5:]).repartition("bucket").sortWithinPartitions("bucket")
+    ranges = saved(packed.mapInArrow(_indexed(least, CROWDED), "k1 long, k2 long, s long, e long, first long"), "repeated-ranges")
+    places = stored.where("bucket IS NULL").select(*PLACE_NAMES[:5])
+    places = places.mapInArrow(_holding(bitmap(ranges.select(F.col("k1").alias("fp")))), ", ".join(PLACE.split(", ")[:5]))
 
     # both sides are written tables, so a stretch of very many documents is split over tasks
     hits = places.join(ranges, ["k1", "k2"]).where(F.col("first") < F.col("i"))
@@ -387,7 +565,8 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are read whole; a table without rows gives none. Input columns named like an added one are replaced.
     """
     df = without(df, *ADDED)
-    found = saved(repeated_ranges(df, id_col, text_col, least, fold), "repeats")
+    with swept(df.sparkSession):
+        found = saved(repeated_ranges(df, id_col, text_col, least, fold), "repeats")
     data: Column = F.coalesce(F.col(f"d.{text_col}"), F.lit("")).cast("binary")
     joined = df.alias("d").join(found.alias("f"), (F.coalesce(F.col(f"d.{id_col}").cast("long"), F.lit(NOBODY)) == F.col("f.i"))
                                 & (F.xxhash64(data) == F.col("f.x")), "left")

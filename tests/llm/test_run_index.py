@@ -129,3 +129,34 @@ def test_empty_tables_and_clashing_columns(docs):
     assert got(out) == brute(ROWS) and {r.i for r in out.collect()} == {"mine"} and "lang" in out.columns
     with pytest.raises(ValueError):
         R.drop_repeats(docs(ROWS), least=5)
+
+
+def test_disk_stays_in_proportion(spark, docs, tmp_path, monkeypatch):
+    """Tables and what is left of shuffles, for texts of which half are copies with a new word in every fifty."""
+    rng = random.Random(11)
+    texts = [words(400, rng) for _ in range(300)]
+    for text in texts[:300]:
+        parts = text.split(" ")
+        parts[::50] = [words(1, rng) for _ in parts[::50]]
+        texts.append(" ".join(parts))
+    monkeypatch.setattr("caremeter.llm.common.shared_dir", lambda spark: str(tmp_path))
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def on_disk():
+        files = manager.getAllFiles()
+        return sum(files.apply(k).length() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle"))
+    before = on_disk()
+    out = R.drop_repeats(docs(list(enumerate(texts))))       # all is done but the join with the texts
+    taken = on_disk() - before + sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    assert taken < 4 * sum(map(len, texts))
+    assert out.where("n_removed > 0").count() == 300
+
+
+def test_long_texts_beside_short_ones(docs):
+    """Texts of several parts, of one, and short ones that are read together."""
+    rng = random.Random(13)
+    long = words(140_000, rng)
+    at = [rng.randrange(len(long) - 900) for _ in range(60)] + [R.CHUNK - 300, R.CHUNK - 40]
+    rows = [(50, long), (3, long[70_000:160_000]), (60, words(12_000, rng) + long[-3000:])]
+    rows += [(k, long[a:a + rng.randrange(20, 900)] + words(rng.randrange(4), rng)) for k, a in enumerate(at, 10)]
+    assert len(long) > R.CHUNK and got(R.drop_repeats(docs(rows))) == brute(rows)
