@@ -211,7 +211,7 @@ class Folded:
     def open(self) -> Folded:
         return Folded(self.least, self.fold, *(np.frombuffer(b.value, np.uint8) for b in (self.repeated, self.owned)))
 
-    def parts(self, texts: Iterable[bytes], ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def parts(self, texts: Iterable[bytes], ids: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """Per part: its bytes, and of its stretches number and place in the text, first byte, end, anchor and its fingerprint."""
         for numbers, begin, base, part, prints in blocks(texts, self.least):
             first, last = folds(part, prints, self.least, self.fold, begin)
@@ -336,7 +336,8 @@ def _shared_anchors(split: int, size: int):
             places = np.zeros(1 << (size - split), bool)
             places[found[1:][found[1:] == found[:-1]] >> np.uint32(32 + split - size)] = True
             if places.any():
-                yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([np.packbits(places, bitorder="little").tobytes()])], names=["bucket", "bits"])
+                bits = np.packbits(places, bitorder="little").tobytes()
+                yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([bits])], names=["bucket", "bits"])
     return run
 
 
